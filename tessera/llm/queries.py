@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, mixing, quality, urlfilter
+from tessera.llm import jaccard, licenses, mixing, quality, urlfilter
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_license_scans": licenses.op7_license_scans,
     "op8_mixing_sources": mixing.op8_mixing_sources,
     "op9_url_filters": urlfilter.op9_url_filters,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op5_jaccard_join": jaccard.OP5_SQL,
     "op7_license_scans": licenses.OP7_SQL,
     "op8_mixing_sources": mixing.OP8_SQL,
     "op9_url_filters": urlfilter.OP9_SQL,
