@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, licenses, mixing, quality, urlfilter
+from tessera.llm import jaccard, licenses, mixing, quality, substrings, urlfilter
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_license_scans": licenses.op7_license_scans,

@@ -7,10 +7,16 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import tessera
+
+# Executors get this package's functions with the task, so they need no copy of it.
+cloudpickle.register_pickle_by_value(tessera)
+
 #: The word separators of all the contracts here, as a regular expression.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows that a broadcast side may have; a larger one is joined by shuffle.
