@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, licenses, mixing, quality, substrings, urlfilter
+from tessera.llm import decontaminate, jaccard, licenses, mixing, quality, substrings, urlfilter
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_license_scans": licenses.op7_license_scans,
     "op8_mixing_sources": mixing.op8_mixing_sources,
     "op9_url_filters": urlfilter.op9_url_filters,
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality.OP2_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
+    "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op7_license_scans": licenses.OP7_SQL,
     "op8_mixing_sources": mixing.OP8_SQL,
     "op9_url_filters": urlfilter.OP9_SQL,
