@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, licenses, mixing, quality, substrings, urlfilter
+from tessera.llm import decontaminate, jaccard, licenses, mixing, quality, quotes, substrings, urlfilter
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_chat_formatting": quotes.op3_chat_formatting,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_license_scans": licenses.op7_license_scans,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op3_chat_formatting": quotes.OP3_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op7_license_scans": licenses.OP7_SQL,
