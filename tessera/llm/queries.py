@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, licenses, mixing, quality, quotes, substrings, urlfilter
+from tessera.llm import decontaminate, jaccard, licenses, mixing, pii, quality, quotes, substrings, urlfilter
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_chat_formatting": quotes.op3_chat_formatting,
+    "op4_pii": pii.op4_pii,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_license_scans": licenses.op7_license_scans,
