@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, licenses, mixing, pii, quality, quotes, substrings, urlfilter
+from tessera.llm import decontaminate, fixity, jaccard, licenses, mixing, pii, quality, quotes, substrings, urlfilter
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_license_scans": licenses.op7_license_scans,
     "op8_mixing_sources": mixing.op8_mixing_sources,
     "op9_url_filters": urlfilter.op9_url_filters,
+    "op10_merkle_fixity": fixity.op10_merkle_fixity,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality.OP2_SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op7_license_scans": licenses.OP7_SQL,
     "op8_mixing_sources": mixing.OP8_SQL,
     "op9_url_filters": urlfilter.OP9_SQL,
+    "op10_merkle_fixity": fixity.OP10_SQL,
 }
