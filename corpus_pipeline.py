@@ -1,2 +1,68 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A training corpus from raw documents: five stages, each of which sees all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, jaccard, mixing, pii, quality
+from tessera.llm.shared import bounded, materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without their failing lines."""
+    judged = quality.clean_lines(docs).where("kept")
+    return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("bigint").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that with the least id (of rows that repeat it, one)."""
+    classes = materialize(jaccard.jaccard_join(docs), "pipeline-classes")
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(bounded(gone, 2_000_000), "doc_id", "left_anti")
+    twice = classes.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.limit(1).count():
+        again = kept.join(bounded(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(bounded(twice), "doc_id", "left_anti").unionByName(again)
+    return kept.select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = materialize(decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-leaks")
+    return docs.join(bounded(found.select("doc_id").distinct(), 2_000_000), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their texts replaced by its kind."""
+    found = pii.find_pii(docs, redact=True)
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("bigint").alias("n_chars"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What a mixture takes of each document."""
+    return mixing.mix_digest(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixing_sources),
+]
+
+#: Line rules, EM and permutations of the middle stages have no SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each one's result written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{i}")
+    return docs
