@@ -27,9 +27,17 @@ def _shingles(words: str, k: int, first: str = "0", count: str | None = None) ->
 
 
 def _simhash(shingles: str) -> str:
-    """SQL for the 64-bit fingerprint: a bit is set where most shingles, each as often as it stands, have it."""
-    ones = f"aggregate({shingles}, 0, (n, x) -> n + cast(shiftrightunsigned(x, b) & 1 as int))"
-    return f"aggregate(sequence(0, 63), cast(0 as bigint), (f, b) -> f | if(2 * {ones} > size({shingles}), shiftleft(cast(1 as bigint), b), cast(0 as bigint)))"
+    """SQL for the 64-bit fingerprint: a bit is set where most shingles, each as often as it stands, have it.
+
+    Bit b is counted in 16 bits of the long b % 16, so one step for a shingle
+    counts all bits; arrays that could overflow that are counted bit by bit.
+    """
+    lanes = ", ".join(f"a[{j}] + (shiftrightunsigned(x, {j}) & {0x0001000100010001}L)" for j in range(16))
+    counts = f"aggregate({shingles}, array_repeat(0L, 16), (a, x) -> array({lanes}))"
+    bits = "aggregate(sequence(0, 63), 0L, (f, b) -> if(2 * ({count}) > size(" + shingles + "), f | shiftleft(1L, b), f))"
+    fast = bits.format(count="shiftrightunsigned(c[b % 16], 16 * (b div 16)) & 65535")
+    slow = bits.format(count=f"aggregate({shingles}, 0, (n, x) -> n + cast(shiftrightunsigned(x, b) & 1 as int))")
+    return f"if(size({shingles}) < 65536, transform(array({counts}), c -> {fast})[0], {slow})"
 
 
 def _overlap(a: str, b: str) -> str:
@@ -49,9 +57,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     first one.
 
     Windows without any shingle of an item have similarity 0 and are never
-    built: shingles of all texts look the items' up, texts go on with at least
-    ``percent`` of an item's shingles, and windows start at those places (moving
-    a window's start to the next such place loses none).  Each window's SimHash
+    built: shingles of all texts look the items' up, windows start at those
+    places (moving a window's start to the next such place loses none), and they
+    hold at least ``percent`` of an item's shingles.  Each window's SimHash
     looks its blocks up among the items' blocks, filed under all values within
     RADIUS // BLOCKS bits; that finds all fingerprints within RADIUS, and only
     those are verified exactly.
@@ -77,14 +85,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     hits = hits.distinct().join(bounded(posting), ["k", "h"])
     enough = hits.groupBy("id", "t", "item", "variant").agg(F.count(F.lit(1)).alias("c"), F.first("all").alias("all"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("k").alias("k"), F.collect_set("p").alias("p"))
     enough = enough.where(100 * F.col("c") >= percent * F.col("all"))
-    starts = enough.select("id", "t", "n", "k", F.explode(F.expr("array_distinct(transform(p, x -> greatest(0, least(x, m - n))))")).alias("s")).distinct()
+    # A window that is similar enough holds as many of the item's shingles: others aren't built.
+    inside = f"transform(p, x -> greatest(0, least(x, m - n))), s -> 100 * size(filter(p, y -> y between s and s + least(n, m) - k)) >= {percent} * all"
+    starts = enough.select("id", "t", "n", "k", F.explode(F.expr(f"array_distinct(filter({inside}))")).alias("s")).distinct()
     starts = materialize(starts.groupBy("id", "t", "n", "k").agg(F.collect_list("s").alias("s")), "windows")
     texts = rows.join(bounded(starts.select(F.col("id").alias("i2"), F.col("t").alias("t2")).distinct()), F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")), "left_semi").dropDuplicates(["id", "t"])
     texts = texts.select("id", "t", _words("text").alias("w"))
     windows = texts.join(starts.select(F.col("id").alias("i2"), F.col("t").alias("t2"), "n", "k", "s"), F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")))
     part = F.expr("case k " + " ".join(f"when {j} then {_shingles('w', j, 's', f'(least(n, size(w)) - {j - 1})')}" for j in sizes) + " end")
     windows = windows.select("id", "t", "n", "k", "w", F.explode("s").alias("s")).select("id", "t", "n", "k", "s", part.alias("g"), F.least("n", F.size("w")).alias("length"))
-    windows = windows.where("size(g) > 0").select("*", F.expr(_simhash("g")).alias("fp"))
+    windows = materialize(windows.where("size(g) > 0").select("*", F.expr(_simhash("g")).alias("fp")), "window-prints")
     masks = [0, *(sum(1 << b for b in c) for r in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r))]
     block = f"cast(shiftrightunsigned(fp, {BLOCK_BITS} * b) & {(1 << BLOCK_BITS) - 1} as int)"
     every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")
@@ -93,7 +103,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     looked = windows.select("*", every).withColumn("v", F.expr(block)).join(bounded(index), ["n", "b", "v"])
     near = f"bit_count(shiftrightunsigned(fp ^ fp2, {BLOCK_BITS} * j) & {(1 << BLOCK_BITS) - 1}) <= {RADIUS // BLOCKS}"
     looked = looked.where(f"bit_count(fp ^ fp2) <= {RADIUS} and b = filter(sequence(0, {BLOCKS - 1}), j -> {near})[0]")  # each pair once
-    both = looked.select("id", "item", F.col("s").cast("bigint").alias("start_word"), F.col("length").cast("bigint").alias("n_words"), F.expr(_overlap("g", "g2")).alias("o"), F.expr("size(g) + size(g2)").alias("sum"))
+    both = looked.select("id", "item", F.col("s").cast("bigint").alias("start_word"), F.col("length").cast("bigint").alias("n_words"), F.explode(F.array(F.expr(_overlap("g", "g2")))).alias("o"), F.expr("size(g) + size(g2)").alias("sum"))  # exploded, so that it is computed once
     good = both.where(100 * F.col("o") >= percent * (F.col("sum") - F.col("o"))).withColumn("similarity", F.round(F.col("o") / (F.col("sum") - F.col("o")), 6))
     best = good.groupBy("id", "item").agg(F.min_by(F.struct("start_word", "n_words", "similarity"), F.struct(-F.col("similarity"), "start_word", "n_words")).alias("x"))
     return best.select(F.col("id").alias(id), F.col("item").alias(item), "x.*")
