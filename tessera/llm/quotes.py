@@ -12,11 +12,11 @@ MARKS = r"^[ \\t]*(?:>[ \\t]*)+"
 
 
 def parse(messages: DataFrame, text: str) -> DataFrame:
-    """Adds ``passages``, an array of (level, passage, first line), and ``own``, the text without quotes.
+    """Adds ``__p``, an array of (level, passage, first line), and ``__own``, the text without quotes.
 
     Lines are split at newlines.  A line's level is the number of ``>`` at its
     start (0: the message's own words); neighbouring lines of one level make a
-    passage; blank lines of level 0 end one.  ``own`` joins the lines of level 0
+    passage; blank lines end one.  ``__own`` joins the lines of level 0
     and trims white space around them.  A passage is normalised: lower-cased, white space
     squeezed to single blanks and trimmed; empty ones are left out.
     """
@@ -28,9 +28,9 @@ def parse(messages: DataFrame, text: str) -> DataFrame:
             concat(slice(a, 1, size(a) - 1), array(named_struct('level', l.level, 'text', concat(a[size(a) - 1].text, ' ', l.line), 'ended', false))),
             concat(a, array(named_struct('level', l.level, 'text', l.line, 'ended', false))))))"""
     parsed = messages.withColumn("__l", F.expr(lines))
-    parsed = parsed.withColumn("passages", F.expr(f"filter(transform({runs}, p -> named_struct('level', p.level, 'passage', {squeeze})), p -> p.passage <> '')"))
+    parsed = parsed.withColumn("__p", F.expr(f"filter(transform({runs}, p -> named_struct('level', p.level, 'passage', {squeeze})), p -> p.passage <> '')"))
     own = r"regexp_replace(array_join(transform(filter(__l, l -> l.level = 0), l -> l.line), '\n'), '^\\s+|\\s+$', '')"
-    return parsed.withColumn("own", F.when(F.col(f"`{text}`").isNotNull(), F.expr(own))).drop("__l")
+    return parsed.withColumn("__own", F.when(F.col(f"`{text}`").isNotNull(), F.expr(own))).drop("__l")
 
 
 def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -58,30 +58,30 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     base = messages.select(*[f"`{c}`" for c in messages.columns if c not in added])
     parsed = parse(base, text).withColumn("__c", F.col(f"`{conversation}`")).withColumn("__t", F.col(f"`{turn}`"))
     keyed = parsed.where("__c is not null and __t is not null")
-    quoting = keyed.where("exists(passages, p -> p.level > 0)")
-    quotes = quoting.select("__c", "__t", F.posexplode("passages").alias("i", "p")).where("p.level > 0")
+    quoting = keyed.where("exists(__p, p -> p.level > 0)")
+    quotes = quoting.select("__c", "__t", F.posexplode("__p").alias("i", "p")).where("p.level > 0")
     quotes = materialize(quotes.select("__c", "__t", "i", "p.level", F.xxhash64("p.passage").alias("h")).distinct(), "quotes")
     # Only passages that someone quotes are looked for.
     wanted = bounded(quotes.select("__c", "h").distinct())
-    whole = F.expr(r"trim(regexp_replace(lower(own), '\\s+', ' '))")
-    mine = keyed.where("own <> ''").select("__c", "__t", F.explode(F.array_distinct(F.concat(F.expr("transform(filter(passages, p -> p.level = 0), p -> xxhash64(p.passage))"), F.array(F.xxhash64(whole))))).alias("h"))
+    whole = F.expr(r"trim(regexp_replace(lower(__own), '\\s+', ' '))")
+    mine = keyed.where("__own <> ''").select("__c", "__t", F.explode(F.array_distinct(F.concat(F.expr("transform(filter(__p, p -> p.level = 0), p -> xxhash64(p.passage))"), F.array(F.xxhash64(whole))))).alias("h"))
     origin = mine.join(wanted, ["__c", "h"], "left_semi").groupBy("__c", "h").agg(F.min("__t").alias("origin"))
     linked = quotes.join(origin, ["__c", "h"]).where(F.col("origin") < F.col("__t"))
     replies = linked.groupBy("__c", "__t").agg(F.min_by("origin", F.struct("level", "i")).alias("reply_to"), F.sort_array(F.collect_set("origin")).alias("quoted"))
     replies = materialize(replies, "replies")
     paths = reply_paths(replies)
-    extra = replies.join(paths, ["__c", "__t"]).select(F.col("__c").alias("__c2"), F.col("__t").alias("__t2"), "reply_to", "quoted", "path")
+    extra = replies.join(paths, ["__c", "__t"]).select(F.col("__c").alias("__c2"), F.col("__t").alias("__t2"), "reply_to", "quoted", F.col("path").alias("__path"))
     joined = parsed.join(bounded(extra), (F.col("__c") == F.col("__c2")) & (F.col("__t") == F.col("__t2")), "left")
     kind = dict(base.dtypes)[turn]
     return joined.select(
         *[f"`{c}`" for c in base.columns],
         "reply_to",
         F.coalesce("quoted", F.expr(f"cast(array() as array<{kind}>)")).alias("quoted"),
-        F.expr("size(filter(passages, p -> p.level > 0))").cast("bigint").alias("n_quotes"),
-        F.coalesce(F.expr("array_max(transform(passages, p -> p.level))"), F.lit(0)).cast("bigint").alias("max_level"),
-        (F.coalesce(F.size("path"), F.lit(1)) - 1).cast("bigint").alias("depth"),
-        F.coalesce("path", F.expr("filter(array(__t), x -> x is not null)")).alias("reply_path"),
-        F.col("own").alias("own_text"),
+        F.expr("size(filter(__p, p -> p.level > 0))").cast("bigint").alias("n_quotes"),
+        F.coalesce(F.expr("array_max(transform(__p, p -> p.level))"), F.lit(0)).cast("bigint").alias("max_level"),
+        (F.coalesce(F.size("__path"), F.lit(1)) - 1).cast("bigint").alias("depth"),
+        F.coalesce("__path", F.expr("filter(array(__t), x -> x is not null)")).alias("reply_path"),
+        F.col("__own").alias("own_text"),
     )
 
 

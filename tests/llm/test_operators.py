@@ -304,3 +304,22 @@ def test_fixity_finds_planted_faults(spark):
     audit = fixity.fixity_audit(fixity.warc_records(clean, a), fixity.warc_records(clean, b)).withColumnRenamed("record", "page_id").drop("nodes")
     assert rows(audit) == rows(sql(fixity.OP10_SQL, pages=plain))
     assert fixity.fixity_audit(fixity.warc_records(df), fixity.warc_records(df)).count() == 0
+
+
+def test_clashing_names(spark, docs):
+    """Columns named like an operator's own are replaced or kept, and never mixed up."""
+    pages = spark.createDataFrame([(1, "http://x.com/en/1", "mine", "mine")], "page_id long, url string, host string, token string")
+    row = urlfilter.filter_urls(pages, urlfilter.rule_table(spark)).first()
+    assert (row.host, row.token, row.rule) == ("x.com", "mine", "com/en/")
+    talk = spark.createDataFrame([(1, 0, "a", "mine", "mine", "mine"), (1, 1, "> a\nb", "mine", "mine", "mine")], "conv_id long, turn long, text string, own string, path string, passages string")
+    rows_ = quotes.link_quotes(talk).orderBy("turn").collect()
+    assert [(r.own, r.path, r.passages) for r in rows_] == [("mine",) * 3] * 2 and rows_[1].reply_to == 0 and rows_[1].own_text == "b"
+    named = docs.withColumns({c: F.lit("mine") for c in ("size", "taken", "spans", "labels", "key", "token", "n_words", "h", "id", "t")})
+    assert pii.find_pii(named).filter("spans = 'mine'").count() == 0
+    assert licenses.scan_licenses(named).filter("labels = 'mine'").count() == 0
+    assert jaccard.jaccard_join(named).count() == docs.count()
+    assert dict(quality.clean_lines(named).dtypes)["n_words"] == "bigint"
+    items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6", "mine")], "item_id long, text string, id string")
+    assert decontaminate.contaminated(named, items).count() == 0
+    planned = mixing.plan_mix(named.withColumn("size", mixing.word_count(F.col("text"))))
+    assert dict(planned.dtypes)["taken"] == "bigint"
