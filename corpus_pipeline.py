@@ -18,7 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the least id (of rows that repeat it, one)."""
+    """One document of each group of linked ones: that with the least id (of rows that repeat it, one).
+
+    Rows without an id can't be told apart by it and stay.
+    """
     classes = materialize(jaccard.jaccard_join(docs), "pipeline-classes")
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(bounded(gone, 2_000_000), "doc_id", "left_anti")
@@ -30,9 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows without an id go if any of them holds one."""
     found = materialize(decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-leaks")
-    return docs.join(bounded(found.select("doc_id").distinct(), 2_000_000), "doc_id", "left_anti").select(*COLUMNS)
+    leaked = bounded(found.select(F.col("doc_id").alias("leaked")).distinct(), 2_000_000)
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
