@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 import tessera as ts
 from tessera.functions.kinds import finite_double
 from tessera.operators.names import library
-from tessera.operators.profile import edges, frequencies, histograms, is_stratifiable, profile, top_values
+from tessera.operators.profile import frequencies, histograms, is_stratifiable, profile, top_values
 
 SEED = 42
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
