@@ -98,11 +98,8 @@ def plain(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(column: pa.Array | pa.ChunkedArray, lower: bool = False, also: int | None = None) -> Iterator[Words]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a string column, slice by slice.
-
-    ``also`` is one more byte that separates (a newline byte is one already).
-    """
+def words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a string column, slice by slice."""
     raw, at = plain(column)
     n, i = len(at) - 1, 0
     while i < n:
