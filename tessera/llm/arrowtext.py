@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of the pieces that batches are worked off in.
+PIECE_ROWS = 1000
 
 _BASE = 0x5851F42D4C957F2D
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -98,6 +100,13 @@ def plain(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in parts of ``PIECE_ROWS`` rows; what Arrow holds unused is given back behind it, since idle workers stay."""
+    for at in range(0, batch.num_rows, PIECE_ROWS):
+        yield batch.slice(at, PIECE_ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a string column, slice by slice."""
     raw, at = plain(column)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import blocks
-from tessera.llm.arrowtext import set_key, word_sets
+from tessera.llm.arrowtext import pieces, set_key, word_sets
 from tessera.llm.shared import bounded, components, materialize, sorted_groups
 
 #: Share of the hash space whose tokens are counted exactly (see ``prefix_tokens``).
@@ -22,6 +22,8 @@ LEVELS = 3
 MOST = 1000
 #: Tokens in more than one of so many documents of a slice are looked at as frequent.
 FREQUENT = 50
+#: Rows that a task holds before it passes them on.
+EMITTED = 200_000
 #: Documents of a posting block.
 POSTINGS = 1000
 
@@ -42,7 +44,7 @@ def document_sets(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
     """(id, n, key) of each row's set, and (token, many) of tokens that are frequent in some slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             all_tokens = []
             for i, tokens in word_sets(batch.column(1), k):
@@ -81,8 +83,11 @@ def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: li
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = often.value
         for batch in batches:
-            seen, parts = set(), []
-            for _, tokens in word_sets(batch.column(0), k):
+            seen, parts, size = set(), [], 0
+            for tokens in (t for piece in pieces(batch) for _, t in word_sets(piece.column(0), k)):
+                if size > EMITTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=TOKENS.fieldNames())
+                    parts, size = [], 0
                 n = len(tokens)
                 if not n or (key := set_key(tokens)) in seen:
                     continue
@@ -95,6 +100,7 @@ def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: li
                     more = np.concatenate([low[is_hot], tokens[len(low) :][:m]])[:m]
                 token = np.concatenate([counted, more]).view(np.int64)
                 rank = np.concatenate([np.full(len(counted), -1, np.int64), np.arange(len(more))])
+                size += len(token)
                 parts.append((token, np.full(len(token), key), np.full(len(token), n), np.full(len(token), len(counted)), rank))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=TOKENS.fieldNames())
@@ -228,13 +234,13 @@ def tokens_of(docs: DataFrame, text: str, k: int) -> DataFrame:
     """(key, tokens) of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             key, data, size = [], [], 0
             for _, tokens in word_sets(batch.column(0), k):
                 key.append(set_key(tokens))
                 data.append(tokens.tobytes())
                 size += len(data[-1])
-                if size > 16 << 20:
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary())], names=TEXTS.fieldNames())
                     key, data, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary())], names=TEXTS.fieldNames())

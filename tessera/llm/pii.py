@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.arrowtext import pieces
+
 #: Kinds in the order of span lists: those of the contract, then the classifier's.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "number")
@@ -137,7 +139,7 @@ def patterns(docs: DataFrame, text: str) -> DataFrame:
     """(votes, features, many) over all candidates of all texts; the votes and features bound the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             found: Counter = Counter()
             for i in _with_digits(batch.column(0)):
                 found.update((v, f) for _, _, _, v, f in candidates(batch.column(0)[i].as_py()))
@@ -263,7 +265,7 @@ def find_pii(docs: DataFrame, text: str = "text", *, model: SpanModel | None = N
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             source, n = batch.column(keep.index(text)), batch.num_rows
             counts = np.zeros((len(BASE_KINDS), n), np.int64)
             sha, names, clean = [nothing] * n, [""] * n, [None] * n

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.arrowtext import Words, mix, words
+from tessera.llm.arrowtext import Words, mix, pieces, words
 
 #: Whole lines of a page's furniture, without case, marks at the end and white space around them (fixed values).
 BOILERPLATE = (
@@ -155,7 +155,7 @@ def clean_lines(
     schema = T.StructType([*base.schema.fields, *(f for f in SCHEMA if texts or f.name != "clean_text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             source = batch.column(keep.index(text))
             found = judge(source, min_words, max_repeat, max_lost, symbol_share, upper_share)
             columns = list(batch.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import blocks
-from tessera.llm.arrowtext import Words, mix, words
+from tessera.llm.arrowtext import Words, mix, pieces, words
 from tessera.llm.shared import bounded, components, materialize, sorted_groups
 
 #: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
@@ -91,7 +91,7 @@ def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, le
     """of(part, begin, end, batch) gives arrays of the schema's columns, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             for part in words(batch.column(batch.num_columns - 1), lower=True):
                 begin, end = paragraphs(part, least)
                 if len(begin):
