@@ -7,16 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import tessera
-
-# Executors get this package's functions with the task, so they need no copy of it.
-cloudpickle.register_pickle_by_value(tessera)
-
 #: The word separators of all the contracts here, as a regular expression.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows that a broadcast side may have; a larger one is joined by shuffle.
@@ -73,6 +67,14 @@ def sorted_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[p
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
 
 
+def _edges_written(e: DataFrame, name: str, rows: int | None) -> tuple[DataFrame, tuple]:
+    """e written and read again, with its count and checksum as observed on the way; in tasks of 100,000 of ``rows`` each."""
+    seen = Observation()
+    e = e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    e = materialize(e if rows is None else e.coalesce(max(8, rows // 100_000)), name)
+    return e, (seen.get["n"], seen.get["s"])
+
+
 def components(edges: DataFrame, name: str = "components", limit: int = 60) -> DataFrame:
     """Connected components of edges (a, b), two columns of one orderable type.
 
@@ -81,21 +83,19 @@ def components(edges: DataFrame, name: str = "components", limit: int = 60) -> D
     only cost the round.  Returns (node, root) for each node that has an edge;
     the root is the component's least node.  Self-loops and nulls are ignored.
     """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
+    e, state = _edges_written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name, None)
     for _ in range(limit):
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+        if not state[0]:
             break
-        seen = tuple(state)
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(small, name)
+        before, (e, state) = state, _edges_written(small, name, state[0])
+        if state == before:
+            break
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select("v", "v").distinct().toDF("node", "root"))
