@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest tables, each held against what its operator says of its own input."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -33,3 +34,25 @@ def test_stages_keep_clean_documents_and_apply_decisions(spark):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "taken", "target"} <= set(got.columns) and got.count() > 0
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        edited, longer = list(base), base + [f"v{rng.randrange(5000)}" for _ in range(len(base) // 6)]
+        for at in rng.sample(range(len(base)), 2):
+            edited[at] = "edit"
+        texts += [base, edited, longer, base[: len(base) // 2]]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    want = {i for i, r in enumerate(root) if i == r}
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+    assert len(want) < 36
