@@ -46,8 +46,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What a mixture takes of each document."""
-    return mixing.mix_digest(docs)
+    """What a mixture takes of each document, and the shards and places of its draws."""
+    return mixing.mix_digest(docs, draws=True)
 
 
 STAGES = [

@@ -180,11 +180,22 @@ def op8_mixing_sources(spark, sf_dir: str) -> DataFrame:
     return mix_digest(docs)
 
 
-def mix_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the shards drawn to, of every row of docs."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    planned = plan_mix(sized)
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+def mix_digest(docs: DataFrame, *, draws: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of docs, summed from the mixture.
+
+    The mixture (each draw in its shard, shuffled there) is written first.  With
+    ``draws``, also ``shards`` and ``places``: where each of a row's passes went.
+    """
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
+    planned = materialize(plan_mix(materialize(sized, "mix-sizes")), "mix-plan")
+    mixed = materialize(mixture(planned), "mix-shards")
+    sums = mixed.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("pass", "shard", "place"))).alias("drawn"))
+    out = planned.drop("taken", "draws").join(sums, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint"))
+    wanted = ["doc_id", "size", "source_size", "target", "taken"]
+    if not draws:
+        return out.select(*wanted)
+    none = lambda field, kind: F.coalesce(F.col(f"drawn.{field}"), F.array().cast(f"array<{kind}>")).alias(f"{field}s")
+    return out.select(*wanted, none("shard", "int"), none("place", "string"))
 
 
 OP8_SQL = r"""

@@ -236,6 +236,19 @@ def test_mixing_tree_and_draws(docs):
     assert drawn.groupby("doc_id").words.sum().to_dict() == {k: v for k, v in planned.toPandas().set_index("doc_id").taken.to_dict().items() if v}
 
 
+def test_mixing_digest_is_of_the_mixture(docs, monkeypatch):
+    got = mixing.mix_digest(docs, draws=True).toPandas()
+    planned = mixing.plan_mix(docs.withColumn("size", mixing.word_count(F.col("text"))))
+    drawn = mixing.mixture(planned).toPandas()
+    where = drawn.sort_values("pass").groupby("doc_id").agg(shards=("shard", list), places=("place", list))
+    for r in got.itertuples():
+        assert (list(r.shards), list(r.places)) == ((where.shards[r.doc_id], where.places[r.doc_id]) if r.doc_id in where.index else ([], []))
+    assert got.shards.explode().nunique() > 16 and got.taken.sum() == drawn.words.sum()
+    whole = mixing.mixture
+    monkeypatch.setattr(mixing, "mixture", lambda planned: whole(planned).where("shard <> 3"))
+    assert mixing.mix_digest(docs).toPandas().taken.sum() == drawn.words[drawn.shard != 3].sum() < drawn.words.sum()
+
+
 def test_url_filters_match_sql(spark):
     urls = ["http://a.example.com/en/71", "http://example.com/en/6", "https://EXAMPLE.com/en/7?x", "http://notexample.net/de/9", "x.net/de/1", None, "", "ftp://", "http://net/de/8", "http://b.example.net/de/81#t", "http://ads.x.org/es/", "http://casino.example.info/?a://b", "a://b://example.com/en/7", "http://example.com/en/7\n", "http://spam.x.com/en/1"]
     df = [(i, u) for i, u in enumerate([*urls, *urls[:2]])]
