@@ -66,6 +66,22 @@ def paragraphs(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[long], end[long]
 
 
+def units(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of what is compared as a whole: content-defined paragraphs, lines, and paragraphs between blank lines."""
+    n = len(part.hash)
+    begin, end = paragraphs(part, least)
+    if not n:
+        return begin, end
+    breaks = np.cumsum(part.data == 10)[part.start]
+    found = [np.stack([begin, end], 1)]
+    for apart in (1, 2):
+        first = np.flatnonzero(np.append(True, (part.text[1:] != part.text[:-1]) | (np.diff(breaks) >= apart)))
+        last = np.append(first[1:], n)
+        found.append(np.stack([first, last], 1)[last - first >= least])
+    both = np.unique(np.concatenate(found), axis=0)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def _keys(part: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit key of each paragraph's words in order."""
     n = len(part.hash)
@@ -75,25 +91,24 @@ def _keys(part: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64)).view(np.int64)
 
 
-def _shingle_runs(part: Words, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each paragraph, and where each paragraph's begin; every one has k words or more."""
+def _shingle_runs(part: Words, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words, those that each paragraph holds, and where each paragraph's begin; every one has k words or more."""
     h = part.hash
     whole = h.copy()
     for j in range(1, k):
         whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([h[j:], np.zeros(j, np.uint64)]))
     size = end - begin - k + 1
     starts = np.cumsum(size) - size
-    at = np.repeat(begin - starts, size) + np.arange(int(size.sum()))
-    return whole[at], starts
+    return whole, np.repeat(begin - starts, size) + np.arange(int(size.sum())), starts
 
 
-def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, least: int) -> DataFrame:
+def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, least: int, bounds: Callable = units) -> DataFrame:
     """of(part, begin, end, batch) gives arrays of the schema's columns, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b)):
             for part in words(batch.column(batch.num_columns - 1), lower=True):
-                begin, end = paragraphs(part, least)
+                begin, end = bounds(part, least)
                 if len(begin):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in of(part, begin, end, batch)], names=schema.fieldNames())
 
@@ -107,12 +122,12 @@ def band_rows(docs: DataFrame, text: str, k: int) -> DataFrame:
     def of(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
         key = _keys(part, begin, end)
         key, first = np.unique(key, return_index=True)
-        h, starts = _shingle_runs(part, begin[first], end[first], k)
+        whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
         bands = []
         for b in range(BANDS):
             value = np.full(len(key), np.uint64(b + 1))
             for r in range(ROWS):
-                value = mix(value + np.minimum.reduceat(mix(h ^ salts[b * ROWS + r]), starts))
+                value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r])[at], starts))
             bands.append(value.view(np.int64))
         return np.concatenate(bands), np.tile(key, BANDS)
 
@@ -135,18 +150,21 @@ def _stars(table: pa.Table) -> list[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, min_words: int = 16) -> DataFrame:
     """Passages of texts that repeat, whole or nearly, elsewhere: one row for each.
 
-    Texts are cut into content-defined paragraphs (``paragraphs``; A-Z
-    lower-cased, of k words at least).  Paragraphs are one class if they have
+    Texts are cut into units (``units``; A-Z lower-cased, of k words at least):
+    content-defined paragraphs, lines, and paragraphs between blank lines.  They
+    are one class if they have
     the same words, or are joined by pairs whose sets of k-word shingles have a
     Jaccard similarity of ``percent`` or more: bands of MinHashes collide
     (``band_rows``), components of colliding paragraphs are dealt into blocks,
     and pairs are verified there on whole sets (``blocks.links``).  Of each
     class the first place, by id and word, is kept and all others are removed.
-    Neighbouring paragraphs of one text with classes of two places or more and
-    the same fate, fewer than k words apart, make a passage; those of
-    ``min_words`` or more are returned.
+    A place that overlaps the first one isn't removed.  Neighbouring or
+    overlapping spans of one text with the same fate, fewer than k words apart,
+    make a passage; those of ``min_words`` or more are returned.  Words of a
+    kept passage that a removed one holds as well are removed.
 
-    Columns: id, first_word and n_words (words counted from 0), n_paragraphs,
+    Columns: id, first_word and n_words (words counted from 0), n_paragraphs
+    (spans of all kinds),
     component_id (least class of the passage), removed.  Null and empty texts
     have no passages.  Rows that repeat an id are told apart by where they
     stand only, so a repeated row's passages are returned once.  An empty table
@@ -171,29 +189,30 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
 
     def sets(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
         key, first = np.unique(_keys(part, begin, end), return_index=True)
-        h, starts = _shingle_runs(part, begin[first], end[first], k)
-        return key, pa.array([np.unique(x).tobytes() for x in np.split(h, starts[1:])], pa.binary())
+        whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
+        return key, pa.array([np.unique(x).tobytes() for x in np.split(whole[at], starts[1:])], pa.binary())
 
     tokens = _scan(chosen, ["text"], TOKENS, sets, k).join(bounded(near.select("key"), 2_000_000), "key", "left_semi").dropDuplicates(["key"])
     members = blocks.in_blocks(near.select("root", "key", F.lit(1).cast("bigint").alias("copies"))).join(tokens, "key")
     linked = materialize(blocks.links(members, percent).select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links")
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
     # Keys with one place and no link are done with: what follows is what repeats.
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("id", "first_word")).alias("first"))
+    place = F.struct("id", "first_word", (-F.col("n_words")).alias("less"))
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))
     counts = counts.join(classes, "key", "left").where("places > 1 or class is not null").withColumn("class", F.coalesce("class", "key"))
-    firsts = counts.groupBy("class").agg(F.min("first").alias("first"))
+    firsts = counts.groupBy("class").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max(F.expr("places > 1 and first = last")).alias("again"))
+    firsts = firsts.where("again or not (last.id <=> first.id) or last.first_word >= first.first_word - first.less").drop("last", "again")
     table = materialize(counts.select("key", "class").join(firsts, "class"), "paragraph-repeats")
-    hit = found.join(table, "key").select("id", "first_word", "n_words", "class", (F.struct("id", "first_word") != F.col("first")).alias("removed"))
-    hit = hit.dropDuplicates(["id", "first_word", "n_words", "class"])
-    text_order = Window.partitionBy("id").orderBy("first_word", "n_words")
-    apart = (F.col("first_word") - F.lag(F.col("first_word") + F.col("n_words")).over(text_order) >= k) | (F.col("removed") != F.lag("removed").over(text_order))
+    hit = found.join(table, "key").select("id", "first_word", "n_words", "class", F.expr("not (id <=> first.id) or first_word >= first.first_word - first.less").alias("removed"))
+    hit = hit.repartition("id").dropDuplicates(["id", "first_word", "n_words", "class"])
+    text_order = Window.partitionBy("id", "removed").orderBy("first_word", "n_words")
+    apart = F.col("first_word") - F.max(F.col("first_word") + F.col("n_words")).over(text_order.rowsBetween(Window.unboundedPreceding, -1)) >= k
     hit = hit.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = hit.groupBy("id", "run").agg(
+    out = hit.groupBy("id", "removed", "run").agg(
         F.min("first_word").alias("first_word"),
         (F.max(F.col("first_word") + F.col("n_words")) - F.min("first_word")).alias("n_words"),
         F.count(F.lit(1)).alias("n_paragraphs"),
         F.min("class").alias("component_id"),
-        F.first("removed").alias("removed"),
     )
     return out.where(F.col("n_words") >= min_words).select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed")
 

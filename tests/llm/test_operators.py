@@ -168,6 +168,23 @@ def test_substrings_paragraphs_are_content_defined(spark):
     assert inner and all((x + 11, y + 11) in b for x, y in inner)
 
 
+def removed_words(spark, texts: list) -> list:
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = [set() for _ in texts]
+    for r in substrings.repeated_passages(df).where("removed").collect():
+        gone[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    return gone
+
+
+def test_substrings_whole_lines_that_are_edited(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [fresh(60) for _ in range(8)]
+    near = [x[:22] + ["edit"] + x[23:] for x in lines]
+    gone = removed_words(spark, [" ".join(x) for x in lines] + [" ".join(fresh(9)) + "\n" + " ".join(x) + "\n" + " ".join(fresh(9)) for x in near])
+    assert not any(gone[:8]) and all(g == set(range(9, 69)) for g in gone[8:])
+
+
 def brute_base(t: str) -> list:
     out = []
     for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
