@@ -18,10 +18,15 @@ from tessera.llm.shared import bounded, components, materialize, sorted_groups
 BANDS, ROWS = 6, 3
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
 REACH = 8
+#: Words of an anchor; of every WINDOW runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 47 words share one.
+GRAM, WINDOW = 16, 32
+#: Keys of exact spans are kept apart from those of paragraphs, which may stand at the same words.
+EXACT = 0x2545F4914F6CDD1D
 
 PARAGRAPHS = T.StructType([T.StructField("id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("key", T.LongType())])
 BAND = T.StructType([T.StructField("band", T.LongType()), T.StructField("key", T.LongType())])
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+ANCHORS = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "at", "key", "begin", "left", "end", "right")])
 TOKENS = T.StructType([T.StructField("key", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
 
@@ -82,6 +87,28 @@ def units(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
+def anchors(part: Words) -> np.ndarray:
+    """First words of the anchors: of each WINDOW neighbouring runs of GRAM words in a text, over line ends, the first of least hash."""
+    n = len(part.hash)
+    at = np.arange(n)
+    left = np.cumsum(part.count)[part.text] - at if n else at
+    at, left = at[left >= GRAM], left[left >= GRAM]
+    if not len(at):
+        return at
+    # Texts are kept apart by so many greatest values.
+    value = np.full(n + len(part) * WINDOW + WINDOW, np.uint64(0xFFFFFFFFFFFFFFFF))
+    place = np.zeros(len(value), np.int64)
+    spread = at + part.text[at] * WINDOW
+    value[spread], place[spread] = mix(_keys(part, at, at + GRAM).view(np.uint64) ^ np.uint64(EXACT)), at
+    step = 1
+    while step < WINDOW:
+        less = value[step:] < value[:-step]
+        value, place = np.where(less, value[step:], value[:-step]), np.where(less, place[step:], place[:-step])
+        step *= 2
+    starts = (left >= GRAM + WINDOW - 1) | (part.count[part.text[at]] == left)
+    return np.unique(place[spread[starts]])
+
+
 def _keys(part: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit key of each paragraph's words in order."""
     n = len(part.hash)
@@ -147,6 +174,55 @@ def _stars(table: pa.Table) -> list[pa.RecordBatch]:
     return [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])]
 
 
+def exact_spans(docs: DataFrame) -> DataFrame:
+    """(id, first_word, n_words, key): spans of docs (id, text) that cover all that repeats exactly in GRAM + WINDOW - 1 words or more.
+
+    Of WINDOW neighbouring runs of GRAM words in such a passage, one is an
+    anchor (``anchors``) at all its places, so WINDOW words to both sides of the
+    anchors cover it.  A side is a span.  Where an anchor that repeats has
+    different sides, each run of GRAM words in them is one too, at the first
+    place of each different side and no other: later places repeat that side.
+    """
+
+    def bounds(part: Words, _: int) -> tuple[np.ndarray, np.ndarray]:
+        at = anchors(part)
+        return at, at + GRAM
+
+    def of(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
+        own, salt = part.text[begin], np.int64(EXACT)  # sides have salts of their own: two may be the same words
+        last = np.cumsum(part.count)[own]
+        zero = last - part.count[own]
+        low, high = np.maximum(zero, begin - WINDOW), np.minimum(last, end + WINDOW)
+        return batch.column(0).take(pa.array(own + part.first)), begin - zero, _keys(part, begin, end) ^ salt, low - zero, _keys(part, low, end) ^ ~salt, high - zero, _keys(part, begin, high) ^ (salt >> 1)
+
+    table = materialize(_scan(docs, ["id", "text"], ANCHORS, of, 0, bounds), "anchors")
+    often = table.groupBy("key").count().where("count > 1").select("key")
+    table = materialize(table.join(bounded(often, 2_000_000), "key", "left_semi").select(*table.columns), "anchors-repeated")
+    sides = table.select("key", F.expr("""inline(array(
+        struct(0 as side, left as next, struct(id, at, begin as low, at - 1 as high) as place),
+        struct(1 as side, right as next, struct(id, at, at + 1 as low, end as high) as place)))"""))
+    sides = sides.groupBy("key", "side", "next").agg(F.min("place").alias("place"))
+    ends = sides.groupBy("key", "side").agg(F.collect_list("place").alias("places")).where("size(places) > 1").select(F.explode("places").alias("p")).select("p.*")
+    ends = materialize(ends.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchors-ends").select(F.col("id").alias("__id"), "ranges")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces(b)):
+            for part in words(batch.column(2), lower=True):
+                begin, zero = [], np.cumsum(part.count) - part.count
+                for i in range(len(part)):
+                    runs = [np.arange(r["low"], min(r["high"], int(part.count[i]) - GRAM) + 1) for r in batch.column(1)[part.first + i].as_py()]
+                    begin.append(np.unique(np.concatenate(runs)) + zero[i])
+                begin = np.setdiff1d(np.concatenate(begin).astype(np.int64), anchors(part))  # anchors are spans already
+                own = part.text[begin]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + part.first)), *map(pa.array, (begin - zero[own], np.full(len(begin), GRAM), _keys(part, begin, begin + GRAM) ^ np.int64(EXACT)))], names=PARAGRAPHS.fieldNames())
+
+    inner = docs.join(bounded(ends), docs["id"].eqNullSafe(F.col("__id"))).select("id", "ranges", "text").mapInArrow(grams, PARAGRAPHS)
+    # A left side is needed at the start of a text only: else the right side of an anchor before covers what is equal.
+    spans = table.select("*", F.expr("inline(array(struct(0 as side), struct(1 as side), struct(2 as side)))")).where("side < 2 or begin = 0 and at > 0")
+    spans = spans.select("id", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
+    return spans.toDF(*PARAGRAPHS.fieldNames()).unionAll(inner)
+
+
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, min_words: int = 16) -> DataFrame:
     """Passages of texts that repeat, whole or nearly, elsewhere: one row for each.
 
@@ -158,7 +234,9 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     (``band_rows``), components of colliding paragraphs are dealt into blocks,
     and pairs are verified there on whole sets (``blocks.links``).  Of each
     class the first place, by id and word, is kept and all others are removed.
-    A place that overlaps the first one isn't removed.  Neighbouring or
+    Spans that repeat exactly (``exact_spans``) are classes too, so a passage of
+    47 words or more is found whole wherever it stands and lines end in it.  A
+    place that overlaps the first one isn't removed.  Neighbouring or
     overlapping spans of one text with the same fate, fewer than k words apart,
     make a passage; those of ``min_words`` or more are returned.  Words of a
     kept passage that a removed one holds as well are removed.
@@ -196,6 +274,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     members = blocks.in_blocks(near.select("root", "key", F.lit(1).cast("bigint").alias("copies"))).join(tokens, "key")
     linked = materialize(blocks.links(members, percent).select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links")
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
+    found = found.unionAll(materialize(exact_spans(some), "exact-spans"))
     # Keys with one place and no link are done with: what follows is what repeats.
     place = F.struct("id", "first_word", (-F.col("n_words")).alias("less"))
     counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))

@@ -185,6 +185,15 @@ def test_substrings_whole_lines_that_are_edited(spark):
     assert not any(gone[:8]) and all(g == set(range(9, 69)) for g in gone[8:])
 
 
+def test_substrings_passages_inside_lines(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(51) for _ in range(40)]
+    gone = removed_words(spark, [" ".join(fresh(30) + p + fresh(30)) for p in passages] + [" ".join(fresh(17) + p + fresh(40)) for p in passages] + [" ".join(fresh(8)[:1] * 100)])
+    assert not any(gone[:40]) and gone[80] == set(range(16, 100))
+    assert all(g >= set(range(17, 68)) and len(g) < 64 for g in gone[40:80])  # more words where a piece links as a near copy
+
+
 def brute_base(t: str) -> list:
     out = []
     for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
