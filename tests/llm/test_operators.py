@@ -194,6 +194,16 @@ def test_substrings_passages_inside_lines(spark):
     assert all(g >= set(range(17, 68)) and len(g) < 64 for g in gone[40:80])  # more words where a piece links as a near copy
 
 
+def test_substrings_passages_of_short_lines(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(80)
+    wrapped = lambda n: "\n".join(" ".join(passage[i : i + n]) for i in range(0, 80, n))
+    texts = [" ".join(fresh(20)) + "\n" + wrapped(n) + "\n" + " ".join(fresh(20)) for n in (4, 4, 3, 9)]
+    gone = removed_words(spark, texts)
+    assert not gone[0] and all(g == set(range(20, 100)) for g in gone[1:])
+
+
 def brute_base(t: str) -> list:
     out = []
     for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
