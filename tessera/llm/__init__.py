@@ -4,10 +4,3 @@ Nothing else in the library imports this package.  Each module holds one
 operator; ``queries`` registers them; ``shared`` and ``arrowtext`` hold what
 several of them use.
 """
-
-from pyspark import cloudpickle
-
-import tessera
-
-# Executors get this package's functions with the task, so they need no copy of it.
-cloudpickle.register_pickle_by_value(tessera)

@@ -93,7 +93,7 @@ def plain(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -107,6 +107,15 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
+def hashes_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The 64-bit values in each row of a binary column, without copies."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    raw, at = plain(column)
+    data = np.ascontiguousarray(raw).view(np.int64)
+    return [data[a:b] for a, b in zip((at[:-1] >> 3).tolist(), (at[1:] >> 3).tolist(), strict=True)]
+
+
 def words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a string column, slice by slice."""
     raw, at = plain(column)

@@ -1,8 +1,8 @@
 """Exact links inside candidate components: members are dealt into blocks, and each pair of blocks is one group.
 
-A component of m sets makes (m / BLOCK)^2 / 2 groups of at most 2 * BLOCK sets,
-so no task holds a whole component, and what leaves a group is one row for each
-of its sets, never its pairs.
+A component's blocks hold BLOCK sets or BLOCK_TOKENS tokens, whichever is
+reached first, so no task holds a whole component, and what leaves a group is
+one row for each of its sets, never its pairs.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.arrowtext import hashes_of
 from tessera.llm.shared import bounded, sorted_groups
 
-#: Sets of a block, and columns of the dense slices that are multiplied.
+#: Sets and tokens of a block, and columns of the dense slices that are multiplied.
 BLOCK = 256
-COLUMNS = 4096
+BLOCK_TOKENS = 1 << 19
+COLUMNS = 2048
 
 LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("to", T.LongType()), T.StructField("links", T.LongType())])
 
@@ -69,35 +71,40 @@ def roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """members (root, key, ...) with columns i and j: one row for each pair of blocks that its block takes part in."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n")).where("n > 1")
-    dealt = members.join(bounded(sizes), "root", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("key"), "n").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    """members (root, key, n, ...) with columns i, j and side: one row for each pair of blocks that its block takes part in.
+
+    n: tokens of the set.  Blocks are dealt by a hash of the key.
+    """
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("m"), F.count(F.lit(1)).alias("many"))
+    sizes = sizes.where("m > 1").select("root", F.least("m", "many").cast("int").alias("m"))
+    dealt = members.join(bounded(sizes), "root", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("key"), "m").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     return dealt.select(*members.columns, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"))
 
 
-def links(members: DataFrame, percent: int, with_prefix: bool = False) -> DataFrame:
+def links(members: DataFrame, percent: int, prefixes: bool = False, sets: bool = True) -> DataFrame:
     """(key, to, links) of each set in each group of ``in_blocks``.
 
-    members: root, i, j, side, key, copies, tokens (little-endian 64-bit values
-    in binary), and, if ``with_prefix``, level and prefix (array of bigint).
+    members: root, i, j, side, key, copies, n, and, if ``sets``, tokens (64-bit
+    values in binary); if ``prefixes``, level and prefix (array of bigint).
     Two sets link if 100 * intersection >= percent * union; with prefixes, only
     pairs that share as many prefix tokens as the lower of their levels are
-    verified at all.  ``to`` is the least key that the group's links lead to,
-    ``links`` the copies of all linked sets.
+    verified at all, and without ``sets`` those are the links.  ``to`` is the
+    least key that the group's links lead to, ``links`` the copies of all
+    linked sets.
     """
 
     def make() -> Callable[[pa.Table], list[pa.RecordBatch]]:
-        return lambda table: _links(table, percent, with_prefix)
+        return lambda table: _links(table, percent, prefixes, sets)
 
     return sorted_groups(members, ["root", "i", "j"], make, LINKS, order=["key"])
 
 
-def _links(table: pa.Table, percent: int, with_prefix: bool) -> list[pa.RecordBatch]:
+def _links(table: pa.Table, percent: int, prefixes: bool, sets: bool) -> list[pa.RecordBatch]:
     get = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-    root, i, j, side, key, copies = (get(c) for c in ("root", "i", "j", "side", "key", "copies"))
-    tokens = [np.frombuffer(x, np.int64) for x in table.column("tokens").to_pylist()]
-    if with_prefix:
+    root, i, j, side, key, copies, n = (get(c) for c in ("root", "i", "j", "side", "key", "copies", "n"))
+    tokens = hashes_of(table.column("tokens")) if sets else None
+    if prefixes:
         level, lists = get("level"), table.column("prefix").combine_chunks()
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         prefix = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -112,24 +119,25 @@ def _links(table: pa.Table, percent: int, with_prefix: bool) -> list[pa.RecordBa
         r = row[a:b]
         if len(r) < 2:
             continue
-        sets, size = [tokens[x] for x in r], np.array([len(tokens[x]) for x in r])
-        may = np.triu(np.ones((len(r), len(r)), bool), 1) & (100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size))
+        size = n[r]
+        ok = np.triu(np.ones((len(r), len(r)), bool), 1) & (100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size))
         if i[r[0]] != j[r[0]]:
-            may &= side[r][:, None] != side[r][None, :]
-        if with_prefix:
-            may &= overlaps([prefix[x] for x in r]) >= np.minimum.outer(level[r], level[r])
-        use = np.flatnonzero(may.any(0) | may.any(1))
+            ok &= side[r][:, None] != side[r][None, :]
+        if prefixes:
+            ok &= overlaps([prefix[x] for x in r]) >= np.minimum.outer(level[r], level[r])
+        use = np.flatnonzero(ok.any(0) | ok.any(1))
         if len(use) < 2:
             continue
-        both = overlaps([sets[x] for x in use])
-        ok = may[np.ix_(use, use)] & ((100 + percent) * both >= percent * np.add.outer(size[use], size[use]))
+        ok = ok[np.ix_(use, use)]
+        if sets:
+            ok &= (100 + percent) * overlaps([tokens[x] for x in r[use]]) >= percent * np.add.outer(size[use], size[use])
         x, y = np.nonzero(ok)
         if len(x):
             k, c = key[r][use], copies[r][use]
-            n = np.bincount(x, c[y], minlength=len(use)) + np.bincount(y, c[x], minlength=len(use))
+            many = np.bincount(x, c[y], minlength=len(use)) + np.bincount(y, c[x], minlength=len(use))
             to = k[roots(len(use), x, y)]
-            some = n > 0
-            out_key.append(k[some]), out_to.append(to[some]), out_links.append(n[some].astype(np.int64))
+            some = many > 0
+            out_key.append(k[some]), out_to.append(to[some]), out_links.append(many[some].astype(np.int64))
     if not out_key:
         return []
     return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_key, out_to, out_links)], names=LINKS.fieldNames())]

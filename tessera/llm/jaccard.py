@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import blocks
 from tessera.llm.arrowtext import pieces, set_key, word_sets
-from tessera.llm.shared import bounded, components, materialize, sorted_groups
+from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, sorted_groups
 
 #: Share of the hash space whose tokens are counted exactly (see ``prefix_tokens``).
 COUNTED = 4
@@ -22,13 +22,15 @@ LEVELS = 3
 MOST = 1000
 #: Tokens in more than one of so many documents of a slice are looked at as frequent.
 FREQUENT = 50
-#: Rows that a task holds before it passes them on.
-EMITTED = 200_000
-#: Documents of a posting block.
+#: Tokens that a task holds before it passes them on.
+EMITTED = 100_000
+#: Postings of up to so many sets have their pairs counted; larger ones are spanned by forests.
+SMALL = 16
+#: Sets of a block of a larger posting.
 POSTINGS = 1000
 
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("token", T.LongType()), T.StructField("many", T.LongType())])
-TOKENS = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "key", "n", "counted", "rank")])
+TOKENS = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "counted")] + [T.StructField("tokens", T.ArrayType(T.LongType()))])
 SHARED = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "counted", "rank", "token", "df")])
 PREFIX = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("level", T.LongType()), T.StructField("token", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.LongType())), T.StructField("df", T.ArrayType(T.LongType()))])
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -58,7 +60,7 @@ def document_sets(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
                 token, many = token[often].view(np.int64), many[often].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([none(len(token)), none(len(token)), none(len(token)), pa.array(token), pa.array(many)], names=SETS.fieldNames())
 
-    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SETS)
+    return map_arrow(docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")), run, SETS)
 
 
 def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: list[int]) -> DataFrame:
@@ -70,11 +72,11 @@ def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: li
     gives the same links; rare tokens first leave most sets with a prefix of
     tokens of their own, and such a set is dropped here.
 
-    A set's level, 1 to ``LEVELS``, is the one of least estimated cost: reading
-    the postings of its prefix plus verifying the candidates that share as
-    many tokens as the level.  A prefix of level l is l - 1 tokens longer, and
-    two linked sets share at least the lower of their levels in tokens of their
-    prefixes.
+    A set's level, 1 to ``LEVELS`` and at most the overlap that a link needs, is
+    the one of least estimated cost: reading the postings of its prefix plus
+    verifying the candidates that share as many tokens as the level.  A prefix
+    of level l is l - 1 tokens longer, and two linked sets share at least the
+    lower of their levels in tokens of their prefixes.
     """
     limit = np.uint64((1 << 64) // COUNTED)
     sc = docs.sparkSession.sparkContext
@@ -83,11 +85,11 @@ def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: li
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = often.value
         for batch in batches:
-            seen, parts, size = set(), [], 0
+            seen, rows, size = set(), [], 0
             for tokens in (t for piece in pieces(batch) for _, t in word_sets(piece.column(0), k)):
                 if size > EMITTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=TOKENS.fieldNames())
-                    parts, size = [], 0
+                    yield _rows(rows)
+                    rows, size = [], 0
                 n = len(tokens)
                 if not n or (key := set_key(tokens)) in seen:
                     continue
@@ -98,14 +100,13 @@ def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: li
                 more = np.zeros(0, np.uint64)
                 if (m := min(length, n) - len(counted)) > 0:
                     more = np.concatenate([low[is_hot], tokens[len(low) :][:m]])[:m]
-                token = np.concatenate([counted, more]).view(np.int64)
-                rank = np.concatenate([np.full(len(counted), -1, np.int64), np.arange(len(more))])
-                size += len(token)
-                parts.append((token, np.full(len(token), key), np.full(len(token), n), np.full(len(token), len(counted)), rank))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=TOKENS.fieldNames())
+                rows.append((key, n, len(counted), np.concatenate([counted, more]).view(np.int64)))
+                size += len(rows[-1][3])
+            if rows:
+                yield _rows(rows)
 
-    emitted = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(emit, TOKENS)
+    emitted = map_arrow(docs.select(F.col(f"`{text}`").alias("text")), emit, TOKENS).select("key", "n", "counted", F.posexplode("tokens").alias("at", "token"))
+    emitted = emitted.select("token", "key", "n", "counted", F.when(F.col("at") < F.col("counted"), -1).otherwise(F.col("at") - F.col("counted")).cast("bigint").alias("rank"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams rows sorted by token and key; at most MOST rows of a token are held."""
@@ -139,7 +140,7 @@ def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: li
         if held is not None:
             yield _shared(held, np.full(len(held[0]), len(held[0])))
 
-    counted = emitted.repartition("token").sortWithinPartitions("token", "key").mapInArrow(count, SHARED)
+    counted = map_arrow(emitted.repartition("token").sortWithinPartitions("token", "key"), count, SHARED)
 
     def make() -> Callable[[pa.Table], list[pa.RecordBatch]]:
         return lambda table: _choose(table, percent)
@@ -147,6 +148,13 @@ def prefix_tokens(docs: DataFrame, text: str, k: int, percent: int, frequent: li
     return sorted_groups(counted, ["key"], make, PREFIX)
 
 
+def _rows(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    key, n, counted, tokens = zip(*rows, strict=True)
+    ends = pa.array(np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int32))
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)))
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, n, counted)), lists], names=TOKENS.fieldNames())
+
+
 def _shared(c: list[np.ndarray], df: np.ndarray) -> pa.RecordBatch:
     token, key, n, counted, rank = (x[df > 1] for x in c)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, counted, rank, token, df[df > 1])], names=SHARED.fieldNames())
@@ -166,7 +174,7 @@ def _choose(table: pa.Table, percent: int) -> list[pa.RecordBatch]:
     for l in range(1, LEVELS + 1):
         inside = at < length + l - 1
         cost = np.bincount(group, df * inside, minlength=len(begin)) + n[begin] * np.bincount(group, (df - 1) * inside, minlength=len(begin)) / l
-        better = cost < best
+        better = (cost < best) & (l <= np.maximum(1, _need(n[begin], percent)))
         best[better], level[better] = cost[better], l
     keep = at < length + level[group] - 1
     group, at, token, df = group[keep], at[keep], token[keep], df[keep]
@@ -181,53 +189,86 @@ def _choose(table: pa.Table, percent: int) -> list[pa.RecordBatch]:
 
 def _candidates(table: pa.Table, percent: int) -> list[pa.RecordBatch]:
     """Edges of a forest that spans the candidate pairs of each posting block."""
-    token, i, j, side, key, n, at = (table.column(c).combine_chunks().to_numpy() for c in ("token", "i", "j", "side", "key", "n", "at"))
+    token, i, j, side, key, n, level, at = (table.column(c).combine_chunks().to_numpy() for c in ("token", "i", "j", "side", "key", "n", "level", "at"))
     begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
     size = np.diff(np.append(begin, len(token)))
     begin, size = begin[size > 1], size[size > 1]
     found = []
-    step = max(1, 4_000_000 // (int(size.max()) ** 2 or 1)) if len(size) else 1
+    step = max(1, 500_000 // (int(size.max()) ** 2 or 1)) if len(size) else 1
     for g in range(0, len(size), step):
         b, s = begin[g : g + step], size[g : g + step]
         rows = np.repeat(np.arange(len(b)), s)
         first = np.arange(len(rows)) - np.repeat(np.cumsum(s) - s, s)
-        x = np.repeat(b[rows] + first, s[rows] - first - 1)
         n_later = s[rows] - first - 1
+        x = np.repeat(b[rows] + first, n_later)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n_later) - n_later, n_later)
         ok = (key[x] != key[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
         ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        x, y = x[ok], y[ok]
         need = -(-percent * (n[x] + n[y]) // (100 + percent))
-        ok &= np.minimum(n[x] - at[x], n[y] - at[y]) >= need  # as if no earlier token were shared
+        ok = np.minimum(n[x] - at[x], n[y] - at[y]) > need - np.minimum(level[x], level[y])
         pairs = np.stack([np.minimum(key[x[ok]], key[y[ok]]), np.maximum(key[x[ok]], key[y[ok]])], 1)
         if len(pairs):
-            found.append(np.unique(pairs, axis=0))
+            found.append(_forest(pairs))
     if not found:
         return []
-    pairs = np.concatenate(found)
+    pairs = _forest(np.concatenate(found))
+    return [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], names=["a", "b"])]
+
+
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Stars that join the same nodes as the pairs do."""
     nodes, at = np.unique(pairs, return_inverse=True)
     at = at.reshape(pairs.shape)
     up = blocks.roots(len(nodes), at[:, 0], at[:, 1])
     child = np.flatnonzero(up != np.arange(len(nodes)))
-    return [pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[up[child]])], names=["a", "b"])]
+    return np.stack([nodes[child], nodes[up[child]]], 1)
 
 
 def candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that may link, joined to a spanning forest of each posting.
-
-    A pair counts as candidate if some shared prefix token leaves enough tokens
-    behind it, in both sets, for the overlap that linking needs.  Postings of
+    """(a, b): sets that may link.
+
+    Pairs are counted token by token in postings of up to ``SMALL`` sets, and
+    those that share as many tokens as the lower of their levels are edges: so
+    many rows at most go out for each row of a posting.  In larger postings one
+    token is enough; each is spanned by a forest, so its pairs don't leave the
+    task, and ``refined`` counts what they share.  A pair whose shared tokens are
+    few in small postings has one in a large one.  In either kind a token counts
+    only if it leaves enough tokens behind it, in both sets, for the overlap
+    that linking needs when level - 1 tokens are shared before it.  Postings of
     more than ``POSTINGS`` sets are dealt into pairs of blocks.
     """
-    rows = prefixes.select("key", "n", F.explode(F.arrays_zip("token", "at", "df")).alias("p")).select("key", "n", "p.token", "p.at", "p.df")
+    rows = prefixes.select("key", "n", "level", F.explode(F.arrays_zip("token", "at", "df")).alias("p")).select("key", "n", "level", "p.token", "p.at", "p.df")
+    lists = rows.where(F.col("df") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("key", "n", "level", "at")).alias("l")).where("size(l) > 1")
+    pairs = lists.select(F.expr("inline(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x, y)))))")).where(f"""
+        x.key <> y.key and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+        and least(x.n - x.at, y.n - y.at) > ({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent} - least(x.level, y.level)""")
+    pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.least("x.level", "y.level").alias("level"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("level").alias("level")).where("shared >= level").select("a", "b")
+    rows = rows.where(F.col("df") > SMALL)
     large = rows.where(F.col("df") >= MOST).groupBy("token").agg(F.ceil(F.count(F.lit(1)) / POSTINGS).cast("int").alias("m")).where("m > 1")
     rows = rows.join(bounded(large), "token", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("key"), "m").cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "key", "n", "at")
+    rows = rows.select("token", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "key", "n", "level", "at")
 
     def make() -> Callable[[pa.Table], list[pa.RecordBatch]]:
         return lambda table: _candidates(table, percent)
 
-    return sorted_groups(rows, ["token", "i", "j"], make, EDGES)
+    return sorted_groups(rows, ["token", "i", "j"], make, EDGES).unionAll(pairs)
+
+
+def refined(members: DataFrame, percent: int) -> DataFrame:
+    """members with the components of more than a block parted into those of pairs that share enough prefix tokens.
+
+    Only prefixes are dealt into blocks here; sets that no pair needs drop out.
+    """
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > blocks.BLOCK).select("root")
+    large = bounded(materialize(large, "jaccard-large", 1))
+    group = blocks.in_blocks(members.join(large, "root", "left_semi").select("root", "key", "copies", F.size("prefix").cast("bigint").alias("weight"), F.col("n").alias("size"), "level", "prefix").withColumnRenamed("weight", "n"))
+    found = blocks.links(group.drop("n").withColumnRenamed("size", "n"), percent, prefixes=True, sets=False)
+    parts = materialize(components(found.select(F.col("key").alias("a"), F.col("to").alias("b")), "jaccard-refined"), "jaccard-parted")
+    rest = members.join(large, "root", "left_anti")
+    return rest.unionByName(members.drop("root").join(parts.withColumnRenamed("node", "key"), "key").select(*members.columns))
 
 
 def tokens_of(docs: DataFrame, text: str, k: int) -> DataFrame:
@@ -245,10 +286,10 @@ def tokens_of(docs: DataFrame, text: str, k: int) -> DataFrame:
                     key, data, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary())], names=TEXTS.fieldNames())
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, TEXTS)
+    return map_arrow(docs.select(F.col(f"`{text}`").alias("text")), run, TEXTS)
 
 
-def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: (id, n_shingles, component_id, n_links).
 
     A text's set is its distinct shingles of k words (A-Z lower-cased; fewer
@@ -261,10 +302,11 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k:
 
     Copies are collapsed first: sets are known by a 64-bit hash of all their
     tokens and by their size.  Prefixes (``prefix_tokens``) meet in postings
-    (``candidate_edges``); components of candidates are dealt into blocks in
-    which pairs with enough shared prefix tokens are verified on whole sets
+    and pairs that share as many tokens as their levels ask for become
+    candidates (``candidate_edges``, ``refined``); components of candidates are
+    dealt into blocks in which such pairs are verified on whole sets
     (``blocks.links``).  Texts are read three times rather than kept: what is
-    shuffled is a quarter of the tokens, once, and the texts in candidate
+    shuffled is a quarter of the tokens, once, and the sets in candidate
     components.
     """
     sets = materialize(document_sets(docs, id, text, k), "jaccard-sets")
@@ -274,21 +316,26 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k:
     often = sets.where("token is not null").groupBy("token").agg(F.sum("many").alias("many")).where(F.col("many") >= total // FREQUENT)
     prefixes = materialize(prefix_tokens(docs, text, k, percent, [r.token for r in often.select("token").collect()]), "jaccard-prefixes")
     keys = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    parts = materialize(components(candidate_edges(prefixes, percent), "jaccard-candidates"), "jaccard-parts")
-    members = parts.withColumnRenamed("node", "key").join(keys, "key").join(prefixes.select("key", "level", F.col("token").alias("prefix")), "key")
-    members = materialize(members, "jaccard-members")
+    parts = components(candidate_edges(prefixes, percent), "jaccard-candidates")
+    members = parts.withColumnRenamed("node", "key").join(prefixes.select("key", "n", "level", F.col("token").alias("prefix")), "key").join(keys, "key")
+    whole = materialize(members, "jaccard-members")
+    members = materialize(refined(whole, percent), "jaccard-refined-members")
+    discard(prefixes, whole)
     wanted = members.select(F.col("least").alias("__id")).distinct()
-    chosen = docs.join(bounded(wanted, 2_000_000), F.col(f"`{id}`").cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
-    tokens = tokens_of(chosen, text, k).join(bounded(members.select("key").distinct(), 2_000_000), "key", "left_semi").dropDuplicates(["key"])
-    group = blocks.in_blocks(members.select("root", "key", "copies", "level", "prefix")).join(tokens, "key")
-    found = materialize(blocks.links(group, percent, with_prefix=True), "jaccard-links")
+    chosen = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).join(bounded(wanted, 1_000_000), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    tokens = tokens_of(chosen, "text", k).join(bounded(members.select("key").distinct(), 1_000_000), "key", "left_semi").dropDuplicates(["key"])
+    group = blocks.in_blocks(members.select("root", "key", "copies", "n", "level", "prefix")).join(tokens, "key")
+    found = materialize(blocks.links(group, percent, prefixes=True), "jaccard-links")
     final = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")), "jaccard-final")
     final = final.join(keys, F.col("node") == F.col("key")).select("node", "root", "least")
     least = final.groupBy("root").agg(F.min("least").alias("component"))
     n_links = found.groupBy("key").agg(F.sum("links").alias("links"))
     classes = final.join(least, "root").select(F.col("node").alias("key"), "component").join(n_links, "key")
     classes = keys.join(classes, "key", "left").where("copies > 1 or component is not null").select("key", "copies", F.coalesce("component", "least").alias("component"), "links")
-    joined = rows.join(classes, "key", "left")
+    # Written, so that a set with very many copies meets a plain table that Spark can split or broadcast.
+    classes = materialize(classes, "jaccard-classes")
+    discard(members, found)
+    joined = rows.join(bounded(classes), "key", "left")
     return joined.select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
@@ -300,7 +347,7 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k:
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """The contract's columns, and links, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_join(docs)
+    return jaccard_join(docs, k=3, percent=90)
 
 
 OP5_SQL = r"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrowtext import pieces
+from tessera.llm.shared import map_arrow
 
 #: Kinds in the order of span lists: those of the contract, then the classifier's.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -146,7 +147,7 @@ def patterns(docs: DataFrame, text: str) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()))], names=PATTERNS.fieldNames())
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, PATTERNS).groupBy("votes", "features").agg(F.sum("many").alias("many"))
+    return map_arrow(docs.select(F.col(f"`{text}`").alias("text")), run, PATTERNS).groupBy("votes", "features").agg(F.sum("many").alias("many"))
 
 
 def _unpack(x: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -287,7 +288,7 @@ def find_pii(docs: DataFrame, text: str = "text", *, model: SpanModel | None = N
                 columns.append(pc.coalesce(pa.array(clean, source.type), source))
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def _redacted(text: str, spans: list[tuple[int, int, int]]) -> str:

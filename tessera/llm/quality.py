@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrowtext import Words, mix, pieces, words
+from tessera.llm.shared import map_arrow
 
 #: Whole lines of a page's furniture, without case, marks at the end and white space around them (fixed values).
 BOILERPLATE = (
@@ -168,7 +169,7 @@ def clean_lines(
                     columns.append(pa.array(found[f.name]))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

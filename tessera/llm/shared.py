@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,19 +16,40 @@ from pyspark.sql import types as T
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows that a broadcast side may have; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Edges of a task, and of a file, of a round of ``components``.
+EDGES_A_TASK = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or a temporary one where it is unset (a single machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tessera-checkpoints").rstrip("/")
+    """The folder named in spark.checkpoint.dir; unset, a temporary one on a single machine and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/tessera-checkpoints"
+    return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: later jobs reread it when executors are lost."""
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df to a new table in the shared folder and read it back: later jobs reread it when executors are lost.
+
+    ``files``: so many tasks write it at most, for tables known to be small.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -35,43 +57,57 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def sorted_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[pa.Table, bool], list[pa.RecordBatch]]], schema: T.StructType, order: list[str] | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow whose function carries this package's code: executors need no copy of it."""
+    import tessera.llm
+
+    cloudpickle.register_pickle_by_value(tessera.llm)
+    try:
+        return df.mapInArrow(run, schema)
+    finally:
+        cloudpickle.unregister_pickle_by_value(tessera.llm)
+
+
+def sorted_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[pa.Table], list[pa.RecordBatch]]], schema: T.StructType, order: list[str] | None = None) -> DataFrame:
     """Run over df dealt by ``keys`` and sorted by them and ``order``.
 
-    ``make()`` gives, for each task, a function of a table of whole groups; a
-    group that a batch ends in is carried into the next call.
+    ``make()`` gives, for each task, a function of a table of whole groups; the
+    group that a batch ends in is held until it is complete, so callers bound
+    the size of a group.
     """
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        work, rest = make(), None
+        work, held, last = make(), [], None
+        whole = lambda parts: pa.Table.from_batches(parts).combine_chunks()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table]).combine_chunks()
-            same = np.ones(table.num_rows, bool)
-            for k in names:
-                column = table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
-                same &= column == column[-1]
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+            same = np.logical_and.reduce([c == c[-1] for c in columns])
+            cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))  # the last group begins here
+            first = tuple(c[0] for c in columns)
             if cut:
-                yield from work(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None:
-            yield from work(rest.combine_chunks())
+                yield from work(whole([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and first != last:
+                yield from work(whole(held))
+                held = []
+            held.append(batch.slice(cut))
+            last = tuple(c[-1] for c in columns)
+        if held:
+            yield from work(whole(held))
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
+    return map_arrow(df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *(order or [])), run, schema)
 
 
 def _edges_written(e: DataFrame, name: str, rows: int | None) -> tuple[DataFrame, tuple]:
-    """e written and read again, with its count and checksum as observed on the way; in tasks of 100,000 of ``rows`` each."""
+    """e written and read again, with its count and checksum as observed on the way; a file for EDGES_A_TASK of ``rows``."""
     seen = Observation()
     e = e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
-    e = materialize(e if rows is None else e.coalesce(max(8, rows // 100_000)), name)
+    e = materialize(e, name, rows and 1 + rows // EDGES_A_TASK)
     return e, (seen.get["n"], seen.get["s"])
 
 
@@ -80,20 +116,26 @@ def components(edges: DataFrame, name: str = "components", limit: int = 60) -> D
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014);
     each round is a written table, so the plan stays short and lost executors
-    only cost the round.  Returns (node, root) for each node that has an edge;
-    the root is the component's least node.  Self-loops and nulls are ignored.
+    only cost the round; the round before it is deleted.  The least neighbours
+    of a large-star step are a table too: both sides of its join are then dealt
+    out as they are, and Spark can split a node with very many neighbours.
+    Returns (node, root) for each node that has an edge; the root is the
+    component's least node.  Self-loops and nulls are ignored.
     """
     e, state = _edges_written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name, None)
     for _ in range(limit):
-        if not state[0]:
+        n = state[0]
+        if not n:
             break
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        before, (e, state) = state, _edges_written(small, name, state[0])
+        files = 1 + n // EDGES_A_TASK
+        turned = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = materialize(e.unionAll(turned).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least", files)
+        large = turned.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        center = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(center, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionAll(center.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        before, old, (e, state) = state, e, _edges_written(small, name, n)
+        discard(old, least)
         if state == before:
             break
     else:

@@ -68,7 +68,7 @@ def test_quality_removes_lines_and_keeps_the_rest(spark):
 
 
 def test_jaccard_matches_sql(spark, docs):
-    got = jaccard.jaccard_join(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+    got = jaccard.jaccard_join(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
     assert rows(got) == rows(sql(jaccard.OP5_SQL, documents=pandas_docs()))
 
 
@@ -94,12 +94,14 @@ def brute_links(texts: list[str], percent: int) -> tuple[list[int], list[int]]:
     return [top(i) for i in range(len(texts))], count
 
 
-@pytest.mark.parametrize(("percent", "posting"), [(90, 1000), (70, 1000), (90, 7)])
+@pytest.mark.parametrize(("percent", "posting"), [(90, 1000), (70, 1000), (90, 7), (70, 7)])
 def test_jaccard_chains_and_split_postings(spark, monkeypatch, percent, posting):
     """A large group of near copies whose pairs are on both sides of the threshold; small postings and blocks give the same."""
     monkeypatch.setattr(jaccard, "POSTINGS", posting)
     monkeypatch.setattr(jaccard, "MOST", posting)
+    monkeypatch.setattr(jaccard, "SMALL", min(posting - 1, jaccard.SMALL))
     monkeypatch.setattr(jaccard.blocks, "BLOCK", 16 if posting < 100 else 256)
+    monkeypatch.setattr(jaccard.blocks, "BLOCK_TOKENS", 1000 if posting < 100 else 1 << 19)
     rng = random.Random(percent)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     texts = []
@@ -109,7 +111,16 @@ def test_jaccard_chains_and_split_postings(spark, monkeypatch, percent, posting)
             t[rng.randrange(len(t))] = f"v{rng.randrange(10**6)}"
         texts.append(" ".join(t))
     texts += [" ".join(f"u{rng.randrange(60)}" for _ in range(rng.randint(3, 60))) for _ in range(40)] + texts[:5]
-    got = jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=percent).orderBy("doc_id").collect()
+    got = jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=3, percent=percent).orderBy("doc_id").collect()
+    component, count = brute_links(texts, percent)
+    assert [r.component_id for r in got] == component and [r.n_links for r in got] == count
+
+
+@pytest.mark.parametrize("percent", [30, 50, 60, 80, 90])
+def test_jaccard_short_texts_at_any_threshold(spark, percent):
+    rng = random.Random(percent)
+    texts = ["a b c", "a b c d"] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(90)]
+    got = jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=3, percent=percent).orderBy("doc_id").collect()
     component, count = brute_links(texts, percent)
     assert [r.component_id for r in got] == component and [r.n_links for r in got] == count
 
@@ -190,7 +201,7 @@ def test_substrings_passages_inside_lines(spark):
     fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
     passages = [fresh(51) for _ in range(40)]
     gone = removed_words(spark, [" ".join(fresh(30) + p + fresh(30)) for p in passages] + [" ".join(fresh(17) + p + fresh(40)) for p in passages] + [" ".join(fresh(8)[:1] * 100)])
-    assert not any(gone[:40]) and gone[80] == set(range(16, 100))
+    assert not any(gone[:40]) and gone[80] == set(range(9, 100))
     assert all(g >= set(range(17, 68)) and len(g) < 64 for g in gone[40:80])  # more words where a piece links as a near copy
 
 
@@ -204,6 +215,65 @@ def test_substrings_passages_of_short_lines(spark):
     assert not gone[0] and all(g == set(range(20, 100)) for g in gone[1:])
 
 
+def test_substrings_every_repeat_of_16_words(spark):
+    """Against all word runs: what repeats exactly in 16 words or more is found, and unrelated texts are left alone."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [fresh(n) for n in (16, 17, 20, 25, 31, 40, 50)]
+    texts = []
+    for _ in range(150):
+        t = fresh(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            t = t + rng.choice(shared) + fresh(rng.randint(1, 40))
+        texts.append(t)
+    texts += [fresh(120) for _ in range(40)]
+    seen, again = {}, [set() for _ in texts]
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 15):
+            at = seen.setdefault(tuple(t[i : i + 16]), d)
+            if at != d:
+                again[d] |= set(range(i, i + 16))
+    joined = ["".join(w + rng.choice([" ", " ", " ", "\n"]) for w in t) for t in texts]
+    gone = removed_words(spark, joined)
+    assert all(g >= a for g, a in zip(gone, again, strict=True)) and sum(map(len, again)) > 2000
+    assert not any(gone[150:]) and sum(map(len, gone)) <= 1.05 * sum(map(len, again))
+
+
+def test_substrings_near_paragraphs_of_all_pairs(spark):
+    """Of all pairs of lines with a similarity of 0.8 or more, nearly all later ones are removed."""
+    rng = random.Random(22)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    lines = []
+    for _ in range(60):
+        base = fresh(rng.randint(20, 120))
+        lines.append(base)
+        for _ in range(2):
+            other = list(base)
+            for _ in range(rng.randint(1, 4)):
+                other[rng.randrange(len(other))] = fresh(1)[0]
+            lines.append(other)
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in lines]
+    want = {b for b in range(len(lines)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    gone = removed_words(spark, [" ".join(x) for x in lines])
+    whole = {i for i, g in enumerate(gone) if len(g) == len(lines[i])}
+    assert len(want) > 30 and len(whole & want) >= 0.95 * len(want)
+
+
+def test_substrings_odd_rows(spark):
+    rng = random.Random(23)
+    fresh = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
+    passage, other, long = fresh(30), fresh(30), fresh(30000)
+    rows_ = [(None, passage + " " + fresh(9)), (None, fresh(5) + " " + passage), (None, None), (3, ""), (7, other), (7, other), (7, fresh(20) + " " + other), (8, long), (9, long), (10, fresh(50))]
+    df = spark.createDataFrame([(i, t, "mine", "mine", 5) for i, t in rows_], "doc_id long, text string, key string, __gone string, row long")
+    found = substrings.repeated_passages(df)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.removed) for r in found.collect())
+    assert got == [(-1, 30, False), (-1, 30, True), (7, 30, False), (7, 30, True), (8, 30000, False), (9, 30000, True)]
+    left = substrings.remove_passages(df, found)
+    assert left.columns == df.columns and left.where("key = 'mine' and __gone = 'mine' and row = 5").count() == len(rows_)
+    kept = sorted(len((r.text or "").split()) for r in left.collect())
+    assert kept == sorted([39, 5, 0, 0, 30, 30, 20, 30000, 0, 50]) or kept == sorted([9, 35, 0, 0, 30, 30, 20, 30000, 0, 50])
+
+
 def brute_base(t: str) -> list:
     out = []
     for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
