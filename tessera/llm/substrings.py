@@ -12,22 +12,23 @@ from pyspark.sql import types as T
 
 from tessera.llm import blocks
 from tessera.llm.arrowtext import Words, mix, pieces, words
-from tessera.llm.shared import bounded, components, materialize, sorted_groups
+from tessera.llm.shared import bounded, components, discard, map_arrow, materialize
 
 #: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
 BANDS, ROWS = 6, 3
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
 REACH = 8
-#: Words of an anchor; of every WINDOW runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 47 words share one.
-GRAM, WINDOW = 16, 32
+#: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 16 words share one.
+GRAM, WINDOW = 9, 8
 #: Keys of exact spans are kept apart from those of paragraphs, which may stand at the same words.
 EXACT = 0x2545F4914F6CDD1D
 
-PARAGRAPHS = T.StructType([T.StructField("id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("key", T.LongType())])
-BAND = T.StructType([T.StructField("band", T.LongType()), T.StructField("key", T.LongType())])
-EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-ANCHORS = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "at", "key", "begin", "left", "end", "right")])
-TOKENS = T.StructType([T.StructField("key", T.LongType()), T.StructField("tokens", T.BinaryType())])
+_LONGS = lambda *names: T.StructType([T.StructField(c, T.LongType()) for c in names])
+PARAGRAPHS = _LONGS("id", "row", "first_word", "n_words", "key")
+BAND = T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+ANCHORS = _LONGS("id", "row", "at", "key", "begin", "left", "end", "right")
+ANCHOR_KEYS = _LONGS("key")
+TOKENS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
 
 def _least_around(h: np.ndarray, reach: int) -> np.ndarray:
@@ -139,90 +140,105 @@ def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, le
                 if len(begin):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in of(part, begin, end, batch)], names=schema.fieldNames())
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return map_arrow(docs.select(*columns), run, schema)
 
 
 def band_rows(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """(band, key): hashes of the MinHash bands of each paragraph."""
+    """(key, bands): hashes of the MinHash bands of each paragraph."""
     salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
     def of(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
-        key = _keys(part, begin, end)
-        key, first = np.unique(key, return_index=True)
+        key, first = np.unique(_keys(part, begin, end), return_index=True)
         whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
-        bands = []
+        bands = np.empty((len(key), BANDS), np.uint64)
         for b in range(BANDS):
             value = np.full(len(key), np.uint64(b + 1))
             for r in range(ROWS):
                 value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r])[at], starts))
-            bands.append(value.view(np.int64))
-        return np.concatenate(bands), np.tile(key, BANDS)
+            bands[:, b] = value
+        return key, pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
 
     return _scan(docs, [F.col(f"`{text}`").alias("text")], BAND, of, k)
 
 
-def _stars(table: pa.Table) -> list[pa.RecordBatch]:
-    """Edges from the least key of each band value to its other keys."""
-    band, key = (table.column(c).combine_chunks().to_numpy() for c in ("band", "key"))
-    new = np.append(True, band[1:] != band[:-1])
-    first = key[np.flatnonzero(new)][np.cumsum(new) - 1]
-    other = np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])) & (key != first)
-    a, b = key[other], first[other]
-    if not len(a):
-        return []
-    pairs = np.unique(np.stack([a, b], 1), axis=0)
-    return [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])]
+def band_edges(docs: DataFrame, text: str, k: int) -> DataFrame:
+    """(a, b): each paragraph that shares a band with others, and the least of them.
+
+    Least and greatest paragraphs of bands are aggregated before anything is
+    dealt out, so copies and paragraphs that very many texts have cost a row a
+    task; only bands with two different paragraphs are joined back, and their
+    table is written, so that Spark can split a band that is very common.
+    """
+    found = materialize(band_rows(docs, text, k), "paragraph-bands")
+    rows = found.select("key", F.explode("bands").alias("band"))
+    hubs = rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("band", "least")
+    hubs = materialize(hubs, "paragraph-hubs", 8)
+    return rows.join(bounded(hubs, 500_000), "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
 
 
 def exact_spans(docs: DataFrame) -> DataFrame:
-    """(id, first_word, n_words, key): spans of docs (id, text) that cover all that repeats exactly in GRAM + WINDOW - 1 words or more.
+    """(id, row, first_word, n_words, key): spans of docs (id, row, text) that cover all that repeats exactly in GRAM + WINDOW - 1 words or more.
 
     Of WINDOW neighbouring runs of GRAM words in such a passage, one is an
     anchor (``anchors``) at all its places, so WINDOW words to both sides of the
     anchors cover it.  A side is a span.  Where an anchor that repeats has
     different sides, each run of GRAM words in them is one too, at the first
     place of each different side and no other: later places repeat that side.
+    Anchors are counted by key alone first; only those that repeat are written.
     """
 
     def bounds(part: Words, _: int) -> tuple[np.ndarray, np.ndarray]:
         at = anchors(part)
         return at, at + GRAM
 
+    def keys(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
+        return (_keys(part, begin, end) ^ np.int64(EXACT),)
+
     def of(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
         own, salt = part.text[begin], np.int64(EXACT)  # sides have salts of their own: two may be the same words
         last = np.cumsum(part.count)[own]
         zero = last - part.count[own]
         low, high = np.maximum(zero, begin - WINDOW), np.minimum(last, end + WINDOW)
-        return batch.column(0).take(pa.array(own + part.first)), begin - zero, _keys(part, begin, end) ^ salt, low - zero, _keys(part, low, end) ^ ~salt, high - zero, _keys(part, begin, high) ^ (salt >> 1)
+        at = pa.array(own + part.first)
+        return batch.column(0).take(at), batch.column(1).take(at), begin - zero, _keys(part, begin, end) ^ salt, low - zero, _keys(part, low, end) ^ ~salt, high - zero, _keys(part, begin, high) ^ (salt >> 1)
 
-    table = materialize(_scan(docs, ["id", "text"], ANCHORS, of, 0, bounds), "anchors")
-    often = table.groupBy("key").count().where("count > 1").select("key")
-    table = materialize(table.join(bounded(often, 2_000_000), "key", "left_semi").select(*table.columns), "anchors-repeated")
+    often = _scan(docs, ["text"], ANCHOR_KEYS, keys, 0, bounds).groupBy("key").count().where("count > 1").select("key")
+    often = bounded(materialize(often, "anchors-often", 32), 1_000_000)
+    table = materialize(_scan(docs, ["id", "row", "text"], ANCHORS, of, 0, bounds).join(often, "key", "left_semi").select(*ANCHORS.names), "anchors")
     sides = table.select("key", F.expr("""inline(array(
-        struct(0 as side, left as next, struct(id, at, begin as low, at - 1 as high) as place),
-        struct(1 as side, right as next, struct(id, at, at + 1 as low, end as high) as place)))"""))
-    sides = sides.groupBy("key", "side", "next").agg(F.min("place").alias("place"))
-    ends = sides.groupBy("key", "side").agg(F.collect_list("place").alias("places")).where("size(places) > 1").select(F.explode("places").alias("p")).select("p.*")
-    ends = materialize(ends.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchors-ends").select(F.col("id").alias("__id"), "ranges")
+        struct(0 as side, left as next, struct(id, row, at, begin as low, at - 1 as high) as place),
+        struct(1 as side, right as next, struct(id, row, at, at + 1 as low, end as high) as place)))"""))
+    # Few sides are the first place of one that differs; only those are told apart further.
+    sides = materialize(sides.groupBy("key", "side", "next").agg(F.min("place").alias("place")), "anchor-sides")
+    differ = materialize(sides.groupBy("key", "side").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a <> b").select("key", "side"), "anchors-differ", 8)
+    ends = sides.join(bounded(differ), ["key", "side"], "left_semi").select("place.*")
+    ends = materialize(ends.groupBy("id", "row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchor-ends").select(F.col("id").alias("__id"), F.col("row").alias("__row"), "ranges")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b)):
-            for part in words(batch.column(2), lower=True):
+            for part in words(batch.column(3), lower=True):
                 begin, zero = [], np.cumsum(part.count) - part.count
                 for i in range(len(part)):
-                    runs = [np.arange(r["low"], min(r["high"], int(part.count[i]) - GRAM) + 1) for r in batch.column(1)[part.first + i].as_py()]
+                    runs = [np.arange(r["low"], min(r["high"], int(part.count[i]) - GRAM) + 1) for r in batch.column(2)[part.first + i].as_py()]
                     begin.append(np.unique(np.concatenate(runs)) + zero[i])
-                begin = np.setdiff1d(np.concatenate(begin).astype(np.int64), anchors(part))  # anchors are spans already
+                begin = np.concatenate(begin).astype(np.int64)
                 own = part.text[begin]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + part.first)), *map(pa.array, (begin - zero[own], np.full(len(begin), GRAM), _keys(part, begin, begin + GRAM) ^ np.int64(EXACT)))], names=PARAGRAPHS.fieldNames())
+                at = pa.array(own + part.first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (begin - zero[own], np.full(len(begin), GRAM), _keys(part, begin, begin + GRAM) ^ np.int64(EXACT)))], names=PARAGRAPHS.fieldNames())
 
-    inner = docs.join(bounded(ends), docs["id"].eqNullSafe(F.col("__id"))).select("id", "ranges", "text").mapInArrow(grams, PARAGRAPHS)
+    inner = docs.join(bounded(ends), docs["id"].eqNullSafe(F.col("__id")) & (docs["row"] == F.col("__row"))).dropDuplicates(["id", "row"])
+    inner = map_arrow(inner.select("id", "row", "ranges", "text"), grams, PARAGRAPHS)
     # A left side is needed at the start of a text only: else the right side of an anchor before covers what is equal.
     spans = table.select("*", F.expr("inline(array(struct(0 as side), struct(1 as side), struct(2 as side)))")).where("side < 2 or begin = 0 and at > 0")
-    spans = spans.select("id", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
+    spans = spans.select("id", "row", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
     return spans.toDF(*PARAGRAPHS.fieldNames()).unionAll(inner)
 
 
+def identified(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, row, text): ``row`` tells apart what repeats an id, or has none, by its text."""
+    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{id}`").cast("bigint"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
+
+
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, min_words: int = 16) -> DataFrame:
     """Passages of texts that repeat, whole or nearly, elsewhere: one row for each.
 
@@ -231,11 +247,11 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     are one class if they have
     the same words, or are joined by pairs whose sets of k-word shingles have a
     Jaccard similarity of ``percent`` or more: bands of MinHashes collide
-    (``band_rows``), components of colliding paragraphs are dealt into blocks,
+    (``band_edges``), components of colliding paragraphs are dealt into blocks,
     and pairs are verified there on whole sets (``blocks.links``).  Of each
     class the first place, by id and word, is kept and all others are removed.
     Spans that repeat exactly (``exact_spans``) are classes too, so a passage of
-    47 words or more is found whole wherever it stands and lines end in it.  A
+    16 words or more is found whole wherever it stands and lines end in it.  A
     place that overlaps the first one isn't removed.  Neighbouring or
     overlapping spans of one text with the same fate, fewer than k words apart,
     make a passage; those of ``min_words`` or more are returned.  Words of a
@@ -243,75 +259,83 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
 
     Columns: id, first_word and n_words (words counted from 0), n_paragraphs
     (spans of all kinds),
-    component_id (least class of the passage), removed.  Null and empty texts
-    have no passages.  Rows that repeat an id are told apart by where they
-    stand only, so a repeated row's passages are returned once.  An empty table
-    gives an empty one.
+    component_id (least class of the passage), removed, and row, a hash of id
+    and text.  Null and empty texts have no passages.  Rows that repeat an id,
+    or have none, are told apart by their texts (null ids come first);
+    rows that repeat both are one, and its passages are returned once.  Other
+    columns of docs are not read.  An empty table gives an empty one.
     """
-    some = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    some = identified(docs, id, text)
 
     def places(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
         own = part.text[begin]
         first = begin - (np.cumsum(part.count) - part.count)[own]
-        return batch.column(0).take(pa.array(own + part.first)), first, end - begin, _keys(part, begin, end)
-
-    found = materialize(_scan(some, ["id", "text"], PARAGRAPHS, places, k), "paragraphs")
-
-    def make() -> Callable[[pa.Table], list[pa.RecordBatch]]:
-        return _stars
+        at = pa.array(own + part.first)
+        return batch.column(0).take(at), batch.column(1).take(at), first, end - begin, _keys(part, begin, end)
 
-    edges = sorted_groups(band_rows(some, "text", k), ["band"], make, EDGES, order=["key"])
-    near = materialize(components(edges, "paragraph-candidates").withColumnRenamed("node", "key"), "paragraph-parts")
-    wanted = found.join(bounded(near.select("key"), 2_000_000), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    chosen = some.join(bounded(wanted.select("id").distinct(), 2_000_000), some["id"].eqNullSafe(wanted["id"]), "left_semi")
+    found = materialize(_scan(some, ["id", "row", "text"], PARAGRAPHS, places, k), "paragraphs")
+    near = materialize(components(band_edges(some, "text", k), "paragraph-candidates").withColumnRenamed("node", "key"), "paragraph-parts", 8)
+    wanted = found.join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row").distinct()
+    wanted = materialize(wanted, "paragraph-texts", 8)
+    chosen = some.join(bounded(wanted, 500_000), "row", "left_semi")
 
     def sets(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
         key, first = np.unique(_keys(part, begin, end), return_index=True)
         whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
-        return key, pa.array([np.unique(x).tobytes() for x in np.split(whole[at], starts[1:])], pa.binary())
+        distinct = [np.unique(x) for x in np.split(whole[at], starts[1:])]
+        return key, np.array([len(x) for x in distinct], np.int64), pa.array([x.tobytes() for x in distinct], pa.binary())
 
-    tokens = _scan(chosen, ["text"], TOKENS, sets, k).join(bounded(near.select("key"), 2_000_000), "key", "left_semi").dropDuplicates(["key"])
-    members = blocks.in_blocks(near.select("root", "key", F.lit(1).cast("bigint").alias("copies"))).join(tokens, "key")
+    tokens = _scan(chosen, ["text"], TOKENS, sets, k).join(bounded(near.select("key"), 500_000), "key", "left_semi").dropDuplicates(["key"])
+    tokens = materialize(tokens, "paragraph-sets")
+    members = near.join(tokens.select("key", "n"), "key").select("root", "key", "n", F.lit(1).cast("bigint").alias("copies"))
+    members = blocks.in_blocks(members).join(tokens.select("key", "tokens"), "key")
     linked = materialize(blocks.links(members, percent).select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links")
+    discard(tokens)
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
     found = found.unionAll(materialize(exact_spans(some), "exact-spans"))
     # Keys with one place and no link are done with: what follows is what repeats.
-    place = F.struct("id", "first_word", (-F.col("n_words")).alias("less"))
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("first"), F.max(place).alias("last"))
-    counts = counts.join(classes, "key", "left").where("places > 1 or class is not null").withColumn("class", F.coalesce("class", "key"))
-    firsts = counts.groupBy("class").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max(F.expr("places > 1 and first = last")).alias("again"))
-    firsts = firsts.where("again or not (last.id <=> first.id) or last.first_word >= first.first_word - first.less").drop("last", "again")
+    place = F.struct("id", "row", "first_word", (-F.col("n_words")).alias("less"))
+    counts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    counts = counts.join(classes, "key", "left").where("first <> last or class is not null").withColumn("class", F.coalesce("class", "key"))
+    counts = materialize(counts, "paragraph-counts")
+    firsts = counts.groupBy("class").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    firsts = firsts.where("last.row <> first.row or last.first_word >= first.first_word - first.less").drop("last")
     table = materialize(counts.select("key", "class").join(firsts, "class"), "paragraph-repeats")
-    hit = found.join(table, "key").select("id", "first_word", "n_words", "class", F.expr("not (id <=> first.id) or first_word >= first.first_word - first.less").alias("removed"))
-    hit = hit.repartition("id").dropDuplicates(["id", "first_word", "n_words", "class"])
-    text_order = Window.partitionBy("id", "removed").orderBy("first_word", "n_words")
+    hit = found.join(table, "key").select("id", "row", "first_word", "n_words", "class", F.expr("row <> first.row or first_word >= first.first_word - first.less").alias("removed"))
+    hit = hit.repartition("row").dropDuplicates(["row", "first_word", "n_words", "class"])
+    text_order = Window.partitionBy("row", "removed").orderBy("first_word", "n_words")
     apart = F.col("first_word") - F.max(F.col("first_word") + F.col("n_words")).over(text_order.rowsBetween(Window.unboundedPreceding, -1)) >= k
     hit = hit.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = hit.groupBy("id", "removed", "run").agg(
+    out = hit.groupBy("row", "removed", "run").agg(
+        F.first("id").alias("id"),
         F.min("first_word").alias("first_word"),
         (F.max(F.col("first_word") + F.col("n_words")) - F.min("first_word")).alias("n_words"),
         F.count(F.lit(1)).alias("n_paragraphs"),
         F.min("class").alias("component_id"),
     )
-    return out.where(F.col("n_words") >= min_words).select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed")
+    return out.where(F.col("n_words") >= min_words).select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed", "row")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the words of removed passages cut out of their texts; other white space stays as it is.
 
-    A text that loses nothing is unchanged; a null text stays null.
+    Rows are known by id and text.  A text that loses nothing is unchanged; a
+    null text stays null.  All columns of docs are kept.
     """
-    gone = passages.where("removed").groupBy(F.col(id).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__gone"))
-    joined = docs.join(gone, F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left")
+    gone = passages.where("removed").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
+    gone = gone.select(F.struct(F.col("row").alias("row"), F.col("spans").alias("spans")).alias("gone"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))  # no name can clash inside a struct
+    own = F.xxhash64(F.col("d").getField(id).cast("bigint"), F.col("d").getField(text))
+    joined = whole.join(gone, own == F.col("gone.row"), "left")
     kept = F.expr(
-        rf"""if(__gone is null, `{text}`, array_join(transform(
-            filter(transform(regexp_extract_all(`{text}`, '([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)', 1), (w, i) -> struct(w as w, i as i)),
-                x -> not exists(__gone, g -> x.i >= g.first_word and x.i < g.first_word + g.n_words)), x -> x.w), ''))"""
+        rf"""if(gone is null, d.`{text}`, array_join(transform(
+            filter(transform(regexp_extract_all(d.`{text}`, '([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)', 1), (w, i) -> struct(w as w, i as i)),
+                x -> not exists(gone.spans, g -> x.i >= g.first_word and x.i < g.first_word + g.n_words)), x -> x.w), ''))"""
     )
-    return joined.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[(kept if c == text else F.col("d").getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeated passages of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return repeated_passages(docs)
+    return repeated_passages(docs).drop("row")
