@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from tessera.llm import blocks
 from tessera.llm.arrowtext import Words, mix, pieces, words
-from tessera.llm.shared import bounded, components, discard, map_arrow, materialize
+from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, tidy
 
-#: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
-BANDS, ROWS = 6, 3
+#: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 2) ** 4 = 0.983 of pairs meet; a passage has several paragraphs.
+BANDS, ROWS = 4, 2
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
 REACH = 8
 #: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 16 words share one.
@@ -24,9 +24,9 @@ GRAM, WINDOW = 9, 8
 EXACT = 0x2545F4914F6CDD1D
 
 _LONGS = lambda *names: T.StructType([T.StructField(c, T.LongType()) for c in names])
-PARAGRAPHS = _LONGS("id", "row", "first_word", "n_words", "key")
+PARAGRAPHS = _LONGS("row", "first_word", "n_words", "key")
 BAND = T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-ANCHORS = _LONGS("id", "row", "at", "key", "begin", "left", "end", "right")
+ANCHORS = _LONGS("row", "at", "key", "begin", "left", "end", "right")
 ANCHOR_KEYS = _LONGS("key")
 TOKENS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
@@ -161,23 +161,29 @@ def band_rows(docs: DataFrame, text: str, k: int) -> DataFrame:
     return _scan(docs, [F.col(f"`{text}`").alias("text")], BAND, of, k)
 
 
-def band_edges(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """(a, b): each paragraph that shares a band with others, and the least of them.
+def candidates(docs: DataFrame, text: str, k: int) -> DataFrame:
+    """(key, root): paragraphs joined by bands they share, and the least one of their component.
 
-    Least and greatest paragraphs of bands are aggregated before anything is
-    dealt out, so copies and paragraphs that very many texts have cost a row a
-    task; only bands with two different paragraphs are joined back, and their
-    table is written, so that Spark can split a band that is very common.
+    Whether a band has two different paragraphs is told by the least and greatest
+    31 bits of their keys, aggregated before anything is dealt out, so copies and
+    paragraphs that very many texts have cost a row a task; only such bands are
+    joined back, and their table is written, so that Spark can split a band that
+    is very common.
     """
     found = materialize(band_rows(docs, text, k), "paragraph-bands")
     rows = found.select("key", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("band", "least")
-    hubs = materialize(hubs, "paragraph-hubs", 8)
-    return rows.join(bounded(hubs, 500_000), "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    part = F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")
+    often = rows.select("band", part.alias("p")).groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("band")
+    often = bounded(materialize(often, "paragraph-often", 8), 500_000)
+    hubs = materialize(rows.join(often, "band", "left_semi").groupBy("band").agg(F.min("key").alias("least")), "paragraph-hubs", 8)
+    edges = rows.join(bounded(hubs, 500_000), "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    near = materialize(components(edges, "paragraph-candidates").withColumnRenamed("node", "key"), "paragraph-parts", 8)
+    discard(found, hubs)
+    return near
 
 
 def exact_spans(docs: DataFrame) -> DataFrame:
-    """(id, row, first_word, n_words, key): spans of docs (id, row, text) that cover all that repeats exactly in GRAM + WINDOW - 1 words or more.
+    """(row, first_word, n_words, key): spans of docs (row, text) that cover all that repeats exactly in GRAM + WINDOW - 1 words or more.
 
     Of WINDOW neighbouring runs of GRAM words in such a passage, one is an
     anchor (``anchors``) at all its places, so WINDOW words to both sides of the
@@ -200,43 +206,53 @@ def exact_spans(docs: DataFrame) -> DataFrame:
         zero = last - part.count[own]
         low, high = np.maximum(zero, begin - WINDOW), np.minimum(last, end + WINDOW)
         at = pa.array(own + part.first)
-        return batch.column(0).take(at), batch.column(1).take(at), begin - zero, _keys(part, begin, end) ^ salt, low - zero, _keys(part, low, end) ^ ~salt, high - zero, _keys(part, begin, high) ^ (salt >> 1)
+        return batch.column(0).take(at), begin - zero, _keys(part, begin, end) ^ salt, low - zero, _keys(part, low, end) ^ ~salt, high - zero, _keys(part, begin, high) ^ (salt >> 1)
 
     often = _scan(docs, ["text"], ANCHOR_KEYS, keys, 0, bounds).groupBy("key").count().where("count > 1").select("key")
     often = bounded(materialize(often, "anchors-often", 32), 1_000_000)
-    table = materialize(_scan(docs, ["id", "row", "text"], ANCHORS, of, 0, bounds).join(often, "key", "left_semi").select(*ANCHORS.names), "anchors")
-    sides = table.select("key", F.expr("""inline(array(
-        struct(0 as side, left as next, struct(id, row, at, begin as low, at - 1 as high) as place),
-        struct(1 as side, right as next, struct(id, row, at, at + 1 as low, end as high) as place)))"""))
-    # Few sides are the first place of one that differs; only those are told apart further.
-    sides = materialize(sides.groupBy("key", "side", "next").agg(F.min("place").alias("place")), "anchor-sides")
-    differ = materialize(sides.groupBy("key", "side").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a <> b").select("key", "side"), "anchors-differ", 8)
-    ends = sides.join(bounded(differ), ["key", "side"], "left_semi").select("place.*")
-    ends = materialize(ends.groupBy("id", "row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchor-ends").select(F.col("id").alias("__id"), F.col("row").alias("__row"), "ranges")
+    table = materialize(_scan(docs, ["row", "text"], ANCHORS, of, 0, bounds).join(often, "key", "left_semi").select(*ANCHORS.names), "anchors")
+    # Most anchors have the same sides everywhere; only the others are told apart further.
+    differ = table.groupBy("key").agg(F.min("left").alias("a"), F.max("left").alias("b"), F.min("right").alias("c"), F.max("right").alias("d")).where("a <> b or c <> d").select("key")
+    differ = bounded(materialize(differ, "anchors-differ", 8), 500_000)
+    sides = table.join(differ, "key", "left_semi").select("key", F.expr("""inline(array(
+        struct(0 as side, left as next, struct(row, at, begin as low, at - 1 as high) as place),
+        struct(1 as side, right as next, struct(row, at, at + 1 as low, end as high) as place)))"""))
+    ends = sides.groupBy("key", "side", "next").agg(F.min("place").alias("place")).select("place.*")
+    ends = materialize(ends.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchor-ends")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b)):
-            for part in words(batch.column(3), lower=True):
+            for part in words(batch.column(2), lower=True):
                 begin, zero = [], np.cumsum(part.count) - part.count
                 for i in range(len(part)):
-                    runs = [np.arange(r["low"], min(r["high"], int(part.count[i]) - GRAM) + 1) for r in batch.column(2)[part.first + i].as_py()]
+                    runs = [np.arange(r["low"], min(r["high"], int(part.count[i]) - GRAM) + 1) for r in batch.column(1)[part.first + i].as_py()]
                     begin.append(np.unique(np.concatenate(runs)) + zero[i])
                 begin = np.concatenate(begin).astype(np.int64)
                 own = part.text[begin]
                 at = pa.array(own + part.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (begin - zero[own], np.full(len(begin), GRAM), _keys(part, begin, begin + GRAM) ^ np.int64(EXACT)))], names=PARAGRAPHS.fieldNames())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *map(pa.array, (begin - zero[own], np.full(len(begin), GRAM), _keys(part, begin, begin + GRAM) ^ np.int64(EXACT)))], names=PARAGRAPHS.fieldNames())
 
-    inner = docs.join(bounded(ends), docs["id"].eqNullSafe(F.col("__id")) & (docs["row"] == F.col("__row"))).dropDuplicates(["id", "row"])
-    inner = map_arrow(inner.select("id", "row", "ranges", "text"), grams, PARAGRAPHS)
+    inner = docs.join(bounded(ends), "row").select("row", "ranges", "text")
+    inner = map_arrow(inner, grams, PARAGRAPHS)
     # A left side is needed at the start of a text only: else the right side of an anchor before covers what is equal.
     spans = table.select("*", F.expr("inline(array(struct(0 as side), struct(1 as side), struct(2 as side)))")).where("side < 2 or begin = 0 and at > 0")
-    spans = spans.select("id", "row", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
+    spans = spans.select("row", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
     return spans.toDF(*PARAGRAPHS.fieldNames()).unionAll(inner)
 
 
-def identified(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, row, text): ``row`` tells apart what repeats an id, or has none, by its text."""
-    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{id}`").cast("bigint"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
+def identified(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(row, text) of docs, and (row, id) of those whose row isn't their id.
+
+    ``row`` is the id; a null id, or one that several different texts have, gets
+    a hash of id and text, below zero.
+    """
+    docs = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    key = F.xxhash64("id", "text").bitwiseOR(F.lit(-(1 << 63)))
+    twice = docs.where("id is not null").select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("id", F.lit(True).alias("twice"))
+    twice = bounded(materialize(twice, "passage-ids", 8), 500_000)
+    some = docs.join(twice, "id", "left").select(F.when(F.col("id").isNull() | F.col("twice"), key).otherwise(F.col("id")).alias("row"), "text", "id")
+    odd = materialize(some.where("id is null or row <> id").select("row", "id").distinct(), "passage-odd", 8)
+    return some.select("row", "text"), odd
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, min_words: int = 16) -> DataFrame:
@@ -247,7 +263,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     are one class if they have
     the same words, or are joined by pairs whose sets of k-word shingles have a
     Jaccard similarity of ``percent`` or more: bands of MinHashes collide
-    (``band_edges``), components of colliding paragraphs are dealt into blocks,
+    (``candidates``), components of colliding paragraphs are dealt into blocks,
     and pairs are verified there on whole sets (``blocks.links``).  Of each
     class the first place, by id and word, is kept and all others are removed.
     Spans that repeat exactly (``exact_spans``) are classes too, so a passage of
@@ -258,23 +274,24 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     kept passage that a removed one holds as well are removed.
 
     Columns: id, first_word and n_words (words counted from 0), n_paragraphs
-    (spans of all kinds),
-    component_id (least class of the passage), removed, and row, a hash of id
-    and text.  Null and empty texts have no passages.  Rows that repeat an id,
-    or have none, are told apart by their texts (null ids come first);
-    rows that repeat both are one, and its passages are returned once.  Other
-    columns of docs are not read.  An empty table gives an empty one.
+    (spans of all kinds), component_id (least class of the passage), removed,
+    and row, by which ``remove_passages`` knows the text.  Null and empty texts
+    have no passages.  Rows that repeat an id with other texts, or have none, are
+    told apart by their texts (and come first); rows that repeat both are one,
+    and its passages are returned once.  Other columns of docs are not read.
+    An empty table gives an empty one.
     """
-    some = identified(docs, id, text)
+    spark = docs.sparkSession
+    some, odd = identified(docs, id, text)
 
     def places(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
         own = part.text[begin]
         first = begin - (np.cumsum(part.count) - part.count)[own]
-        at = pa.array(own + part.first)
-        return batch.column(0).take(at), batch.column(1).take(at), first, end - begin, _keys(part, begin, end)
+        return batch.column(0).take(pa.array(own + part.first)), first, end - begin, _keys(part, begin, end)
 
-    found = materialize(_scan(some, ["id", "row", "text"], PARAGRAPHS, places, k), "paragraphs")
-    near = materialize(components(band_edges(some, "text", k), "paragraph-candidates").withColumnRenamed("node", "key"), "paragraph-parts", 8)
+    found = materialize(_scan(some, ["row", "text"], PARAGRAPHS, places, k), "paragraphs")
+    near = candidates(some, "text", k)
+    tidy(spark)
     wanted = found.join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row").distinct()
     wanted = materialize(wanted, "paragraph-texts", 8)
     chosen = some.join(bounded(wanted, 500_000), "row", "left_semi")
@@ -290,43 +307,52 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     members = near.join(tokens.select("key", "n"), "key").select("root", "key", "n", F.lit(1).cast("bigint").alias("copies"))
     members = blocks.in_blocks(members).join(tokens.select("key", "tokens"), "key")
     linked = materialize(blocks.links(members, percent).select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links")
-    discard(tokens)
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
-    found = found.unionAll(materialize(exact_spans(some), "exact-spans"))
+    discard(tokens, near, linked, wanted)
+    tidy(spark)
+    exact = materialize(exact_spans(some), "exact-spans")
+    tidy(spark)
+    found = found.unionAll(exact)
     # Keys with one place and no link are done with: what follows is what repeats.
-    place = F.struct("id", "row", "first_word", (-F.col("n_words")).alias("less"))
-    counts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    counts = counts.join(classes, "key", "left").where("first <> last or class is not null").withColumn("class", F.coalesce("class", "key"))
+    counts = found.groupBy("key").agg(F.min("row").alias("r"), F.max("row").alias("s"), F.min("first_word").alias("a"), F.max("first_word").alias("b"))
+    counts = counts.join(classes, "key", "left").where("r <> s or a <> b or class is not null").withColumn("class", F.coalesce("class", "key"))
     counts = materialize(counts, "paragraph-counts")
-    firsts = counts.groupBy("class").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    firsts = firsts.where("last.row <> first.row or last.first_word >= first.first_word - first.less").drop("last")
+    firsts = counts.groupBy("class").agg(F.min("r").alias("r"), F.max("s").alias("s"))
     table = materialize(counts.select("key", "class").join(firsts, "class"), "paragraph-repeats")
-    hit = found.join(table, "key").select("id", "row", "first_word", "n_words", "class", F.expr("row <> first.row or first_word >= first.first_word - first.less").alias("removed"))
-    hit = hit.repartition("row").dropDuplicates(["row", "first_word", "n_words", "class"])
+    discard(counts)
+    tidy(spark)
+    hit = found.join(table, "key").repartition("row").dropDuplicates(["row", "first_word", "n_words", "class"])
+    # In the text that has a class first, its first place stays, and so does what overlaps it.
+    same = Window.partitionBy("row", "class").orderBy("first_word", F.col("n_words").desc())
+    hit = hit.withColumn("end", F.first(F.col("first_word") + F.col("n_words")).over(same)).withColumn("removed", F.expr("row <> r or first_word >= end"))
+    hit = hit.withColumn("some", F.max("removed").over(Window.partitionBy("row", "class"))).where("r <> s or some").select("row", "first_word", "n_words", "class", "removed")
     text_order = Window.partitionBy("row", "removed").orderBy("first_word", "n_words")
     apart = F.col("first_word") - F.max(F.col("first_word") + F.col("n_words")).over(text_order.rowsBetween(Window.unboundedPreceding, -1)) >= k
     hit = hit.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, 0)))
     out = hit.groupBy("row", "removed", "run").agg(
-        F.first("id").alias("id"),
         F.min("first_word").alias("first_word"),
         (F.max(F.col("first_word") + F.col("n_words")) - F.min("first_word")).alias("n_words"),
         F.count(F.lit(1)).alias("n_paragraphs"),
         F.min("class").alias("component_id"),
     )
-    return out.where(F.col("n_words") >= min_words).select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed", "row")
+    out = out.where(F.col("n_words") >= min_words).join(bounded(odd.withColumn("odd", F.lit(True))), "row", "left").withColumn("id", F.when(F.col("odd"), F.col("id")).otherwise(F.col("row")))
+    return out.select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed", "row")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the words of removed passages cut out of their texts; other white space stays as it is.
 
-    Rows are known by id and text.  A text that loses nothing is unchanged; a
-    null text stays null.  All columns of docs are kept.
+    passages: what ``repeated_passages`` returns for these docs; a row whose id
+    passages know under a hash is looked up by that.  A text that loses nothing is
+    unchanged; a null text stays null.  All columns of docs are kept.
     """
     gone = passages.where("removed").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
-    gone = gone.select(F.struct(F.col("row").alias("row"), F.col("spans").alias("spans")).alias("gone"))
+    gone = gone.select(F.struct("row", "spans").alias("gone"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))  # no name can clash inside a struct
-    own = F.xxhash64(F.col("d").getField(id).cast("bigint"), F.col("d").getField(text))
-    joined = whole.join(gone, own == F.col("gone.row"), "left")
+    own = F.col("d").getField(id).cast("bigint")
+    hashed = F.xxhash64(own, F.col("d").getField(text)).bitwiseOR(F.lit(-(1 << 63)))
+    by_id = whole.join(gone, own == F.col("gone.row"), "left")
+    joined = by_id.join(gone.withColumnRenamed("gone", "other"), hashed == F.col("other.row"), "left").withColumn("gone", F.coalesce("gone", "other"))
     kept = F.expr(
         rf"""if(gone is null, d.`{text}`, array_join(transform(
             filter(transform(regexp_extract_all(d.`{text}`, '([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)', 1), (w, i) -> struct(w as w, i as i)),
