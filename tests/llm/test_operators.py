@@ -414,6 +414,61 @@ def test_decontamination_matches_sql(spark):
     assert len(want) > 8 and rows(got) == rows(want)
 
 
+def window_brute(texts: list, items: list, percent: int = 80) -> dict:
+    """Best similarity of any window of any text to any item, over all windows."""
+    from collections import Counter
+
+    out = {}
+    for j, it in enumerate(items):
+        w2 = it.split()
+        k = min(5, len(w2))
+        b = Counter(tuple(w2[i : i + k]) for i in range(len(w2) - k + 1))
+        for d, t in enumerate(texts):
+            w = t.split()
+            n = min(len(w), len(w2))
+            for s in range(len(w) - n + 1):
+                a = Counter(tuple(w[i : i + k]) for i in range(s, s + n - k + 1))
+                o = sum((a & b).values())
+                if o and 100 * o >= percent * (sum(a.values()) + sum(b.values()) - o):
+                    out[d, j] = max(out.get((d, j), 0), round(o / (sum(a.values()) + sum(b.values()) - o), 6))
+    return out
+
+
+def test_decontamination_recall_by_length_of_items(spark):
+    """Against all windows: edited copies of items of 8 to 120 words, at similarities down to 0.8."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(4000)}"
+    for n in (8, 16, 40, 120):
+        items = [" ".join(word() for _ in range(n)) for _ in range(12)]
+        texts = []
+        for it in items:
+            for edits in (0, 1, 1, 2, 2, 3):
+                v = it.split()
+                for _ in range(edits):
+                    v[rng.choice([0, -1, rng.randrange(n)])] = word()
+                texts.append(" ".join([*(word() for _ in range(rng.randrange(20))), *v, *(word() for _ in range(rng.randrange(20)))]))
+        got = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+        got, want = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}, window_brute(texts, items)
+        assert set(got) <= set(want) and all(want[x] == s for x, s in got.items())
+        assert len(want) >= 12 and len(got) >= 0.95 * len(want), (n, len(got), len(want))
+
+
+def test_decontamination_long_texts_and_many_items(spark):
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [" ".join(word() for _ in range(rng.choice([10, 20, 30]))) for _ in range(5000)]
+    ten = next(i for i in items if len(i.split()) == 10)
+    texts = [" ".join([ten] * 10_000), " ".join(word() for _ in range(100_000)) + " " + items[7], None, "", " ".join(word() for _ in range(50)), "é " * 100_000]
+    docs = spark.createDataFrame([(i if i < 4 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, items.index(ten)), (1, 7)} and all(r.similarity == 1 for r in got)
+    assert next(r for r in got if r.doc_id == 1).start_word == 100_000
+    words = [word() for _ in range(20_000)]
+    long_item = spark.createDataFrame([(1, " ".join(words)), (2, "same " * 5000)], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "a b " + " ".join(words)), (2, "same " * 5003)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(texts, long_item).collect()} == {(1, 1, 1.0), (2, 2, 1.0)}
+
+
 def test_decontamination_lanes_are_plain_simhash(spark):
     rng = random.Random(9)
     for n in (1, 2, 7, 300):
