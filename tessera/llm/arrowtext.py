@@ -67,6 +67,10 @@ class Words:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes."""
+        return _spans(self.data, begin, end)
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, text index and first word of every run of k words; a text with fewer words gives one of all its words."""
         h, n = self.hash, len(self.hash)
@@ -141,13 +145,23 @@ def _slice(data: np.ndarray, offsets: np.ndarray, first: int, lower: bool) -> Wo
     after |= bound
     start = np.flatnonzero(inside & before[:-1])
     end = np.flatnonzero(inside & after[1:]) + 1
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * _power("up", size), out=total[1:])
-    h = mix((total[end] - total[start]) * _power("down", size + 1)[start] + (end - start).astype(np.uint64))
+    h = _spans(_LOWER[data] if lower else data, start, end)
     text = np.searchsorted(offsets, start, "right") - 1
     return Words(first, data, offsets, start, end, text, h, np.bincount(text, minlength=texts))
 
 
+def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power("up", len(data)), out=total[1:])
+    return mix((total[end] - total[begin]) * _power("down", len(data) + 1)[begin] + (end - begin).astype(np.uint64))
+
+
+def byte_hashes(values: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The values as bytes, and the hashes that words have which are one of them."""
+    data, at = plain(pa.array(values))
+    return data, _spans(data, at[:-1], at[1:])
+
+
 def word_sets(column: pa.Array, k: int, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text."""
     for part in words(column, lower):

@@ -60,13 +60,26 @@ def test_quality_matches_sql(docs):
 
 
 def test_quality_removes_lines_and_keeps_the_rest(spark):
-    good = " ".join(f"word{i}" for i in range(60))
+    good = " ".join(f"word{i}" for i in range(60)) + "."
     text = f"{good}\nhome | about | help | more\nAccept all cookies\nlast line here."
     row = quality.clean_lines(spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert row[0] == row[1] and row[0].clean_text == f"{good}\nlast line here." and row[0].kept and row[0].n_lines_removed == 2
     assert row[2].clean_text is None and not row[2].kept
 
 
+def test_quality_line_rules(spark):
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    bad = ["All rights reserved" + "." * 41, "Home > About us > Contact", "Home » News » Sport » Weather", "© 2024 Example Ltd. All rights reserved worldwide", "-- ** --", "Sign in!", "A line of many words that just stops without"]
+    fine = ["A short heading", "> a quoted line has one mark.", "Is it so?", 'He said "yes."', "This line of seven words is wrapped", "and goes on with a small letter here.", "He signed in again and read more of the privacy policy of the firm that he had left long ago."]
+    texts = [good] + [f"{good}\n{x}" for x in (*bad, *fine)]
+    whole = good + "\n" + "\n".join(fine)
+    df = spark.createDataFrame(list(enumerate([*texts, whole])), "doc_id long, text string")
+    got = [r.n_lines_removed for r in quality.clean_lines(df).orderBy("doc_id").collect()]
+    assert got == [0] + [1] * len(bad) + [0, 0, 0, 0, 1, 0, 0] + [0]
+    table = pd.DataFrame(list(enumerate([*texts, whole])), columns=["doc_id", "text"])
+    assert rows(quality.op2_columns(quality.clean_lines(df, texts=False))) == rows(sql(quality.OP2_SQL, documents=table))
+
+
 def test_jaccard_matches_sql(spark, docs):
     got = jaccard.jaccard_join(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
     assert rows(got) == rows(sql(jaccard.OP5_SQL, documents=pandas_docs()))
