@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SEPARATORS, bounded, discard, materialize
+from tessera.llm.shared import RANKED, SEPARATORS, bounded, discard, materialize, numbered
 
 #: Weights of the sources in order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
-#: Rows of a task where a table of sources or of blocks is ranked.
-RANKED = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -21,15 +19,6 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(n).cast("bigint")
 
 
-def numbered(df: DataFrame, order: list[str], as_: str, name: str) -> DataFrame:
-    """df, written, with the number of each row in ``order`` (from 0): ranges are sorted apart and their sizes added up."""
-    parts = 1 + df.count() // RANKED
-    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name, parts)
-    before = dealt.groupBy("__part").count().withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count"))  # a row a range
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn(as_, inside).join(F.broadcast(before.drop("count")), "__part").withColumn(as_, (F.col(as_) + F.col("__before")).cast("bigint")).drop("__part", "__before")
-
-
 def targets(sources: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     """sources (name, s, weight) with ``target``: by weight up to ``most`` times s, what is over shared anew by weight.
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows that a broadcast side may have; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of a task where a table is ranked.
+RANKED = 200_000
 #: Edges of a task, and of a file, of a round of ``components``.
 EDGES_A_TASK = 500_000
 
@@ -64,6 +66,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, order: list[str], as_: str, name: str) -> DataFrame:
+    """df, written, with the number of each row in ``order`` (from 0): ranges are sorted apart and their sizes added up."""
+    parts = 1 + df.count() // RANKED
+    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name, parts)
+    before = dealt.groupBy("__part").count().withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn(as_, inside).join(F.broadcast(before.drop("count")), "__part").withColumn(as_, (F.col(as_) + F.col("__before")).cast("bigint")).drop("__part", "__before")
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """df.mapInArrow whose function carries this package's code: executors need no copy of it."""
     import tessera.llm

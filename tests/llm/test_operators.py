@@ -389,22 +389,47 @@ def test_url_filters_match_sql(spark):
     assert rows(got) == rows(sql(urlfilter.OP9_SQL, pages=pd.DataFrame(df, columns=["page_id", "url"])))
 
 
+TALK = "conv_id long, turn long, role string, text string"
+
+
 def test_quotes_match_sql(spark):
     talk = [
         (1, 0, "u", "Hello there\n\nsecond  par"), (1, 1, "a", "> Hello there\nHi!"), (1, 1, "a", "> Hello there\nHi!"), (1, 2, "u", ">> hello there\n> hi!\nok fine"), (1, 3, "a", "> ok fine\nbye\n> unknown"),
         (1, 4, "u", None), (1, 5, "u", "> second par\n\n> Hello there\nboth"), (2, 0, "u", "> ok fine\nx"), (2, 1, "u", ""), (3, 0, "u", "same"), (3, 1, "u", "same"), (3, 2, "u", "> same\nsame"),
+        (4, 0, "u", "first line\nsecond line\nthird line"), (4, 1, None, "> other\n> second line\nright"), (4, 2, "u", "> first line\nwrong"), (4, 3, "u", "\t> > right\n>\t\n> wrong\n>x\nagain"),
     ]
-    got = quotes.link_quotes(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
-    got = got.select("conv_id", "turn", "role", "reply_to", "n_quotes", "max_level", "depth", F.array_join(F.transform("reply_path", lambda t: t.cast("string")), "/").alias("reply_path"), "own_text")
-    assert rows(got) == rows(sql(quotes.OP3_SQL, conversations=pd.DataFrame(talk, columns=["conv_id", "turn", "role", "text"])))
-    nulls = quotes.link_quotes(spark.createDataFrame([(None, 1, "u", "> a"), (1, None, "u", "a")], "conv_id long, turn long, role string, text string"))
-    assert nulls.count() == 2 and quotes.ordered(nulls).count() == 2
-
-
-def test_quotes_long_reply_chain(spark):
-    talk = [(1, i, "u", f"message number {i}" if not i else f"> message number {i - 1}\nmessage number {i}") for i in range(40)]
-    got = quotes.link_quotes(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
-    assert [r.depth for r in got] == list(range(40)) and got[-1].reply_path == list(range(40))
+    linked = quotes.link_quotes(spark.createDataFrame(talk, TALK))
+    table = pd.DataFrame(talk, columns=["conv_id", "turn", "role", "text"])
+    assert rows(quotes.conversations(linked)) == rows(sql(quotes.PLAIN_SQL, conversations=table))
+    by = {(r.message.conv_id, r.message.turn): r for r in linked.collect()}
+    assert by[1, 2].reply_to == 1 and by[1, 2].quoted == [0, 1] and by[1, 2].depth == 2 and by[1, 5].reply_to == 0 and by[2, 0].reply_to is None
+    assert by[4, 1].reply_to == 0 and by[4, 2].reply_to == 0 and by[4, 3].reply_to == 2 and by[4, 3].quoted == [1, 2] and by[4, 1].own_text == "right"
+    text = quotes.conversations(linked).where("conv_id = 1").first()
+    assert text.turns == "0,1,1,2,3,5,4" and ">" not in text.text and text.text.startswith("u: Hello there\n\nsecond  par\n\na: Hi!")
+    nulls = quotes.link_quotes(spark.createDataFrame([(None, 1, "u", "> a"), (None, 1, "u", "a"), (1, None, "u", "a"), (1, None, None, None)], TALK))
+    assert nulls.count() == 4 and sorted(r.n_messages for r in quotes.conversations(nulls).collect()) == [2, 2]
+
+
+def test_quotes_are_planted_and_all_linked(spark):
+    rng = random.Random(16)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    talk = [(c, t, "u", "\n".join(" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 4)))) for c in range(12) for t in range(9)]
+    planted = quotes.with_quotes(spark.createDataFrame(talk, TALK))
+    table = pd.DataFrame(talk, columns=["conv_id", "turn", "role", "text"])
+    assert rows(quotes.conversations(quotes.link_quotes(planted))) == rows(sql(quotes.OP3_SQL, conversations=table))
+    got = quotes.link_quotes(planted).collect()
+    assert {(r.message.conv_id, r.message.turn): r.own_text for r in got} == {(c, t): x for c, t, _, x in talk}
+    assert sum(r.reply_to is not None for r in got) > 50 and all(r.reply_to in (None, r.message.turn - 1) for r in got)
+
+
+def test_quotes_long_reply_chain_and_long_text(spark):
+    talk = [(1, i, "u", f"message number {i}" if not i else f"> message number {i - 1}\nmessage number {i}") for i in range(1300)]
+    talk.append((2, 0, "u", "\n".join(f"{'> ' * (i % 5)}line {i}" for i in range(30_000))))
+    linked = quotes.link_quotes(spark.createDataFrame(talk, TALK))
+    got = linked.where("message.conv_id = 1").collect()
+    assert sorted(r.depth for r in got) == list(range(1300)) and {r.thread for r in got} == {0}
+    parts = quotes.conversations(linked).where("conv_id = 1").orderBy("part").collect()
+    assert [r.n_messages for r in parts] == [500, 500, 300] and ",".join(r.turns for r in parts) == ",".join(map(str, range(1300)))
 
 
 def test_decontamination_matches_sql(spark):
@@ -512,8 +537,8 @@ def test_clashing_names(spark, docs):
     row = urlfilter.filter_urls(pages, urlfilter.rule_table(spark)).first()
     assert (row.host, row.token, row.rule) == ("x.com", "mine", "com/en/")
     talk = spark.createDataFrame([(1, 0, "a", "mine", "mine", "mine"), (1, 1, "> a\nb", "mine", "mine", "mine")], "conv_id long, turn long, text string, own string, path string, passages string")
-    rows_ = quotes.link_quotes(talk).orderBy("turn").collect()
-    assert [(r.own, r.path, r.passages) for r in rows_] == [("mine",) * 3] * 2 and rows_[1].reply_to == 0 and rows_[1].own_text == "b"
+    rows_ = quotes.link_quotes(talk).orderBy("message.turn").collect()
+    assert [(r.message.own, r.message.path, r.message.passages) for r in rows_] == [("mine",) * 3] * 2 and rows_[1].reply_to == 0 and rows_[1].own_text == "b"
     named = docs.withColumns({c: F.lit("mine") for c in ("size", "taken", "spans", "labels", "key", "token", "n_words", "h", "id", "t")})
     assert pii.find_pii(named).filter("spans = 'mine'").count() == 0
     assert licenses.scan_licenses(named).filter("labels = 'mine'").count() == 0
