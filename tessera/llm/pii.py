@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,28 +21,61 @@ from tessera.llm.shared import map_arrow
 
 #: Kinds in the order of span lists: those of the contract, then the classifier's.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "secret", "number")
-
-#: Words that speak for or against personal data or a secret just before a span, and parts of one that do (fixed values).
-CONTEXT_FOR = {"account", "apikey", "bearer", "card", "contact", "email", "iban", "id", "key", "mail", "passport", "passwd", "password", "phone", "pin", "pwd", "secret", "ssn", "tel", "token"}
-CONTEXT_AGAINST = {"article", "chapter", "edition", "figure", "in", "page", "pp", "section", "since", "table", "version", "vol", "volume", "year", "isbn", "by-nc", "by", "license"}
+KINDS = (*BASE_KINDS, "secret", "number", "name", "address")
+
+#: Words that speak for or against personal data or a secret just before a span (fixed values).
+CONTEXT_FOR = {"account", "address", "apikey", "bearer", "call", "card", "contact", "email", "fax", "iban", "id", "key", "mail", "mobile", "named", "passphrase", "passport", "passwd", "password", "phone", "pin", "pwd", "secret", "ssn", "tel", "telephone", "token"}
+CONTEXT_AGAINST = {"article", "chapter", "edition", "figure", "in", "page", "pages", "paragraph", "pp", "section", "since", "table", "version", "vol", "volume", "year", "isbn"}
+#: After these a word is a candidate whatever it is made of (fixed values).
+SECRET_WORDS = ("api key", "apikey", "passphrase", "passwd", "password", "pwd", "secret", "token")
+TITLES = ("Dr", "Frau", "Herr", "Madame", "Miss", "Monsieur", "Mr", "Mrs", "Ms", "Prof", "Señor", "Señora")
+#: Starts of keys that services give out, and of words that aren't secrets (fixed values).
 GAZETTEER_FOR = ("akia", "asia", "eyj", "ghp_", "gho_", "glpat-", "pk_live_", "sk_live_", "sk_test_", "xoxb-", "xoxp-")
 GAZETTEER_AGAINST = ("http", "md5", "sha1", "sha256", "utf-8", "iso", "rfc", "v1", "v2", "v3")
+#: Common given names, surnames and words of streets (fixed values).
+GIVEN_NAMES = (
+    "Ahmed Alexander Alice Amelia Andrea Andreas Andrew Angela Anita Anna Anthony Antonio Barbara Benjamin Brian Camille Carlos Carmen Catherine Charles Charlotte Chloe Christian Christina Christopher "
+    "Claire Claudia Daniel David Deborah Diego Dmitri Donald Edward Elena Elizabeth Emily Emma Eric Fatima Felix Florian Francesca Francisco Frank Frederick Gabriel George Giulia Hannah Hans Heinrich Helen "
+    "Hiroshi Ibrahim Ingrid Isabella Ivan James Jan Jane Javier Jean Jennifer Jessica Joan John Jonas Jorge José Joseph Juan Julia Julien Karen Katharina Kenneth Kevin Klaus Laura Lena Linda Lisa Lucas "
+    "Luis Lukas Manuel Marco Margaret Maria María Marie Mark Martin Mary Matthew Maximilian Michael Miguel Mohammed Monika Nancy Nicolas Nina Olga Oliver Olivia Pablo Patricia Patrick Paul Pedro Peter "
+    "Petra Philip Pierre Priya Rachel Rafael Ravi Rebecca Richard Robert Rosa Ruth Samuel Sandra Sarah Sebastian Sergei Simon Sofia Sophie Stefan Stephen Susan Sven Thomas Timothy Ursula Valentina Victoria William Wolfgang Yuki"
+).split()
+SURNAMES = (
+    "Adams Ali Alvarez Anderson Bailey Baker Bauer Becker Bell Bennett Bernard Bianchi Brown Campbell Carter Chen Clark Collins Cook Cooper Cox Cruz Davies Davis Diaz Dubois Durand Edwards Evans Fernandez "
+    "Ferrari Fischer Foster Garcia García Gomez Gonzalez Gray Green Hall Harris Hernandez Hill Hoffmann Howard Hughes Ivanov Jackson Jenkins Johansson Johnson Jones Kelly Kim King Klein Koch Kowalski Kumar Lambert "
+    "Laurent Lee Lefebvre Leroy Lewis Lopez Martin Martinez Mayer Meyer Miller Mitchell Moore Moreau Morgan Moreno Morris Müller Murphy Nakamura Nelson Neumann Nguyen Novak Ortiz Parker Patel Perez Petrov Phillips "
+    "Popov Price Ramirez Richter Rivera Roberts Robinson Rodriguez Rossi Ruiz Russo Sanchez Sanders Santos Sato Schmidt Schneider Schulz Schwarz Scott Sharma Silva Simmons Singh Smith Stewart Suzuki Tanaka Taylor "
+    "Thompson Torres Turner Vogel Wagner Walker Wang Ward Watson Weber White Williams Wilson Wolf Wood Wright Yamamoto Young Zhang Zimmermann"
+).split()
+STREETS = "Allee Avenue Ave Boulevard Blvd Calle Court Drive Gasse Highway Lane Parkway Place Platz Plaza Road Rd Rue Square Street St Strasse Straße Terrace Via Way Weg".split()
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"\S+")
 _EDGES = "\"'`()[]{}<>.,;:!?*#%$&|="
 _HEX = re.compile(r"[0-9A-Fa-f]{16,}")
-_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{9,}|\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}")
+_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[0-9]{9,}|(?:[0-9]{4}[ -]){3}[0-9]{4}|\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}")
 _PLAIN = re.compile(r"[0-9]{1,4}|[0-9]+[.,][0-9]+|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?")
+#: What may hold blanks: numbers in groups, what is said to be secret, names, addresses.  Each has a cheap sign that it needs.
+_NUMBERS = re.compile(rf"(?<![\w.])(?:{_ID.pattern})(?![\w])")
+_SECRET = re.compile(rf"(?i)\b(?:{'|'.join(SECRET_WORDS)})(?:\s+is\s+|\s*[:=]\s*|\s+)[\"'`]?(?P<span>[^\s\"'`]{{6,}})")
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
+_NAME = re.compile(rf"\b(?:(?:{'|'.join(TITLES)})\.? (?P<titled>{_CAPITAL}(?: {_CAPITAL})?)|(?P<given>(?:{'|'.join(GIVEN_NAMES)})(?: [A-Z]\.)? {_CAPITAL}))")
+_ADDRESS = re.compile(
+    rf"(?<![\w.])[0-9]{{1,5}}[a-z]? (?:{_CAPITAL} ){{1,3}}(?:{'|'.join(STREETS)})\b|\b(?:Avenue|Boulevard|Calle|Plaza|Rue|Via) (?:\w+ ){{0,3}}{_CAPITAL},? [0-9]{{1,4}}\b"
+    r"|\b[A-ZÄÖÜ]\w*(?:allee|gasse|platz|strasse|straße|weg) [0-9]{1,4}[a-z]?\b"
+)
+_WITH_DIGIT = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
+#: In RE2's terms, what a text needs to have any candidate.
+_SIGNS = rf"[0-9@]|(?i:{'|'.join(SECRET_WORDS)})|(?:{'|'.join(TITLES)})\.? |(?:{'|'.join(GIVEN_NAMES)}) "
+_SAYS_SECRET = re.compile(rf"(?i){'|'.join(SECRET_WORDS)}")
 
 LABELERS = ("shape", "gazetteer", "context", "entropy", "base")
 #: Votes are 0 against, 1 abstain, 2 for; features are small numbers, each with its count of values.
-FEATURES = (("length", 6), ("digits", 4), ("letters", 3), ("joined", 2))
+FEATURES = (("length", 6), ("digits", 4), ("letters", 3), ("joined", 2), ("class", 4))
+_GIVEN, _SURNAMES, _STREETS = frozenset(GIVEN_NAMES), frozenset(SURNAMES), frozenset(x.lower() for x in STREETS)
 
 
 def luhn(digits: str) -> bool:
@@ -84,53 +118,83 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
-def _pattern(text: str, start: int, end: int, before: list[str], base: bool) -> tuple[int, int]:
+def _pattern(text: str, start: int, end: int, before: list[str], kind: int) -> tuple[int, int]:
     """Votes and features of a candidate, each packed into one number."""
     s = text[start:end]
-    low = s.lower()
+    low, words = s.lower(), s.split()
     digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
-    shape = 2 if _HEX.fullmatch(s) and digits or _ID.fullmatch(s) else 0 if _PLAIN.fullmatch(s) or len(s) < 6 else 1
-    gazetteer = 2 if low.startswith(GAZETTEER_FOR) else 0 if low.startswith(GAZETTEER_AGAINST) else 1
     near = {w.strip(_EDGES).lower() for w in before}
+    entropy = _entropy(s)
     context = 2 if near & CONTEXT_FOR else 0 if near & CONTEXT_AGAINST else 1
-    e = _entropy(s)
-    entropy = 2 if len(s) >= 16 and e >= 3.0 and letters and digits else 0 if e < 2.0 else 1
+    if kind == 6:  # a name: its words' forms, lists of names, titles before it
+        shape = 2 if len(words) >= 2 else 1
+        known = (words[0] in _GIVEN) + (words[-1].removesuffix("'s") in _SURNAMES)
+        gazetteer = 2 if known == 2 or len(words) == 1 and words[0] in _SURNAMES else 1 if known else 0
+        context = 2 if before and before[-1].rstrip(".") in TITLES or near & CONTEXT_FOR else 1
+        spread = 1
+    elif kind == 7:  # an address: form, words of streets, a number
+        shape = 2
+        gazetteer = 2 if any(w.strip(",").lower() in _STREETS for w in words) else 1
+        spread = 1
+    else:
+        shape = 2 if _HEX.fullmatch(s) and digits or _ID.fullmatch(s) else 0 if _PLAIN.fullmatch(s) or len(s) < 6 else 1
+        gazetteer = 2 if low.startswith(GAZETTEER_FOR) else 0 if low.startswith(GAZETTEER_AGAINST) else 1
+        spread = 2 if len(s) >= 16 and entropy >= 3.0 and letters and digits else 0 if entropy < 2.0 else 1
     votes = 0
-    for v in (shape, gazetteer, context, entropy, 2 if base else 1):
+    for v in (shape, gazetteer, context, spread, 2 if kind < len(BASE_KINDS) else 1):
         votes = votes * 3 + v
     share = digits / len(s)
-    values = (min(5, len(s).bit_length() - 1), min(3, int(share * 4)), 0 if not letters else 1 if letters * 2 < len(s) else 2, int(any(c in s for c in " .-/_")))
+    values = (min(5, len(s).bit_length() - 1), min(3, int(share * 4)), 0 if not letters else 1 if letters * 2 < len(s) else 2, int(any(c in s for c in " .-/_")), max(0, kind - len(BASE_KINDS)))
     features = 0
     for v, (_, n) in zip(values, FEATURES, strict=True):
         features = features * n + v
     return votes, features
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, int, int, int]]:
-    """(kind, start, end, votes, features): base spans (kind 0 to 3), then words with a digit that overlap none (kind 4 or 5)."""
-    base = base_spans(text)
-    covered = sorted((s, e) for _, s, e in base)
-    for kind, s, e in base:
-        yield (kind, s, e, *_pattern(text, s, e, text[max(0, s - 40) : s].split()[-3:], True))
-    before: list[str] = []
-    i = 0
-    for m in _WORD.finditer(text):
+def _proposed(text: str) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of what may be personal, best first: patterns that may hold blanks, then single words with a digit."""
+    for m in _ADDRESS.finditer(text):
+        yield 7, m.start(), m.end()
+    for m in _NAME.finditer(text):
+        yield 6, *m.span("titled" if m["titled"] else "given")
+    for m in _NUMBERS.finditer(text):
+        yield 4 if any(c.isalpha() for c in m[0]) else 5, m.start(), m.end()
+    if _SAYS_SECRET.search(text):
+        for m in _SECRET.finditer(text):
+            s, e = m.span("span")
+            yield 4, s, e - (len(m["span"]) - len(m["span"].rstrip(".,;:!?)")))
+    for m in _WITH_DIGIT.finditer(text):
         w = m[0]
-        if any("0" <= c <= "9" for c in w):
-            s = m.start() + len(w) - len(w.lstrip(_EDGES))
-            e = m.end() - (len(w) - len(w.rstrip(_EDGES)))
-            while i < len(covered) and covered[i][1] <= s:
-                i += 1
-            free = all(not (a < e and s < b) for a, b in covered[i : i + 4])
-            if s < e and free:
-                kind = 4 if sum(c.isalpha() for c in text[s:e]) else 5
-                yield (kind, s, e, *_pattern(text, s, e, before, False))
-        before = [*before[-2:], w]
+        s = m.start() + len(w) - len(w.lstrip(_EDGES))
+        e = m.end() - (len(w) - len(w.rstrip(_EDGES)))
+        if s < e:
+            yield 4 if sum(c.isalpha() for c in text[s:e]) else 5, s, e
 
 
-def _with_digits(column: pa.Array) -> np.ndarray:
-    """Rows whose text has a digit or an at sign: the others have no spans."""
-    return np.flatnonzero(pc.fill_null(pc.match_substring_regex(column, "[0-9@]"), False).to_numpy(zero_copy_only=False))
+def candidates(text: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """(kind, start, end, votes, features): base spans (kind 0 to 3), then others that overlap none before them (kind 4 to 7)."""
+    taken: list[tuple[int, int]] = []
+    for kind, s, e in base_spans(text):
+        insort(taken, (s, e))
+        yield (kind, s, e, *_pattern(text, s, e, text[max(0, s - 40) : s].split()[-3:], kind))
+    # Base spans of two kinds may overlap; then what is free is what lies in no merged one.
+    merged: list[tuple[int, int]] = []
+    for s, e in taken:
+        if merged and s < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+        else:
+            merged.append((s, e))
+    for kind, s, e in _proposed(text):
+        i = bisect_right(merged, (s, e))
+        if s >= e or i and merged[i - 1][1] > s or i < len(merged) and merged[i][0] < e:
+            continue
+        merged.insert(i, (s, e))
+        yield (kind, s, e, *_pattern(text, s, e, text[max(0, s - 40) : s].split()[-3:], kind))
+
+
+def _some(column: pa.Array) -> np.ndarray:
+    """Rows whose text can have candidates: a digit, an at sign, or a word that names or secrets go with."""
+    return np.flatnonzero(pc.fill_null(pc.match_substring_regex(column, _SIGNS), False).to_numpy(zero_copy_only=False))
 
 
 PATTERNS = T.StructType([T.StructField(c, T.LongType()) for c in ("votes", "features", "many")])
@@ -142,7 +206,7 @@ def patterns(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b)):
             found: Counter = Counter()
-            for i in _with_digits(batch.column(0)):
+            for i in _some(batch.column(0)):
                 found.update((v, f) for _, _, _, v, f in candidates(batch.column(0)[i].as_py()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()))], names=PATTERNS.fieldNames())
@@ -204,9 +268,9 @@ def fit(votes: np.ndarray, features: np.ndarray, many: np.ndarray, p: np.ndarray
 
 
 class SpanModel:
-    """Decides by votes and features; holds the probability of every pattern it was asked for."""
+    """Decides by votes and features, with weights of their own for each class of spans (None: accepts none)."""
 
-    def __init__(self, weights: np.ndarray, least: float) -> None:
+    def __init__(self, weights: list[np.ndarray | None], least: float) -> None:
         self.weights, self.least = weights, least
 
     def table(self) -> np.ndarray:
@@ -214,18 +278,26 @@ class SpanModel:
         v = _unpack(np.arange(3 ** len(LABELERS)), [3] * len(LABELERS))
         f = _unpack(np.arange(int(np.prod([n for _, n in FEATURES]))), [n for _, n in FEATURES])
         x = _design(np.repeat(v, len(f), 0), np.tile(f, (len(v), 1)))
-        return (1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))) >= self.least).reshape(len(v), len(f))
+        p = np.stack([np.zeros(len(x)) if w is None else 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for w in self.weights], 1)
+        return (p[np.arange(len(x)), np.tile(f[:, -1], len(v))] >= self.least).reshape(len(v), len(f))
 
 
 def train(docs: DataFrame, text: str = "text", least: float = 0.8) -> SpanModel:
     """The classifier for docs, trained on the votes over all of their texts (no sample)."""
-    rows = sorted(map(tuple, patterns(docs, text).collect()))  # at most 243 * 144 rows
-    if not rows:
-        return SpanModel(np.zeros(1 + 2 * (len(LABELERS) - 1) + sum(n for _, n in FEATURES)), 2.0)
-    packed = np.array(rows, np.int64)
+    rows = sorted(map(tuple, patterns(docs, text).collect()))  # at most 243 * 576 rows
+    packed = np.array(rows, np.int64).reshape(-1, 3)
     votes, features, many = _unpack(packed[:, 0], [3] * len(LABELERS)), _unpack(packed[:, 1], [n for _, n in FEATURES]), packed[:, 2].astype(float)
-    p, _ = reliabilities(votes, many)
-    return SpanModel(fit(votes, features, many, p), least)
+    sure = votes[:, LABELERS.index("base")] == 2
+    weights = []
+    for c in range(FEATURES[-1][1]):
+        # A labeler is as good as it is on one class of spans; base spans are examples for secrets and numbers.
+        own = (features[:, -1] == c) & ~sure | sure & (c < 2)
+        if (own & ~sure).any():
+            p, _ = reliabilities(votes[own], many[own])
+            weights.append(fit(votes[own], features[own], many[own], p))
+        else:
+            weights.append(None)
+    return SpanModel(weights, least)
 
 
 def spans_of(text: str, accepted: np.ndarray) -> list[tuple[int, int, int]]:
@@ -237,21 +309,23 @@ def name_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-ADDED = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("redacted", T.StringType())])
+ADDED = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), *(T.StructField(f"n_{k}", T.LongType()) for k in (*KINDS[len(BASE_KINDS) :], "spans")), T.StructField("redacted", T.StringType())])
 
 
 def find_pii(docs: DataFrame, text: str = "text", *, model: SpanModel | None = None, redact: bool = False) -> DataFrame:
     """Adds to each row the personal data in its text.
 
-    Base kinds are found by rule (``base_spans``).  Other words with a digit are
-    candidates: labelers (shape, gazetteer, context, entropy and the base rules)
-    vote on every candidate of every text, EM estimates how reliable each is,
-    and a logistic regression learns the probabilities; candidates it accepts
-    are spans ``secret`` (with letters) or ``number``.  They never overlap base
-    spans.
+    Base kinds are found by rule (``base_spans``).  Candidates are numbers in
+    groups, what follows a word like "password", names after titles or given
+    names, addresses, and other words with a digit: labelers (shape, gazetteer,
+    context, entropy and the base rules) vote on every candidate of every text,
+    EM estimates how reliable each is on each class of candidates, and a
+    logistic regression learns the probabilities; candidates it accepts are
+    spans ``secret``, ``number`` (no letters), ``name`` or ``address``.  They
+    never overlap base spans or each other.
 
     Adds ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``,
-    ``spans`` and, if ``redact``, ``redacted``: the text with each span (of
+    ``spans``, ``n_secret``, ``n_number``, ``n_name``, ``n_address``, ``n_spans`` (all) and, if ``redact``, ``redacted``: the text with each span (of
     overlapping ones their union, under the first one's name) replaced by its
     kind in angle brackets.  Columns of these names are replaced.  A null or
     empty text has no spans (redacted stays null or empty).  Repeated rows are
@@ -268,22 +342,23 @@ def find_pii(docs: DataFrame, text: str = "text", *, model: SpanModel | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b)):
             source, n = batch.column(keep.index(text)), batch.num_rows
-            counts = np.zeros((len(BASE_KINDS), n), np.int64)
+            counts = np.zeros((len(KINDS), n), np.int64)
             sha, names, clean = [nothing] * n, [""] * n, [None] * n
-            for i in _with_digits(source):
+            for i in _some(source):
                 t = source[i].as_py()
                 found = spans_of(t, accepted)
                 if not found:
                     continue
                 own = [x for x in found if x[0] < len(BASE_KINDS)]
-                for k, _, _ in own:
+                for k, _, _ in found:
                     counts[k, i] += 1
                 if own:
                     sha[i] = hashlib.sha256(name_spans(own).encode()).hexdigest()
                 names[i] = name_spans(found)
                 if redact:
                     clean[i] = _redacted(t, found)
-            columns = [*batch.columns, *(pa.array(c) for c in counts), pa.array(sha), pa.array(names)]
+            nb = len(BASE_KINDS)
+            columns = [*batch.columns, *map(pa.array, counts[:nb]), pa.array(sha), pa.array(names), *map(pa.array, counts[nb:]), pa.array(counts.sum(0))]
             if redact:
                 columns.append(pc.coalesce(pa.array(clean, source.type), source))
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())

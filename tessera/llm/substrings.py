@@ -14,8 +14,8 @@ from tessera.llm import blocks
 from tessera.llm.arrowtext import Words, mix, pieces, words
 from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, tidy
 
-#: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 2) ** 4 = 0.983 of pairs meet; a passage has several paragraphs.
-BANDS, ROWS = 4, 2
+#: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
+BANDS, ROWS = 6, 3
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
 REACH = 8
 #: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 16 words share one.
@@ -25,10 +25,10 @@ EXACT = 0x2545F4914F6CDD1D
 
 _LONGS = lambda *names: T.StructType([T.StructField(c, T.LongType()) for c in names])
 PARAGRAPHS = _LONGS("row", "first_word", "n_words", "key")
-BAND = T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+BAND = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 ANCHORS = _LONGS("row", "at", "key", "begin", "left", "end", "right")
 ANCHOR_KEYS = _LONGS("key")
-TOKENS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
+TOKENS = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
 
 def _least_around(h: np.ndarray, reach: int) -> np.ndarray:
@@ -130,6 +130,17 @@ def _shingle_runs(part: Words, begin: np.ndarray, end: np.ndarray, k: int) -> tu
     return whole, np.repeat(begin - starts, size) + np.arange(int(size.sum())), starts
 
 
+def _distinct(part: Words, whole: np.ndarray, begin: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Distinct runs in each paragraph, by where each run stood last."""
+    key = whole ^ mix(part.text.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    before = np.full(len(key), -1, np.int64)
+    same = key[order[1:]] == key[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    size = np.diff(np.append(starts, len(at)))
+    return np.add.reduceat(before[at] < np.repeat(begin, size), starts, dtype=np.int64)
+
+
 def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, least: int, bounds: Callable = units) -> DataFrame:
     """of(part, begin, end, batch) gives arrays of the schema's columns, slice by slice."""
 
@@ -144,7 +155,7 @@ def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, le
 
 
 def band_rows(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """(key, bands): hashes of the MinHash bands of each paragraph."""
+    """(key, n, bands): distinct shingles, and hashes of the MinHash bands, of each paragraph."""
     salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
     def of(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
@@ -156,29 +167,45 @@ def band_rows(docs: DataFrame, text: str, k: int) -> DataFrame:
             for r in range(ROWS):
                 value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r])[at], starts))
             bands[:, b] = value
-        return key, pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+        return key, _distinct(part, whole, begin[first], at, starts), lists
 
     return _scan(docs, [F.col(f"`{text}`").alias("text")], BAND, of, k)
 
 
-def candidates(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """(key, root): paragraphs joined by bands they share, and the least one of their component.
+def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """(key, root, n): paragraphs joined by bands they share, the least one of their component, and their distinct shingles.
 
     Whether a band has two different paragraphs is told by the least and greatest
     31 bits of their keys, aggregated before anything is dealt out, so copies and
-    paragraphs that very many texts have cost a row a task; only such bands are
-    joined back, and their table is written, so that Spark can split a band that
+    paragraphs that very many texts have cost a row a task; half of the bands at a
+    time.  Only such bands are joined back.  Paragraphs that link have sizes
+    within ``percent`` of each other, so a band joins those of one class of
+    sizes, and classes that are neighbours: a line and a half of it stay apart.
+    Tables of what bands share are written, so that Spark can split a band that
     is very common.
     """
+    spark = docs.sparkSession
     found = materialize(band_rows(docs, text, k), "paragraph-bands")
-    rows = found.select("key", F.explode("bands").alias("band"))
     part = F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")
-    often = rows.select("band", part.alias("p")).groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("band")
-    often = bounded(materialize(often, "paragraph-often", 8), 500_000)
-    hubs = materialize(rows.join(often, "band", "left_semi").groupBy("band").agg(F.min("key").alias("least")), "paragraph-hubs", 8)
-    edges = rows.join(bounded(hubs, 500_000), "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    near = materialize(components(edges, "paragraph-candidates").withColumnRenamed("node", "key"), "paragraph-parts", 8)
-    discard(found, hubs)
+    often = []
+    for low in range(0, BANDS, BANDS // 2):
+        rows = found.select(part.alias("p"), F.explode(F.slice("bands", low + 1, BANDS // 2)).alias("band"))
+        often.append(materialize(rows.groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("band"), "paragraph-often", 8))
+        tidy(spark)
+    size = F.floor(F.log(100.01 / percent, F.col("n"))).cast("int")
+    rows = found.select("key", size.alias("size"), F.explode("bands").alias("band")).join(bounded(often[0].unionAll(often[1]), 1_000_000), "band", "left_semi")
+    rows = materialize(rows, "paragraph-shared")
+    hubs = materialize(rows.groupBy("band", "size").agg(F.min("key").alias("least")), "paragraph-hubs", 8)
+    edges = rows.join(bounded(hubs, 500_000), ["band", "size"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    near = hubs.select("band", (F.col("size") + 1).alias("size"), F.col("least").alias("below"))
+    across = hubs.join(near, ["band", "size"]).where("least <> below").select(F.col("least").alias("a"), F.col("below").alias("b"))
+    near = components(edges.unionAll(across), "paragraph-candidates").withColumnRenamed("node", "key")
+    near = materialize(near, "paragraph-parts", 8)
+    sizes = found.select("key", "n").join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("n").alias("n"))
+    near = materialize(near.join(sizes, "key"), "paragraph-sizes", 8)
+    discard(found, rows, hubs)
+    tidy(spark)
     return near
 
 
@@ -290,25 +317,28 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
         return batch.column(0).take(pa.array(own + part.first)), first, end - begin, _keys(part, begin, end)
 
     found = materialize(_scan(some, ["row", "text"], PARAGRAPHS, places, k), "paragraphs")
-    near = candidates(some, "text", k)
-    tidy(spark)
-    wanted = found.join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row").distinct()
-    wanted = materialize(wanted, "paragraph-texts", 8)
+    near = candidates(some, "text", k, percent)
+    # Each paragraph's set is read from one text that has it.
+    source = found.join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    members = blocks.in_blocks(near.join(source, "key").select("root", "key", "n", "row", F.lit(1).cast("bigint").alias("copies")))
+    members = materialize(members, "paragraph-members", 8)
+    wanted = materialize(members.select("row").distinct(), "paragraph-texts", 8)
     chosen = some.join(bounded(wanted, 500_000), "row", "left_semi")
-
-    def sets(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
-        key, first = np.unique(_keys(part, begin, end), return_index=True)
-        whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
-        distinct = [np.unique(x) for x in np.split(whole[at], starts[1:])]
-        return key, np.array([len(x) for x in distinct], np.int64), pa.array([x.tobytes() for x in distinct], pa.binary())
-
-    tokens = _scan(chosen, ["text"], TOKENS, sets, k).join(bounded(near.select("key"), 500_000), "key", "left_semi").dropDuplicates(["key"])
-    tokens = materialize(tokens, "paragraph-sets")
-    members = near.join(tokens.select("key", "n"), "key").select("root", "key", "n", F.lit(1).cast("bigint").alias("copies"))
-    members = blocks.in_blocks(members).join(tokens.select("key", "tokens"), "key")
-    linked = materialize(blocks.links(members, percent).select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links")
+    if some.groupBy("row").count().where("count > 1").limit(1).count():  # rows that repeat id and text are read once
+        chosen = chosen.dropDuplicates(["row"])
+
+    def sets(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
+        key = _keys(part, begin, end)
+        own = np.unique(np.stack([part.text[begin], key], 1), axis=0, return_index=True)[1]
+        whole, at, starts = _shingle_runs(part, begin[own], end[own], k)
+        binary = pa.array([np.unique(x).tobytes() for x in np.split(whole[at], starts[1:])], pa.binary())
+        return batch.column(0).take(pa.array(part.text[begin[own]] + part.first)), key[own], binary
+
+    tokens = _scan(chosen, ["row", "text"], TOKENS, sets, k)
+    linked = blocks.links(tokens.join(bounded(members, 500_000), ["row", "key"]).drop("row"), percent)
+    linked = materialize(linked.select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links")
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
-    discard(tokens, near, linked, wanted)
+    discard(near, linked, wanted, members)
     tidy(spark)
     exact = materialize(exact_spans(some), "exact-spans")
     tidy(spark)
@@ -321,11 +351,12 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     table = materialize(counts.select("key", "class").join(firsts, "class"), "paragraph-repeats")
     discard(counts)
     tidy(spark)
-    hit = found.join(table, "key").repartition("row").dropDuplicates(["row", "first_word", "n_words", "class"])
+    hit = found.join(table, "key").select("row", "first_word", "n_words", "class", F.expr("row <> r").alias("other"), F.expr("r <> s").alias("many"))
+    hit = hit.repartition("row").dropDuplicates(["row", "first_word", "n_words", "class"])
     # In the text that has a class first, its first place stays, and so does what overlaps it.
     same = Window.partitionBy("row", "class").orderBy("first_word", F.col("n_words").desc())
-    hit = hit.withColumn("end", F.first(F.col("first_word") + F.col("n_words")).over(same)).withColumn("removed", F.expr("row <> r or first_word >= end"))
-    hit = hit.withColumn("some", F.max("removed").over(Window.partitionBy("row", "class"))).where("r <> s or some").select("row", "first_word", "n_words", "class", "removed")
+    hit = hit.withColumn("end", F.first(F.col("first_word") + F.col("n_words")).over(same)).withColumn("removed", F.expr("other or first_word >= end"))
+    hit = hit.withColumn("some", F.max("removed").over(Window.partitionBy("row", "class"))).where("many or some").select("row", "first_word", "n_words", "class", "removed")
     text_order = Window.partitionBy("row", "removed").orderBy("first_word", "n_words")
     apart = F.col("first_word") - F.max(F.col("first_word") + F.col("n_words")).over(text_order.rowsBetween(Window.unboundedPreceding, -1)) >= k
     hit = hit.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, 0)))

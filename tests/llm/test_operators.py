@@ -329,6 +329,46 @@ def test_pii_query_and_held_out_accuracy(spark):
     assert got[0].redacted == 'ab cd token = "<secret>" ef' and got[300].redacted is None and got[301].redacted == ""
 
 
+def planted_pii(rng: random.Random) -> dict:
+    """Kind of planted case -> (text, start, end) makers, none of which a base rule finds."""
+    pick = rng.choice
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    code = lambda n, of=alphabet: "".join(pick(of) for _ in range(n))
+    digits = lambda n: code(n, "0123456789")
+    words = lambda: " ".join(code(rng.randint(2, 9), "abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 12)))
+    cases = {
+        "hex token": lambda: pick(['token = "{}"', "the key is {}", "{}"]).format(code(40, "0123456789abcdef")),
+        "service key": lambda: pick(["export {}", "use {} here"]).format(pick(["ghp_", "sk_live_", "AKIA"]) + code(30)),
+        "password": lambda: pick(["password is {}", "password: {}", "passwd={}"]).format(code(rng.randint(8, 14), "abcdefghijklmnopqrstuvwxyz")),
+        "iban": lambda: pick(["iban {}", "pay to {}"]).format(f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"),
+        "ssn": lambda: pick(["ssn {}", "number {}"]).format(f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        "national phone": lambda: pick(["call {}", "phone {}", "at {}"]).format(f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        "name": lambda: pick(["wrote {}", "by {}", "with {}"]).format(f"{pick(pii.GIVEN_NAMES)} {pick(pii.SURNAMES)}"),
+        "titled name": lambda: f"saw {pick(['Dr', 'Mrs', 'Mr'])}. {pick(pii.SURNAMES)}",
+        "address": lambda: pick(["lives at {}", "ship to {}"]).format(pick([f"{rng.randint(1, 999)} {pick(['Oak', 'Main', 'Mill'])} {pick(['Street', 'Road', 'Lane'])}", f"Lindenstraße {rng.randint(1, 99)}"])),
+        "clean": lambda: pick(["see page {} of volume {}", "in {} about {} were sold", "version {}.{} is out", "chapter {}, figure {}"]).format(1900 + rng.randrange(120), rng.randrange(90)),
+        "clean words": lambda: pick(["Anna went home", "the password was changed", "a secret of the trade", "In Paris. James", "Street level 5 of 9"]),
+    }
+    return {k: (lambda f=f: f"{words()} {f()} {words()}") for k, f in cases.items()}
+
+
+def test_pii_recall_of_each_planted_kind(spark):
+    """Trained on half of the rows without labels; recall by kind on the other half, and clean texts left alone."""
+    makers = planted_pii(random.Random(31))
+    data = [(i, make(), kind) for i, (kind, make) in enumerate((k, m) for _ in range(80) for k, m in makers.items())]
+    train = spark.createDataFrame([r for r in data if (r[0] // len(makers)) % 2], "doc_id long, text string, kind string")
+    rest = spark.createDataFrame([r for r in data if not (r[0] // len(makers)) % 2], "doc_id long, text string, kind string")
+    found = pii.find_pii(rest, model=pii.train(train)).toPandas()
+    share = found.assign(hit=found.n_spans > 0).groupby("kind").hit.mean().to_dict()
+    assert all(share[k] >= 0.9 for k in makers if "clean" not in k), share
+    assert share["clean"] <= 0.05 and share["clean words"] <= 0.25, share
+
+
+def test_pii_long_texts_take_linear_time():
+    for t in ("a" * 300_000, "1 " * 50_000, "A" * 200_000 + "1", "Anna " * 30_000, "password " * 20_000, "9" * 200_000 + "x", "Rue " * 20_000):
+        list(pii.candidates(t))
+
+
 def test_licenses_match_sql(docs):
     assert rows(licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == rows(sql(licenses.OP7_SQL, documents=pandas_docs()))
 
