@@ -33,15 +33,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents link at a Jaccard similarity of 0.8 of five-word shingles; op5's own contract is narrower.  Rows that repeat id and text are one; texts without words stay.
     """
     keyed = _keyed(docs)
-    classes = materialize(jaccard.jaccard_join(keyed, id=KEY, k=5, percent=80).where("component_id <> " + KEY + " or n_links > 0"), "pipeline-classes")
+    classes = materialize(jaccard.jaccard_join(keyed, id=KEY, k=5, percent=80).where("component_id <> " + KEY + " or n_links > 0"), "pipeline-classes", few=True)
     ids = keyed.select("doc_id", KEY).join(bounded(classes.select(KEY, "component_id").distinct(), 1_000_000), KEY)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(KEY).alias("key"))
-    stays = materialize(ids.groupBy("component_id").agg(F.min(order).alias("o")).select(F.col("o.key").alias(KEY)), "pipeline-stays", 8)
+    stays = materialize(ids.groupBy("component_id").agg(F.min(order).alias("o")).select(F.col("o.key").alias(KEY)), "pipeline-stays", few=True)
     gone = classes.select(KEY).distinct().join(bounded(stays), KEY, "left_anti")
-    gone = bounded(materialize(gone, "pipeline-gone", 8), 1_000_000)
+    gone = bounded(materialize(gone, "pipeline-gone", few=True), 1_000_000)
     kept = keyed.join(gone, KEY, "left_anti")
     twice = classes.join(bounded(stays), KEY, "left_semi").groupBy(KEY).count().where("count > 1").select(KEY)
-    twice = bounded(materialize(twice, "pipeline-twice", 8))
+    twice = bounded(materialize(twice, "pipeline-twice", few=True))
     once = kept.join(twice, KEY, "left_anti")
     return once.unionByName(kept.join(twice, KEY, "left_semi").dropDuplicates([KEY])).select(*[f"`{c}`" for c in docs.columns])
 
@@ -50,7 +50,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents that hold no benchmark item."""
     keyed = _keyed(docs)
     found = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id=KEY)
-    leaked = bounded(materialize(found.select(KEY).distinct(), "pipeline-leaks", 8), 1_000_000)
+    leaked = bounded(materialize(found.select(KEY).distinct(), "pipeline-leaks", few=True), 1_000_000)
     return keyed.join(leaked, KEY, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

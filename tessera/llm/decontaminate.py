@@ -81,20 +81,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     least = least.withColumn("k", F.least(F.lit(k), F.size("w")))
     shingled = F.expr("case k " + " ".join(f"when {j} then {_shingles('w', j)}" for j in range(1, k + 1)) + " end")
     table = least.select("item", F.size("w").alias("n"), "k", shingled.alias("g"))
-    table = materialize(table.select("item", "n", "k", F.explode(F.array("g")).alias("g")).select("*", F.expr(_prints("g")).alias("fp"), F.expr(_multiset("g")).alias("set")), "items", 8)
+    table = materialize(table.select("item", "n", "k", F.explode(F.array("g")).alias("g")).select("*", F.expr(_prints("g")).alias("fp"), F.expr(_multiset("g")).alias("set")), "items", few=True)
     sizes = sorted(r.k for r in table.select("k").distinct().collect()) or [k]  # at most k rows
     vocabulary = table.select("n", "k", F.explode("g").alias("h")).distinct()
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("t"))
     per_k = lambda w: F.array(*[F.struct(F.lit(j).alias("k"), F.expr(_shingles(w, j)).alias("g")) for j in sizes])
     places = rows.select("id", "t", _words("text").alias("w")).select("id", "t", F.size("w").alias("m"), F.explode(per_k("w")).alias("s")).select("id", "t", "m", "s.k", F.posexplode("s.g").alias("p", "h"))
-    hits = places.join(bounded(materialize(vocabulary, "item-shingles", 8)), ["k", "h"])
+    hits = places.join(bounded(materialize(vocabulary, "item-shingles", few=True)), ["k", "h"])
     starts = hits.groupBy("id", "t", "n", "k").agg(F.collect_set(F.expr("greatest(0, least(p, m - n))")).alias("s"))
-    starts = materialize(starts.groupBy("id", "t").agg(F.collect_list(F.struct("n", "k", "s")).alias("starts")), "window-starts")
+    starts = materialize(starts.groupBy("id", "t").agg(F.collect_list(F.struct("n", "k", "s")).alias("starts")), "window-starts", few=True)
     texts = rows.join(bounded(starts.select(F.col("id").alias("i2"), F.col("t").alias("t2"), "starts"), 50_000), F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2"))).dropDuplicates(["id", "t"])
     texts = texts.select("id", "t", "starts", _words("text").alias("w")).select("id", "t", "starts", F.size("w").alias("m"), F.explode(F.array(per_k("w"))).alias("by_k"))
     texts = texts.select("id", "t", "m", "by_k", F.explode("starts").alias("x")).select("id", "t", "m", "x.n", "x.k", "x.s", F.expr("filter(by_k, y -> y.k = x.k)[0].g").alias("g"))
     windows = texts.select("id", "t", "n", F.expr("least(n, m)").alias("length"), F.explode(F.expr("transform(s, i -> struct(i as s, slice(g, i + 1, least(n, m) - k + 1) as g))")).alias("x")).select("id", "t", "n", "length", "x.s", "x.g")
-    windows = materialize(windows.where("size(g) > 0").select("*", F.expr(_prints("g")).alias("fp")), "window-prints")
+    windows = materialize(windows.where("size(g) > 0").select("*", F.expr(_prints("g")).alias("fp")), "window-prints", few=True)
     masks = [0, *(sum(1 << b for b in c) for r in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r))]
     every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")
     index = table.select("item", "n", F.col("set").alias("set2"), F.col("fp").alias("fp2"), "fp", every)

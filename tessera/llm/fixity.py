@@ -95,7 +95,7 @@ def fixity_audit(a: DataFrame, b: DataFrame) -> DataFrame:
         else:
             x, y = x.withColumn("nodes", F.lit(0).cast("bigint")), y.withColumn("nodes2", F.lit(0).cast("bigint"))
         both = x.join(y, ["archive", "node"], "full").where(~F.col("ha").eqNullSafe(F.col("hb")))
-        suspects = materialize(both.select("archive", "node", "ha", "hb", (F.coalesce("nodes", "nodes2") + (1 if n else 0)).alias("nodes")), "suspects")
+        suspects = materialize(both.select("archive", "node", "ha", "hb", (F.coalesce("nodes", "nodes2") + (1 if n else 0)).alias("nodes")), "suspects", few=True)
     names = a.unionByName(b).join(suspects.select("archive", F.col("node").alias("offset")), ["archive", "offset"], "left_semi").groupBy("archive", "offset").agg(F.min("record").alias("record"))
     fault = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("changed")
     return suspects.select("archive", F.col("node").alias("offset"), fault.alias("fault"), "nodes").join(names, ["archive", "offset"]).select("archive", "offset", "record", "fault", "nodes")

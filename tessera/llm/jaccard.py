@@ -266,7 +266,7 @@ def refined(members: DataFrame, percent: int) -> DataFrame:
     large = bounded(materialize(large, "jaccard-large", 1))
     group = blocks.in_blocks(members.join(large, "root", "left_semi").select("root", "key", "copies", F.size("prefix").cast("bigint").alias("weight"), F.col("n").alias("size"), "level", "prefix").withColumnRenamed("weight", "n"))
     found = blocks.links(group.drop("n").withColumnRenamed("size", "n"), percent, prefixes=True, sets=False)
-    parts = materialize(components(found.select(F.col("key").alias("a"), F.col("to").alias("b")), "jaccard-refined"), "jaccard-parted")
+    parts = materialize(components(found.select(F.col("key").alias("a"), F.col("to").alias("b")), "jaccard-refined"), "jaccard-parted", few=True)
     rest = members.join(large, "root", "left_anti")
     return rest.unionByName(members.drop("root").join(parts.withColumnRenamed("node", "key"), "key").select(*members.columns))
 
@@ -314,18 +314,18 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k:
     # Tokens in over a fiftieth of all documents: at most fifty times the mean set size of them.
     total = rows.where("n > 0").count()
     often = sets.where("token is not null").groupBy("token").agg(F.sum("many").alias("many")).where(F.col("many") >= total // FREQUENT)
-    prefixes = materialize(prefix_tokens(docs, text, k, percent, [r.token for r in often.select("token").collect()]), "jaccard-prefixes")
+    prefixes = materialize(prefix_tokens(docs, text, k, percent, [r.token for r in often.select("token").collect()]), "jaccard-prefixes", few=True)
     keys = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     parts = components(candidate_edges(prefixes, percent), "jaccard-candidates")
     members = parts.withColumnRenamed("node", "key").join(prefixes.select("key", "n", "level", F.col("token").alias("prefix")), "key").join(keys, "key")
-    whole = materialize(members, "jaccard-members")
-    members = materialize(refined(whole, percent), "jaccard-refined-members")
+    whole = materialize(members, "jaccard-members", few=True)
+    members = materialize(refined(whole, percent), "jaccard-refined-members", few=True)
     discard(prefixes, whole)
     wanted = members.select(F.col("least").alias("__id")).distinct()
     chosen = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).join(bounded(wanted, 1_000_000), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
     tokens = tokens_of(chosen, "text", k).join(bounded(members.select("key").distinct(), 1_000_000), "key", "left_semi").dropDuplicates(["key"])
     group = blocks.in_blocks(members.select("root", "key", "copies", "n", "level", "prefix")).join(tokens, "key")
-    found = materialize(blocks.links(group, percent, prefixes=True), "jaccard-links")
+    found = materialize(blocks.links(group, percent, prefixes=True), "jaccard-links", few=True)
     final = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")), "jaccard-final")
     final = final.join(keys, F.col("node") == F.col("key")).select("node", "root", "least")
     least = final.groupBy("root").agg(F.min("least").alias("component"))
@@ -333,7 +333,7 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k:
     classes = final.join(least, "root").select(F.col("node").alias("key"), "component").join(n_links, "key")
     classes = keys.join(classes, "key", "left").where("copies > 1 or component is not null").select("key", "copies", F.coalesce("component", "least").alias("component"), "links")
     # Written, so that a set with very many copies meets a plain table that Spark can split or broadcast.
-    classes = materialize(classes, "jaccard-classes")
+    classes = materialize(classes, "jaccard-classes", few=True)
     discard(members, found)
     joined = rows.join(bounded(classes), "key", "left")
     return joined.select(

@@ -99,19 +99,19 @@ def plan_mix(
     sources = rows.groupBy("name").agg(F.sum("words").alias("s")).select("name", "s", (F.substring("name", 1, 1) == "0").alias("none"))
     sources = numbered(sources, ["none", "name"], "i", "mix-sources")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights)).cast("int") + 1)
-    sources = materialize(sources.select("name", "s", weight.alias("weight")), "mix-weights", 8)
+    sources = materialize(sources.select("name", "s", weight.alias("weight")), "mix-weights", few=True)
     sources = targets(sources, share, most).withColumn("quota", F.floor(F.col("target") + 0.5))
     plan = sources.select(
         "name", F.col("s").alias("source_size"), "target",
         F.greatest(F.least(F.lit(64), F.expr("(s + 999) div 1000")), F.expr(f"(s + {block_words - 1}) div {block_words}"), F.lit(1)).alias("blocks"),
         F.expr("if(s = 0, 0, quota div s)").alias("passes"), F.expr("if(s = 0, 0, quota % s)").alias("rest"),
     )
-    plan = bounded(materialize(plan, "mix-plan", 8))
+    plan = bounded(materialize(plan, "mix-plan", few=True))
     rows = rows.join(plan, "name").withColumn("block", _number(F.concat(F.lit(f"{seed}|block|"), "key")) % F.col("blocks"))
     permuted = Window.partitionBy("name").orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), "name", "block")), "block")
     cut = rows.groupBy("name", "block").agg(F.sum("words").alias("in_block"), F.first("rest").alias("r"), F.first("passes").alias("p"))
     cut = cut.withColumn("rank", F.row_number().over(permuted) - 1).withColumn("before", F.sum("in_block").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_block"))
-    cut = materialize(cut.withColumn("drawn", F.col("before") < F.col("r")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))), "mix-blocks", 8)
+    cut = materialize(cut.withColumn("drawn", F.col("before") < F.col("r")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))), "mix-blocks", few=True)
     draws = cut.select("name", F.explode(F.expr("transform(sequence(0L, p + cast(drawn as bigint)), x -> if(x < p + cast(drawn as bigint), x * n + rank, -1L))")).alias("idx")).where("idx >= 0")
     words = int(plan.agg(F.sum("target")).first()[0] or 0)
     shards = least_shards
@@ -120,9 +120,9 @@ def plan_mix(
     tree = split_tree(draws, shards, seed)
     ends = F.sum("many").over(Window.partitionBy("name").orderBy("shard"))
     ends = tree.withColumn("end", ends).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("shard", "end"))).alias("ends"))
-    ends = materialize(ends, "mix-ends", 8)
+    ends = materialize(ends, "mix-ends", few=True)
     cut = cut.select("name", "block", "in_block", "before", "rank", "drawn", "n").join(bounded(ends), "name", "left")
-    rows = rows.join(bounded(materialize(cut, "mix-cuts", 8)), ["name", "block"]).withColumn("hash", F.md5(F.concat(F.lit(f"{seed}|row|"), "key")))
+    rows = rows.join(bounded(materialize(cut, "mix-cuts", few=True)), ["name", "block"]).withColumn("hash", F.md5(F.concat(F.lit(f"{seed}|row|"), "key")))
     edge = F.col("drawn") & (F.col("before") + F.col("in_block") > F.col("rest"))
     inside = Window.partitionBy("name", "block").orderBy("hash", "words").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = rows.where(edge).withColumn("part", F.least("words", F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.sum("words").over(inside) + F.col("words"))))

@@ -71,19 +71,19 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     keyed = parsed.where("c is not null and t is not null")
     quotes = keyed.where("exists(p, x -> x.level > 0)").select("c", "t", F.posexplode("p").alias("i", "x")).where("x.level > 0")
     quotes = quotes.select("c", "t", "i", "x.level", F.explode(F.expr("concat(array(struct(0 as k, x.h as h)), transform(x.lines, (y, j) -> struct(j + 1 as k, y as h)))")).alias("y"))
-    quotes = materialize(quotes.select("c", "t", "i", "level", "y.k", "y.h").distinct(), "quotes")
+    quotes = materialize(quotes.select("c", "t", "i", "level", "y.k", "y.h").distinct(), "quotes", few=True)
     # Only passages and lines that someone quotes are looked for.
-    wanted = bounded(materialize(quotes.select("c", "h").distinct(), "quotes-wanted", 8))
+    wanted = bounded(materialize(quotes.select("c", "h").distinct(), "quotes-wanted", few=True))
     whole = F.expr(f"array(xxhash64('p', {_squeezed('own_text')}))")
     mine = F.array_distinct(F.concat(whole, F.expr("flatten(transform(filter(p, x -> x.level = 0), x -> array_append(x.lines, x.h)))")))
     mine = keyed.where("own_text <> ''").select("c", "t", F.explode(mine).alias("h"))
-    origin = materialize(mine.join(wanted, ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("origin")), "quotes-origins", 32)
+    origin = materialize(mine.join(wanted, ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("origin")), "quotes-origins", few=True)
     linked = quotes.join(bounded(origin), ["c", "h"]).where(F.col("origin") < F.col("t"))
     linked = linked.groupBy("c", "t", "i").agg(F.min_by("origin", "k").alias("origin"), F.first("level").alias("level"))
     replies = linked.groupBy("c", "t").agg(F.min_by("origin", F.struct("level", "i")).alias("reply_to"), F.sort_array(F.collect_set("origin")).alias("quoted"), F.count(F.lit(1)).alias("n_linked"))
-    replies = materialize(replies, "quotes-replies", 32)
+    replies = materialize(replies, "quotes-replies", few=True)
     extra = replies.join(threads(replies), ["c", "t"]).select(F.col("c").alias("c2"), F.col("t").alias("t2"), "reply_to", "quoted", "n_linked", "thread", "depth")
-    extra = bounded(materialize(extra, "quotes-extra", 32))
+    extra = bounded(materialize(extra, "quotes-extra", few=True))
     joined = parsed.join(extra, (F.col("c") == F.col("c2")) & (F.col("t") == F.col("t2")), "left")
     return joined.select(
         "message",
@@ -131,7 +131,7 @@ def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str =
         m.getField(conversation).alias("conv"), "thread", m.getField(turn).alias("turn"), F.coalesce("own_text", F.lit("")).alias("own"), F.coalesce(m.getField(role).cast("string"), F.lit("")).alias("role"), "reply_to", "n_quotes", "n_linked", "depth"
     )
     rows = numbered(rows, ["conv", "thread", "turn", "own", "role"], "number", "conversation-rows")
-    first = bounded(materialize(rows.groupBy("conv").agg(F.min("number").alias("first")), "conversation-starts", 32).withColumnRenamed("conv", "conv2"))
+    first = bounded(materialize(rows.groupBy("conv").agg(F.min("number").alias("first")), "conversation-starts", few=True).withColumnRenamed("conv", "conv2"))
     rows = rows.join(first, F.col("conv").eqNullSafe(F.col("conv2"))).withColumn("at", F.col("number") - F.col("first"))
     text = F.concat("role", F.lit(": "), "own")
     rows = rows.groupBy("conv", F.expr(f"at div {part}").alias("part")).agg(

@@ -34,12 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, files: int | None = None, few: bool = False) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: later jobs reread it when executors are lost.
 
-    ``files``: so many tasks write it at most, for tables known to be small.
+    ``files``: so many tasks write it at most, for tables of a known size; ``few``:
+    an eighth of the shuffle's partitions (12 at least), for tables much smaller
+    than what is shuffled to make them, so that small files don't pile up.
     """
     spark = df.sparkSession
+    if few:
+        files = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
     path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     (df if files is None else df.coalesce(files)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

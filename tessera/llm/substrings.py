@@ -191,19 +191,19 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     often = []
     for low in range(0, BANDS, BANDS // 2):
         rows = found.select(part.alias("p"), F.explode(F.slice("bands", low + 1, BANDS // 2)).alias("band"))
-        often.append(materialize(rows.groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("band"), "paragraph-often", 8))
+        often.append(materialize(rows.groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("band"), "paragraph-often", few=True))
         tidy(spark)
     size = F.floor(F.log(100.01 / percent, F.col("n"))).cast("int")
     rows = found.select("key", size.alias("size"), F.explode("bands").alias("band")).join(bounded(often[0].unionAll(often[1]), 1_000_000), "band", "left_semi")
-    rows = materialize(rows, "paragraph-shared")
-    hubs = materialize(rows.groupBy("band", "size").agg(F.min("key").alias("least")), "paragraph-hubs", 8)
+    rows = materialize(rows, "paragraph-shared", few=True)
+    hubs = materialize(rows.groupBy("band", "size").agg(F.min("key").alias("least")), "paragraph-hubs", few=True)
     edges = rows.join(bounded(hubs, 500_000), ["band", "size"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     near = hubs.select("band", (F.col("size") + 1).alias("size"), F.col("least").alias("below"))
     across = hubs.join(near, ["band", "size"]).where("least <> below").select(F.col("least").alias("a"), F.col("below").alias("b"))
     near = components(edges.unionAll(across), "paragraph-candidates").withColumnRenamed("node", "key")
-    near = materialize(near, "paragraph-parts", 8)
+    near = materialize(near, "paragraph-parts", few=True)
     sizes = found.select("key", "n").join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("n").alias("n"))
-    near = materialize(near.join(sizes, "key"), "paragraph-sizes", 8)
+    near = materialize(near.join(sizes, "key"), "paragraph-sizes", few=True)
     discard(found, rows, hubs)
     tidy(spark)
     return near
@@ -236,16 +236,16 @@ def exact_spans(docs: DataFrame) -> DataFrame:
         return batch.column(0).take(at), begin - zero, _keys(part, begin, end) ^ salt, low - zero, _keys(part, low, end) ^ ~salt, high - zero, _keys(part, begin, high) ^ (salt >> 1)
 
     often = _scan(docs, ["text"], ANCHOR_KEYS, keys, 0, bounds).groupBy("key").count().where("count > 1").select("key")
-    often = bounded(materialize(often, "anchors-often", 32), 1_000_000)
+    often = bounded(materialize(often, "anchors-often", few=True), 1_000_000)
     table = materialize(_scan(docs, ["row", "text"], ANCHORS, of, 0, bounds).join(often, "key", "left_semi").select(*ANCHORS.names), "anchors")
     # Most anchors have the same sides everywhere; only the others are told apart further.
     differ = table.groupBy("key").agg(F.min("left").alias("a"), F.max("left").alias("b"), F.min("right").alias("c"), F.max("right").alias("d")).where("a <> b or c <> d").select("key")
-    differ = bounded(materialize(differ, "anchors-differ", 8), 500_000)
+    differ = bounded(materialize(differ, "anchors-differ", few=True), 500_000)
     sides = table.join(differ, "key", "left_semi").select("key", F.expr("""inline(array(
         struct(0 as side, left as next, struct(row, at, begin as low, at - 1 as high) as place),
         struct(1 as side, right as next, struct(row, at, at + 1 as low, end as high) as place)))"""))
     ends = sides.groupBy("key", "side", "next").agg(F.min("place").alias("place")).select("place.*")
-    ends = materialize(ends.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchor-ends")
+    ends = materialize(ends.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchor-ends", few=True)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b)):
@@ -276,9 +276,9 @@ def identified(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFram
     docs = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     key = F.xxhash64("id", "text").bitwiseOR(F.lit(-(1 << 63)))
     twice = docs.where("id is not null").select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("id", F.lit(True).alias("twice"))
-    twice = bounded(materialize(twice, "passage-ids", 8), 500_000)
+    twice = bounded(materialize(twice, "passage-ids", few=True), 500_000)
     some = docs.join(twice, "id", "left").select(F.when(F.col("id").isNull() | F.col("twice"), key).otherwise(F.col("id")).alias("row"), "text", "id")
-    odd = materialize(some.where("id is null or row <> id").select("row", "id").distinct(), "passage-odd", 8)
+    odd = materialize(some.where("id is null or row <> id").select("row", "id").distinct(), "passage-odd", few=True)
     return some.select("row", "text"), odd
 
 
@@ -321,8 +321,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     # Each paragraph's set is read from one text that has it.
     source = found.join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     members = blocks.in_blocks(near.join(source, "key").select("root", "key", "n", "row", F.lit(1).cast("bigint").alias("copies")))
-    members = materialize(members, "paragraph-members", 8)
-    wanted = materialize(members.select("row").distinct(), "paragraph-texts", 8)
+    members = materialize(members, "paragraph-members", few=True)
+    wanted = materialize(members.select("row").distinct(), "paragraph-texts", few=True)
     chosen = some.join(bounded(wanted, 500_000), "row", "left_semi")
     if some.groupBy("row").count().where("count > 1").limit(1).count():  # rows that repeat id and text are read once
         chosen = chosen.dropDuplicates(["row"])
@@ -336,7 +336,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
 
     tokens = _scan(chosen, ["row", "text"], TOKENS, sets, k)
     linked = blocks.links(tokens.join(bounded(members, 500_000), ["row", "key"]).drop("row"), percent)
-    linked = materialize(linked.select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links")
+    linked = materialize(linked.select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links", few=True)
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
     discard(near, linked, wanted, members)
     tidy(spark)
@@ -346,9 +346,9 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     # Keys with one place and no link are done with: what follows is what repeats.
     counts = found.groupBy("key").agg(F.min("row").alias("r"), F.max("row").alias("s"), F.min("first_word").alias("a"), F.max("first_word").alias("b"))
     counts = counts.join(classes, "key", "left").where("r <> s or a <> b or class is not null").withColumn("class", F.coalesce("class", "key"))
-    counts = materialize(counts, "paragraph-counts")
+    counts = materialize(counts, "paragraph-counts", few=True)
     firsts = counts.groupBy("class").agg(F.min("r").alias("r"), F.max("s").alias("s"))
-    table = materialize(counts.select("key", "class").join(firsts, "class"), "paragraph-repeats")
+    table = materialize(counts.select("key", "class").join(firsts, "class"), "paragraph-repeats", few=True)
     discard(counts)
     tidy(spark)
     hit = found.join(table, "key").select("row", "first_word", "n_words", "class", F.expr("row <> r").alias("other"), F.expr("r <> s").alias("many"))
