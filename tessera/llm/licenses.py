@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import materialize
+
 WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -21,23 +23,40 @@ class Template:
     base: bool = False
 
 
-#: Notices of well-known licences (fixed values).
+#: Notices of well-known licences, lower-cased and without marks (fixed values).
 TEMPLATES = (
     Template("gpl", "this work is licensed under the gnu general public license", "gnu general public license", True),
     Template("apache", "licensed under the apache license", "apache license", True),
     Template("cc-by", "licensed under cc by", "cc by", True),
     Template("mit", "released under the mit license", "mit license", True),
-    Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
+    Template("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu affero general public license"),
     Template("all-rights-reserved", "all rights reserved", "all rights reserved"),
     Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("apache-2.0-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "you may not use this file except in compliance with the license"),
+    Template("artistic-2.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed the artistic license 2 0", "artistic license 2 0"),
+    Template("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software without specific prior written permission"),
+    Template("bsl-1.0", "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost software license version 1 0"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-)
+    Template("cc-attribution", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    Template("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "eclipse public license"),
+    Template("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    Template("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "general public license as published by the free software foundation either version 3"),
+    Template("gpl-3.0-named", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software for any purpose"),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "to deal in the software without restriction"),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "mozilla public license"),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    Template("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without fee and without a written agreement is hereby granted"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose", "free and unencumbered software released into the public domain"),
+    Template("wtfpl", "do what the fuck you want to public license everyone is permitted to copy and distribute verbatim or modified copies of this license document", "do what the fuck you want to public license"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "provided as is without any express or implied warranty in no event will the authors be held liable"),
+)
+#: Rare words of a template that are filed.
+FILED = 3
 
 
 def _words(text: str) -> F.Column:
@@ -53,86 +72,109 @@ def _literal(x) -> str:
     return f"array({', '.join(map(_literal, x))})" if isinstance(x, (list, tuple)) else str(x)
 
 
-def word_weights(docs: DataFrame, text: str, templates=TEMPLATES) -> dict[str, float]:
-    """Inverse document frequency, over all of docs, of each word of the templates: ln((1 + rows) / (1 + rows with it)) + 1."""
-    vocabulary = sorted({w for t in templates for w in t.notice.split()})
-    has = F.explode(F.array_append(F.array_intersect(F.expr(_literal(vocabulary)), _words(text)), "")).alias("word")
-    # At most one row a word of the templates, whatever the size of docs.
-    counts = {r.word: r["count"] for r in docs.select(has).groupBy("word").count().collect()}
+def _vocabulary(templates) -> list[str]:
+    return sorted({w for t in templates for w in t.notice.split()})
+
+
+def _offset(t: Template) -> int:
+    """Where the key phrase begins in the notice."""
+    key, notice = t.key.split(), t.notice.split()
+    return next(j for j in range(len(notice)) if notice[j : j + len(key)] == key)
+
+
+def word_weights(worded: DataFrame, templates=TEMPLATES) -> dict[str, float]:
+    """Inverse document frequency, over all rows, of each word of the templates: ln((1 + rows) / (1 + rows with it)) + 1."""
+    vocabulary = _vocabulary(templates)
+    has = F.explode(F.array_append(F.array_distinct(F.col("hits.w")), "")).alias("word")
+    # At most one row a word of the templates, whatever the number of rows.
+    counts = {r.word: r["count"] for r in worded.select(has).groupBy("word").count().collect()}
     rows = counts.get("", 0)
     return {w: math.log((1 + rows) / (1 + counts.get(w, 0))) + 1 for w in vocabulary}
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, least: float = 0.5) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, least: float = 0.5, texts: bool = True) -> DataFrame:
     """Adds to each row what licences its text names.
 
     Words are runs of letters and digits (every character beyond ASCII counts
-    as one), A-Z lower-cased.  Of each template's key phrase the word of
-    highest IDF over all texts (ties: least word, first place) is filed with
-    its position; a text's words that the index has give candidate places by
-    relative position, and a candidate stands if the key phrase does.  Its
-    score is the IDF-weighted share of the template's notice that stands at
-    the same relative positions.  A template of the base set labels the text
-    in any case, another one with a score of ``least`` or more.
+    as one), A-Z lower-cased.  Of each template's key phrase up to ``FILED`` words of
+    highest IDF over all texts (ties: least word, first place) are filed with
+    their positions; phrases with fewer words file all.  A text's own words
+    that are filed are looked up: postings of a
+    template are places where the text would hold it by the relative position
+    of a filed word, and only places at which the postings of all of the
+    template's filed words meet are candidates.  A candidate stands if the key phrase
+    does word for word.  Its score is the IDF-weighted share of the template's
+    notice that stands at the same relative positions.  A template of the base
+    set labels the text in any case, another one with a score of ``least`` or more.
 
     Adds ``n_words``, ``n_base`` (places of base key phrases), ``first_word``
     and ``last_word`` (their least and greatest start; null if none),
     ``base_labels``, ``labels`` (sorted, comma-joined) and ``score`` (greatest,
     0 if none; rounded to 6 places).  Columns of docs with these names are
-    replaced.  A null or empty text has no words.  Repeated rows are judged
-    alike.  Two passes, and no shuffle but of word counts.
+    replaced; all others are kept, whatever their names.  A null or empty text
+    has no words.  Repeated rows are judged alike; an empty table gives an empty
+    one.  Without ``texts`` the text column is left out and texts are split
+    once: the words that templates have are written with their places, and
+    counted and looked up from there.  With it they are split twice, and
+    nothing is written.  No shuffle but of word counts.
     """
-    weight = word_weights(docs, text, templates)
-    index, keys, notices, weights, offsets = [], [], [], [], []
-    for i, t in enumerate(templates):
-        key, notice = t.key.split(), t.notice.split()
-        at = min(range(len(key)), key=lambda j: (-weight[key[j]], key[j], j))
-        index.append(f"named_struct('word', '{key[at]}', 't', {i}, 'at', {at})")
-        keys.append(key)
-        notices.append(notice)
-        weights.append([weight[w] for w in notice])
-        offsets.append(next(j for j in range(len(notice)) if notice[j : j + len(key)] == key))
-    names = sorted({templates[i].key.split()[int(e.rsplit(" ", 1)[1][:-1])] for i, e in enumerate(index)})
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    base = docs.select(*[f"`{c}`" for c in docs.columns if c not in added or c == text])
-    words = base.select(*[f"`{c}`" for c in base.columns], _words(text).alias("__w"))
-    hits = words.withColumn(
-        "__h",
-        F.expr(f"""if(arrays_overlap(__w, {_literal(names)}),
-            filter(transform(__w, (w, i) -> named_struct('w', w, 'i', i)), x -> x.w in ({', '.join(map(_literal, names))})),
-            cast(array() as array<struct<w: string, i: int>>))"""),
-    )
-    places = hits.withColumn(
-        "__c",
-        F.expr(f"""filter(
-            array_distinct(flatten(transform(__h, h -> transform(filter(array({', '.join(index)}), e -> e.word = h.w), e -> named_struct('t', e.t, 's', h.i - e.at))))),
-            c -> if(c.s >= 0, slice(__w, c.s + 1, size(element_at({_literal(keys)}, c.t + 1))) = element_at({_literal(keys)}, c.t + 1), false))"""),
-    )
-    scored = places.withColumn(
-        "__f",
-        F.expr(f"""transform(__c, c -> named_struct('t', c.t, 's', c.s, 'score', round(aggregate(
-            sequence(0, size(element_at({_literal(notices)}, c.t + 1)) - 1), 0.0D,
-            (sum, j) -> sum + if(get(__w, c.s - element_at({_literal(offsets)}, c.t + 1) + j) <=> element_at({_literal(notices)}, c.t + 1)[j], element_at({_literal(weights)}, c.t + 1)[j], 0.0D))
-            / element_at({_literal([sum(w) for w in weights])}, c.t + 1), 6)))"""),
-    )
+    kept = [c for c in docs.columns if c not in added or c == text]
+    vocabulary = _literal(_vocabulary(templates))
+    found = F.expr(f"""transform(array(w), w -> named_struct('n', size(w), 'hits', if(arrays_overlap(w, {vocabulary}),
+        filter(transform(w, (x, i) -> named_struct('w', x, 'i', i)), x -> array_contains({vocabulary}, x.w)), cast(array() as array<struct<w: string, i: int>>))))[0]""")
+    kept = [c for c in kept if texts or c != text]
+    slim = docs.select(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in kept]).alias("doc"), _words(text).alias("w"))
+    worded = slim.select("doc", F.explode(F.array(found)).alias("x")).select("doc", "x.n", "x.hits")
+    if not texts:
+        worded = materialize(worded, "license-words")
+    weight = word_weights(worded, templates)
+    keys, filed = [t.key.split() for t in templates], []
+    for key in keys:
+        best = sorted(range(len(key)), key=lambda j: (-weight[key[j]], key[j], j))[:FILED]
+        filed.append([(key[j], j) for j in best])
+    entries = [f"named_struct('word', {_literal(w)}, 't', {t}, 'at', {j}, 'of', {len(f)})" for t, f in enumerate(filed) for w, j in f]
+    by_word = "map_from_entries(array(" + ", ".join(
+        f"struct({_literal(w)}, array({', '.join(e for e in entries if e.startswith(f"named_struct('word', {_literal(w)},"))}))" for w in sorted({w for f in filed for w, _ in f})
+    ) + "))"
+    names = _literal(sorted({w for f in filed for w, _ in f}))
+    # Postings, then places that every filed word of a template gives, each once.
+    postings = f"""flatten(transform(filter(hits, h -> array_contains({names}, h.w)), h -> transform(element_at({by_word}, h.w), e -> named_struct('t', e.t, 's', h.i - e.at, 'of', e.of))))"""
+    scored = worded.withColumn("rows", F.expr(f"if(arrays_overlap(hits.w, {names}), array_sort({postings}), cast(array() as array<struct<t: int, s: int, of: int>>))"))
+    same = "x.t = get(rows, i + x.of - 1).t and x.s = get(rows, i + x.of - 1).s"
+    scored = scored.withColumn("places", F.expr(f"filter(rows, (x, i) -> x.s >= 0 and coalesce({same}, false))"))
+    # The text's words at the places of templates: by position, so that phrase and notice are compared word by word.
+    scored = scored.withColumn("at", F.expr("if(size(places) > 0, map_from_entries(transform(hits, h -> struct(h.i, h.w))), map_from_entries(cast(array() as array<struct<i: int, w: string>>)))"))
+    lists = lambda x: _literal([list(v) for v in x])
+    whole = f"forall(sequence(0, size(element_at({lists(keys)}, x.t + 1)) - 1), j -> element_at(at, x.s + j) <=> element_at({lists(keys)}, x.t + 1)[j])"
+    scored = scored.withColumn("places", F.expr(f"filter(places, x -> {whole})"))
+    notices = [t.notice.split() for t in templates]
+    weights = [[weight[w] for w in n] for n in notices]
+    offsets = _literal([_offset(t) for t in templates])
+    share = f"""round(aggregate(sequence(0, size(element_at({lists(notices)}, x.t + 1)) - 1), 0.0D,
+        (sum, j) -> sum + if(element_at(at, x.s - element_at({offsets}, x.t + 1) + j) <=> element_at({lists(notices)}, x.t + 1)[j], element_at({_literal(weights)}, x.t + 1)[j], 0.0D))
+        / element_at({_literal([sum(w) for w in weights])}, x.t + 1), 6)"""
+    scored = scored.select("doc", "n", F.expr(f"transform(places, x -> named_struct('t', x.t, 's', x.s, 'score', {share}))").alias("f"))
     is_base = _literal([i for i, t in enumerate(templates) if t.base])
     labels = _literal([t.label for t in templates])
+    base_starts = f"transform(filter(f, x -> array_contains({is_base}, x.t)), x -> x.s)"
+    label = lambda where: f"array_join(array_sort(array_distinct(transform(filter(f, x -> {where}), x -> element_at({labels}, x.t + 1)))), ',')"
     return scored.select(
-        *[f"`{c}`" for c in base.columns],
-        F.expr("cast(size(__w) as bigint) as n_words"),
-        F.expr(f"cast(size(filter(__f, f -> array_contains({is_base}, f.t))) as bigint) as n_base"),
-        F.expr(f"cast(array_min(transform(filter(__f, f -> array_contains({is_base}, f.t)), f -> f.s)) as bigint) as first_word"),
-        F.expr(f"cast(array_max(transform(filter(__f, f -> array_contains({is_base}, f.t)), f -> f.s)) as bigint) as last_word"),
-        F.expr(f"array_join(array_sort(array_distinct(transform(filter(__f, f -> array_contains({is_base}, f.t)), f -> element_at({labels}, f.t + 1)))), ',') as base_labels"),
-        F.expr(f"array_join(array_sort(array_distinct(transform(filter(__f, f -> array_contains({is_base}, f.t) or f.score >= {least!r}D), f -> element_at({labels}, f.t + 1)))), ',') as labels"),
-        F.expr("coalesce(array_max(transform(__f, f -> f.score)), 0.0D) as score"),
+        *[F.col("doc").getField(c).alias(c) for c in kept],
+        F.expr("cast(n as bigint) as n_words"),
+        F.expr(f"cast(size({base_starts}) as bigint) as n_base"),
+        F.expr(f"cast(array_min({base_starts}) as bigint) as first_word"),
+        F.expr(f"cast(array_max({base_starts}) as bigint) as last_word"),
+        F.expr(label(f"array_contains({is_base}, x.t)") + " as base_labels"),
+        F.expr(label(f"array_contains({is_base}, x.t) or x.score >= {least!r}D") + " as labels"),
+        F.expr("coalesce(array_max(transform(f, x -> x.score)), 0.0D) as score"),
     )
 
 
 def op7_license_scans(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan_licenses(docs).drop("text")
+    return scan_licenses(docs, texts=False)
 
 
 def _sql() -> str:

@@ -373,6 +373,19 @@ def test_licenses_match_sql(docs):
     assert rows(licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == rows(sql(licenses.OP7_SQL, documents=pandas_docs()))
 
 
+def test_licenses_positions_must_meet_and_notices_score(spark):
+    bsd = next(t for t in licenses.TEMPLATES if t.label == "bsd-3-clause").notice
+    mit = next(t for t in licenses.TEMPLATES if t.label == "mit-text").notice
+    cases = {
+        bsd.upper(): "bsd-3-clause", mit.replace(" ", "\n\t* ").replace("merge", "MERGE,"): "mit-text", "general gnu license public": "", "gnu general public license": "gpl", "the license, apache": "",
+        "to deal in the software without restriction": "", "mozilla public license": "", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0", "MIT license mit LICENSE": "mit", "é " * 200_000 + "cc by": "cc-by", "gnu " * 50_000: "",
+    }
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(cases)], "doc_id long, text string, hits string")
+    got = licenses.scan_licenses(df).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == list(cases.values()) and {r.hits for r in got} == {"mine"} and [r.text for r in got] == list(cases)
+    assert got[8].n_base == 2 and (got[8].first_word, got[8].last_word) == (0, 2) and got[0].score == 1.0
+
+
 def test_mixing_matches_sql_and_meets_targets(docs):
     got = mixing.mix_digest(docs).toPandas()
     assert rows(got) == rows(sql(mixing.OP8_SQL, documents=pandas_docs()))
