@@ -73,13 +73,13 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     quotes = quotes.select("c", "t", "i", "x.level", F.explode(F.expr("concat(array(struct(0 as k, x.h as h)), transform(x.lines, (y, j) -> struct(j + 1 as k, y as h)))")).alias("y"))
     quotes = materialize(quotes.select("c", "t", "i", "level", "y.k", "y.h").distinct(), "quotes", few=True)
     # Only passages and lines that someone quotes are looked for.
-    wanted = bounded(materialize(quotes.select("c", "h").distinct(), "quotes-wanted", few=True))
+    wanted = bounded(quotes.select("c", "h").distinct())
     whole = F.expr(f"array(xxhash64('p', {_squeezed('own_text')}))")
     mine = F.array_distinct(F.concat(whole, F.expr("flatten(transform(filter(p, x -> x.level = 0), x -> array_append(x.lines, x.h)))")))
     mine = keyed.where("own_text <> ''").select("c", "t", F.explode(mine).alias("h"))
-    origin = materialize(mine.join(wanted, ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("origin")), "quotes-origins", few=True)
-    linked = quotes.join(bounded(origin), ["c", "h"]).where(F.col("origin") < F.col("t"))
-    linked = linked.groupBy("c", "t", "i").agg(F.min_by("origin", "k").alias("origin"), F.first("level").alias("level"))
+    origin = mine.join(wanted, ["c", "h"], "left_semi").groupBy("c", "h").agg(F.min("t").alias("origin"))
+    linked = quotes.join(origin, ["c", "h"]).where(F.col("origin") < F.col("t"))
+    linked = linked.groupBy("c", "t", "i").agg(F.min_by("origin", "k").alias("origin"), F.min("level").alias("level"))
     replies = linked.groupBy("c", "t").agg(F.min_by("origin", F.struct("level", "i")).alias("reply_to"), F.sort_array(F.collect_set("origin")).alias("quoted"), F.count(F.lit(1)).alias("n_linked"))
     replies = materialize(replies, "quotes-replies", few=True)
     extra = replies.join(threads(replies), ["c", "t"]).select(F.col("c").alias("c2"), F.col("t").alias("t2"), "reply_to", "quoted", "n_linked", "thread", "depth")

@@ -38,12 +38,12 @@ def materialize(df: DataFrame, name: str, files: int | None = None, few: bool =
     """Write df to a new table in the shared folder and read it back: later jobs reread it when executors are lost.
 
     ``files``: so many tasks write it at most, for tables of a known size; ``few``:
-    an eighth of the shuffle's partitions (12 at least), for tables much smaller
+    an eighth of the shuffle's partitions (2 at least), for tables much smaller
     than what is shuffled to make them, so that small files don't pile up.
     """
     spark = df.sparkSession
     if few:
-        files = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+        files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
     path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     (df if files is None else df.coalesce(files)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -129,7 +129,7 @@ def _edges_written(e: DataFrame, name: str, rows: int | None) -> tuple[DataFrame
     """e written and read again, with its count and checksum as observed on the way; a file for EDGES_A_TASK of ``rows``."""
     seen = Observation()
     e = e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
-    e = materialize(e, name, rows and 1 + rows // EDGES_A_TASK)
+    e = materialize(e, name, rows and 1 + rows // EDGES_A_TASK, few=rows is None)
     return e, (seen.get["n"], seen.get["s"])
 
 

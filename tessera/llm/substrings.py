@@ -17,7 +17,7 @@ from tessera.llm.shared import bounded, components, discard, map_arrow, material
 #: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
 BANDS, ROWS = 6, 3
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
-REACH = 8
+REACH = 24
 #: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 16 words share one.
 GRAM, WINDOW = 9, 8
 #: Keys of exact spans are kept apart from those of paragraphs, which may stand at the same words.
@@ -154,8 +154,11 @@ def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, le
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def band_rows(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """(key, n, bands): distinct shingles, and hashes of the MinHash bands, of each paragraph."""
+def band_rows(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """(key, n, bands): distinct shingles, and hashes of the MinHash bands, of each paragraph that can link with another.
+
+    Sets so small that one shingle more is too much a difference can't.
+    """
     salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
     def of(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
@@ -167,8 +170,10 @@ def band_rows(docs: DataFrame, text: str, k: int) -> DataFrame:
             for r in range(ROWS):
                 value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r])[at], starts))
             bands[:, b] = value
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-        return key, _distinct(part, whole, begin[first], at, starts), lists
+        n = _distinct(part, whole, begin[first], at, starts)
+        some = n * (100 - percent) >= percent
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1, dtype=np.int32) * BANDS), pa.array(bands[some].reshape(-1).view(np.int64)))
+        return key[some], n[some], lists
 
     return _scan(docs, [F.col(f"`{text}`").alias("text")], BAND, of, k)
 
@@ -186,7 +191,7 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     is very common.
     """
     spark = docs.sparkSession
-    found = materialize(band_rows(docs, text, k), "paragraph-bands")
+    found = materialize(band_rows(docs, text, k, percent), "paragraph-bands")
     part = F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")
     often = []
     for low in range(0, BANDS, BANDS // 2):

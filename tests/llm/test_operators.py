@@ -185,10 +185,10 @@ def test_substrings_paragraphs_are_content_defined(spark):
     from tessera.llm.arrowtext import words
 
     rng = random.Random(1)
-    w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    w = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
     cut = lambda text: [(x, y) for p in words(pa.array([text]), lower=True) for x, y in zip(*substrings.paragraphs(p, 1), strict=True)]
-    a, b = cut(" ".join(w)), cut(" ".join(["zz"] * 31 + w[20:180]))
-    inner = [(x, y) for x, y in a if x >= 40 and y <= 160]
+    a, b = cut(" ".join(w)), cut(" ".join(["zz"] * 31 + w[20:980]))
+    inner = [(x, y) for x, y in a if x >= 80 and y <= 920]
     assert inner and all((x + 11, y + 11) in b for x, y in inner)
 
 
