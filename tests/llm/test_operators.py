@@ -434,12 +434,37 @@ def test_mixing_many_sources_and_null_ids(spark):
     assert abs(got.taken.sum() - 1.5 * got["size"].sum()) <= 50
 
 
+URLS = [
+    "http://a.example.com/en/71", "http://example.com/en/6", "https://EXAMPLE.com/en/7?x", "http://notexample.net/de/9", "x.net/de/1", None, "", "ftp://", "http://net/de/8", "http://b.example.net/de/81#t", "http://ads.x.org/es/", "http://casino.example.info/?a://b", "a://b://example.com/en/7",
+    "http://example.com/en/7\n", "http://spam.x.com/en/1", "http://x.info/ads/1", "http://x.info/loads/1", "http://x.info/a/b.PNG?x", "http://x.info/a.png/b", "http://x.info/?a=1&utm_source=b", "http://x.info/utm_source=b", "http://poker-online.info", "http://x.info/free-porn", "http://x.info/user/login.php",
+    "http://securepubads.doubleclick.net/x", "http://doubleclick", "http://x.info/wp-login.php", "http://x.info/freeporn/", "http://google-analytics.com/", "http://google.info/analytics", "http://essex.info/", "http://x.info/" + "a/" * 30_000 + "ads", "é" * 50_000,
+]
+
+
 def test_url_filters_match_sql(spark):
-    urls = ["http://a.example.com/en/71", "http://example.com/en/6", "https://EXAMPLE.com/en/7?x", "http://notexample.net/de/9", "x.net/de/1", None, "", "ftp://", "http://net/de/8", "http://b.example.net/de/81#t", "http://ads.x.org/es/", "http://casino.example.info/?a://b", "a://b://example.com/en/7", "http://example.com/en/7\n", "http://spam.x.com/en/1"]
-    df = [(i, u) for i, u in enumerate([*urls, *urls[:2]])]
+    df = [(i, u) for i, u in enumerate([*URLS, *URLS[:2]])]
     pages = spark.createDataFrame(df, "page_id long, url string")
     got = urlfilter.filter_urls(pages, urlfilter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
     assert rows(got) == rows(sql(urlfilter.OP9_SQL, pages=pd.DataFrame(df, columns=["page_id", "url"])))
+    verdict = {URLS[r.page_id]: r.verdict for r in got.collect() if r.page_id < len(URLS)}
+    blocked = [u for u in URLS if verdict[u] == "block"]
+    assert {"http://x.info/ads/1", "http://poker-online.info", "http://x.info/a/b.PNG?x", "http://x.info/user/login.php", "http://google-analytics.com/"} <= set(blocked)
+    assert not {"http://x.info/loads/1", "http://essex.info/", "http://x.info/a.png/b", "http://google.info/analytics", "http://x.info/utm_source=b"} & set(blocked)
+
+
+def test_url_rules_run_only_where_fetched(spark):
+    """A rule is filed under its rarest token, and runs on URLs that have all of its tokens and on no others."""
+    urls = [f"http://shop{i}.com/buy/online" for i in range(40)] + ["http://x.com/buy-replica", "http://casino.x.com/", "http://poker.online.x.com/en/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    rules = urlfilter.rule_table(spark)
+    got = urlfilter.fetched(df, rules).collect()
+    needs = {r.id: set(r.tokens) for r in rules.collect()}
+    tokens = {u: {t for t in re.split("[^0-9a-z]+", u) if t} for u in urls}
+    want = {(u, i) for u in urls for i, n in needs.items() if n <= tokens[u]}
+    assert {(r.url, r.id) for r in got} == want and len(got) == len(want) < len(urls) * len(needs) / 100
+    assert len(needs) > 250 and sum(len(n) > 1 for n in needs.values()) > 90
+    fits = {(u, r.id) for u in urls for r in rules.collect() if re.search(r.pattern, u)}
+    assert fits <= want
 
 
 TALK = "conv_id long, turn long, role string, text string"
