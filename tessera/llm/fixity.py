@@ -26,12 +26,14 @@ def warc_records(pages: DataFrame, stored: Column | None = None, id: str = "page
     Offsets are those of the records laid out by id in each archive; ``stored``
     is what a replica has in a record's place (null: nothing; by default the
     record itself), and ``digest`` its SHA-256.  Texts are hashed in the scan
-    and not shuffled.  Null ids make an archive -1; rows that repeat an id stand one
-    behind the other.
+    and not shuffled.  Null ids make archives below zero, by the MD5 of their url;
+    rows that repeat an id stand one behind the other.  Both replicas are laid
+    out by the archive's own index, as copies of one file are: a lost record leaves
+    a hole and doesn't move the others.  Other columns of pages are not read.
     """
     whole = warc_payload(F.col(f"`{url}`"), F.col(f"`{html}`"))
     rows = pages.select(
-        F.coalesce(F.floor(F.col(f"`{id}`") / ARCHIVE_PAGES), F.lit(-1)).cast("bigint").alias("archive"),
+        F.coalesce(F.floor(F.col(f"`{id}`") / ARCHIVE_PAGES), -1 - F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{url}`"), F.lit(""))), 1, 3), 16, 10).cast("bigint")).cast("bigint").alias("archive"),
         F.col(f"`{id}`").alias("record"),
         F.octet_length(whole).cast("bigint").alias("length"),
         F.sha2(whole, 256).alias("__own"),
@@ -41,23 +43,22 @@ def warc_records(pages: DataFrame, stored: Column | None = None, id: str = "page
     return rows.withColumn("offset", F.sum("length").over(order) - F.col("length")).where("digest is not null").select("archive", "offset", "length", "record", "digest")
 
 
-def merkle_tree(records: DataFrame, levels: int) -> DataFrame:
-    """(level, archive, node, hash, parts): level 0 has the record at each offset, level 1 ranges of ``LEAF_BYTES``, and so on.
+def merkle_tree(records: DataFrame, levels: int) -> list[DataFrame]:
+    """Tables (archive, node, hash, parts): the first has the record at each offset, the second ranges of ``LEAF_BYTES``, and so on.
 
     A node's hash is the SHA-256 of its parts' places and hashes in order, so
     it tells whether anything below differs.  Records at one offset (repeats)
     are one part, by their number and the sum of their hashes.  A node has at
-    most ``FANOUT`` parts, on level 1 the records that begin in its range.
+    most ``FANOUT`` parts, on the second level the records that begin in its range.
     """
     many = F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum(F.xxhash64("digest", "length").cast("decimal(38,0)")).cast("string"))
     level = records.groupBy("archive", F.col("offset").alias("node")).agg(F.when(F.count(F.lit(1)) == 1, F.sha2(F.concat_ws("|", F.min("length").cast("string"), F.min("digest")), 256)).otherwise(F.sha2(many, 256)).alias("hash"), F.count(F.lit(1)).alias("parts"))
-    tree = level = level.select(F.lit(0).alias("level"), "archive", "node", "hash", "parts")
+    tree = [materialize(level, "merkle")]
     for n in range(1, levels + 1):
         width = LEAF_BYTES if n == 1 else FANOUT
-        part = F.struct("node", "hash")
-        level = level.groupBy("archive", F.floor(F.col("node") / width).alias("node")).agg(F.sort_array(F.collect_list(part)).alias("p"), F.count(F.lit(1)).alias("parts"))
-        level = level.select(F.lit(n).alias("level"), "archive", "node", F.sha2(F.array_join(F.transform("p", lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["hash"])), ","), 256).alias("hash"), "parts")
-        tree = tree.unionByName(level)
+        level = tree[-1].groupBy("archive", F.floor(F.col("node") / width).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("p"), F.count(F.lit(1)).alias("parts"))
+        level = level.select("archive", "node", F.sha2(F.array_join(F.transform("p", lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["hash"])), ","), 256).alias("hash"), "parts")
+        tree.append(materialize(level, "merkle", few=True))
     return tree
 
 
@@ -77,16 +78,17 @@ def fixity_audit(a: DataFrame, b: DataFrame) -> DataFrame:
     nodes that differ, down to single offsets.  ``fault`` is ``missing`` (a
     has it, b doesn't), ``extra`` (the other way round) or ``changed``;
     ``record`` the least id at the offset; ``nodes`` the differing ranges on the
-    way down.  Equal replicas, or two empty ones, give no rows.  A level is one
-    join on (archive, node), whose rows are as many as differ above it.
+    way down.  Equal replicas, or two empty ones, give no rows.  A level is a
+    table of its own and one join on (archive, node), whose rows are as many as
+    differ above it.
     """
     a, b = materialize(a, "replica"), materialize(b, "replica")
     levels = levels_for(a, b)
-    ta, tb = materialize(merkle_tree(a, levels), "merkle"), materialize(merkle_tree(b, levels), "merkle")
+    ta, tb = merkle_tree(a, levels), merkle_tree(b, levels)
     suspects = None
     for n in range(levels, -1, -1):
-        x = ta.where(F.col("level") == n).select("archive", "node", F.col("hash").alias("ha"))
-        y = tb.where(F.col("level") == n).select("archive", "node", F.col("hash").alias("hb"))
+        x = ta[n].select("archive", "node", F.col("hash").alias("ha"))
+        y = tb[n].select("archive", "node", F.col("hash").alias("hb"))
         if suspects is not None:
             width = LEAF_BYTES if n == 0 else FANOUT
             above = suspects.select("archive", F.col("node").alias("up"), "nodes")
@@ -117,7 +119,7 @@ def op10_merkle_fixity(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-with r as (select page_id, coalesce(floor(page_id / 1000), -1)::bigint as archive, substr(md5(coalesce(page_id::varchar, '')), 1, 2) as sign,
+with r as (select page_id, coalesce(floor(page_id / 1000)::bigint, -1 - ('0x' || substr(md5(coalesce(url, '')), 1, 3))::bigint) as archive, substr(md5(coalesce(page_id::varchar, '')), 1, 2) as sign,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::varchar || repeat(chr(13) || chr(10), 2) || coalesce(html, '') || repeat(chr(13) || chr(10), 2) as x from pages),
 o as (select page_id, archive, sign, (sum(strlen(x)) over (partition by archive order by page_id nulls first, sha256(x) rows unbounded preceding) - strlen(x))::bigint as "offset" from r)
 select archive, "offset", page_id, case sign when '00' then 'changed' when '01' then 'missing' else 'extra' end as fault from o where sign in ('00', '01', '02')

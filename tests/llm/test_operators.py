@@ -609,6 +609,17 @@ def test_fixity_finds_planted_faults(spark):
     assert fixity.fixity_audit(fixity.warc_records(df), fixity.warc_records(df)).count() == 0
 
 
+def test_fixity_odd_rows(spark):
+    """Null ids, repeats, very long pages and names that clash."""
+    pages = [(None if i % 5 == 0 else i // 2, None if i % 7 == 0 else f"http://x/{i}", None if i % 11 == 0 else "é" * (i % 90), "mine", "mine") for i in range(1200)] + [(9000, "http://long", "x" * 3_000_000, "mine", "mine")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, archive string, digest string")
+    records = fixity.warc_records(df)
+    assert records.count() == len(pages) and records.where("archive < 0").select("archive").distinct().count() > 100
+    assert fixity.fixity_audit(records, fixity.warc_records(df)).count() == 0
+    lost = fixity.warc_records(df, F.when(F.col("page_id") == 9000, F.lit(None).cast("string")).otherwise(fixity.warc_payload(F.col("url"), F.col("html"))))
+    assert [(r.record, r.fault) for r in fixity.fixity_audit(records, lost).collect()] == [(9000, "missing")]
+
+
 def test_clashing_names(spark, docs):
     """Columns named like an operator's own are replaced or kept, and never mixed up."""
     pages = spark.createDataFrame([(1, "http://x.com/en/1", "mine", "mine")], "page_id long, url string, host string, token string")
