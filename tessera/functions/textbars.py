@@ -33,4 +33,12 @@ def clip(text: str, width: int, mark: str = "…") -> str:
 
 
 def title(text: str) -> str:
-    return f"╔{'═' * 69}╗\n║{text:^69}║\n╚{'═' * 69}╝"
+    return f"# {text}"
+
+
+def table(heads: list[str], rows: list[list], right: int = 1) -> list[str]:
+    """Lines of a table; columns from ``right`` on are set to the right, all under their heads."""
+    cells = [[str(x) for x in r] for r in (heads, *rows)]
+    wide = [max(len(r[i]) for r in cells) for i in range(len(heads))]
+    lines = ["  ".join(f"{x:>{w}}" if i >= right else f"{x:<{w}}" for i, (x, w) in enumerate(zip(r, wide, strict=True))).rstrip() for r in cells]
+    return [lines[0], "  ".join("-" * w for w in wide), *lines[1:]]

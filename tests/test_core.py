@@ -200,7 +200,10 @@ def test_plan(people):
     said = []
     plan.choose_interactively(people, prompt=lambda _: next(answers), echo=said.append)
     assert plan.assignments["id"] == ("sequential_id", {"start": 5}) and plan.type_of("name") == "random_string" and plan.type_of("notes") == "none"
-    assert any("[suggested]" in s for s in said) and "random string" in plan.summary()
+    assert len(said) == 2 and "'x' means none of" in said[1] and "letters" in plan.summary() and "start=5" in plan.summary()
+    assert plan.answered("region", "dig") == ("hex", {}) and plan.answered("id", "seq") == ("sequential_id", {"start": 5}) and plan.answered("region", " ") == ("none", {})
+    with pytest.raises(ValueError):
+        plan.answered("region", "8")
     out = plan.apply(people, 1, ["id"])
     assert out.agg(F.min("id")).first()[0] == 5 and out.count() == 1000
 
@@ -225,7 +228,11 @@ def test_pca_against_numpy(wide):
     assert list(got.columns) == ["label", "PC1", "PC2", "PC3", "PC4", "PC5", "flag"] and np.allclose(np.abs(got[[f"PC{i}" for i in range(1, 6)]].to_numpy()), np.abs(z @ v.T), atol=1e-6)
     assert r.column_groups == [["height", "weight"], ["price", "tax"]]
     assert ts.reduce_columns(df, variance_ratio=0.7).n_components == int(np.searchsorted(np.cumsum(s**2 / (s**2).sum()), 0.7)) + 1
-    assert "group 1: height, weight" in ts.format_reduction_report(r)
+    lines = ts.format_reduction_report(r).split("\n")
+    assert lines[0] == "# 5 columns, standardised, in 5 components: 100.0% of their variance"
+    corr = np.corrcoef(x.T)
+    assert [" ".join(line.split()) for line in lines[-4:]] == ["-" * 13 + " " + "-" * 8, f"height, weight {corr[0, 1]:.2f}", f"price, tax {corr[2, 3]:.2f}", "on their own: noise"] or lines[-1] == "on their own: noise"
+    assert sum(line.startswith("PC") for line in lines) == 5
 
 
 def test_pca_edges(spark, wide):
@@ -251,11 +258,17 @@ def test_reports(people):
     t = {(x.column, x.ord): x for x in ts.histogram_comparison(people, r.data).collect()}
     assert sum(x.source_n for (c, _), x in t.items() if c == "score") == 1000 and not any(c == "name" for c, _ in t)
     text = ts.format_stratification_report(people, r)
-    assert "(missing)" in text and "region" in text
+    shares = {(x.column, x.value): x for x in ts.stratification_table(people, r.data, r.strat_cols).collect()}
+    for (c, v), x in shares.items():
+        line = next(y for y in text.split("\n\n") if y.startswith(c))
+        want = ["(null)" if v is None else v, f"{x.source_n:,}", f"{x.sample_n:,}", f"{x.source_pct:.1f}%", f"{x.sample_pct:.1f}%", f"{x.sample_pct - x.source_pct:+.1f}"]
+        assert want in [y.split() for y in line.split("\n")]
     assert ts.format_stratification_report(people, ts.sample(people, 10, use_random=True, seed=1)).endswith("rows.")
     few = ts.sample(people, 9, seed=1, strat_cols=["region", "tier"], key=["id"])
-    assert "not represented" in ts.format_stratification_report(people, few)
-    assert "4 categories" in ts.format_distribution(people, "region")
+    assert "Nothing was drawn of these" in ts.format_stratification_report(people, few)
+    text = ts.format_distribution(people, "region")
+    counts = people.where("region is not null").groupBy("region").count().collect()
+    assert f"{len(counts)} values" in text and all([r.region, f"{r['count']:,}"] in [y.split()[:2] for y in text.split("\n")] for r in counts)
     assert ts.sparkline([]) == "" and ts.sparkline([0, 1, 100]) == "▁▂█" and number(1234567.0) == "1,234,567" and number(None) == "—"
 
 
@@ -291,7 +304,7 @@ def test_stream(spark, tmp_path, people):
 def test_command_line(spark, tmp_path, people, capsys):
     source = ts.save_output(people, str(tmp_path / "p.csv"), "all")
     assert cli.main([str(source), "50", "--seed", "1", "--anon", "id=sequential_id:start=10,interval=2", "--anon", "name=names", "--reduce-components", "1", "--reduce-exclude", "id", "--outdir", str(tmp_path / "o")], spark) == 0
-    assert "STRATIFICATION" in capsys.readouterr().out
+    assert "# Strata by " in capsys.readouterr().out
     assert cli.main([str(source), "50", "--skip", "nope"], spark) == 2
     with pytest.raises(SystemExit):
         cli.main([str(source), "5", "--reduce-exclude", "id"], spark)
