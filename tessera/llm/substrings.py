@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import blocks
 from tessera.llm.arrowtext import Words, mix, pieces, words
-from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, tidy
+from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, sorted_groups, tidy
 
 #: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
 BANDS, ROWS = 6, 3
@@ -25,10 +25,12 @@ EXACT = 0x2545F4914F6CDD1D
 
 _LONGS = lambda *names: T.StructType([T.StructField(c, T.LongType()) for c in names])
 PARAGRAPHS = _LONGS("row", "first_word", "n_words", "key")
-BAND = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-ANCHORS = _LONGS("row", "at", "key", "begin", "left", "end", "right")
+UNITS = T.StructType([*PARAGRAPHS.fields, T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 ANCHOR_KEYS = _LONGS("key")
-TOKENS = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("tokens", T.BinaryType())])
+ANCHORS = _LONGS("row", "at", "key", "begin", "left", "end", "right")
+PASSAGES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("row", "first_word", "n_words", "n_paragraphs", "component_id")), T.StructField("removed", T.BooleanType())])
+MEMBERS = ("key", "root", "n", "copies", "i", "j", "side")
+GROUPS = T.StructType([*(T.StructField(c, T.IntegerType() if c in ("i", "j", "side") else T.LongType()) for c in MEMBERS), T.StructField("tokens", T.BinaryType())])
 
 
 def _least_around(h: np.ndarray, reach: int) -> np.ndarray:
@@ -72,7 +74,7 @@ def paragraphs(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[long], end[long]
 
 
-def units(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of what is compared as a whole: content-defined paragraphs, lines, and paragraphs between blank lines."""
     n = len(part.hash)
     begin, end = paragraphs(part, least)
@@ -141,7 +143,7 @@ def _distinct(part: Words, whole: np.ndarray, begin: np.ndarray, at: np.ndarray,
     return np.add.reduceat(before[at] < np.repeat(begin, size), starts, dtype=np.int64)
 
 
-def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, least: int, bounds: Callable = units) -> DataFrame:
+def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, least: int, bounds: Callable = spans_of) -> DataFrame:
     """of(part, begin, end, batch) gives arrays of the schema's columns, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,31 +156,41 @@ def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, le
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def band_rows(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """(key, n, bands): distinct shingles, and hashes of the MinHash bands, of each paragraph that can link with another.
+def unit_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(row, first_word, n_words, key, n, bands): each paragraph's place, distinct shingles, and hashes of its MinHash bands.
 
-    Sets so small that one shingle more is too much a difference can't.
+    Bands are left out where a slice of texts has the paragraph a second time,
+    and of sets so small that one shingle more is too much a difference: those
+    link with none that has other shingles.
     """
     salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
-    def of(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
-        key, first = np.unique(_keys(part, begin, end), return_index=True)
-        whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
-        bands = np.empty((len(key), BANDS), np.uint64)
-        for b in range(BANDS):
-            value = np.full(len(key), np.uint64(b + 1))
-            for r in range(ROWS):
-                value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r])[at], starts))
-            bands[:, b] = value
-        n = _distinct(part, whole, begin[first], at, starts)
-        some = n * (100 - percent) >= percent
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1, dtype=np.int32) * BANDS), pa.array(bands[some].reshape(-1).view(np.int64)))
-        return key[some], n[some], lists
-
-    return _scan(docs, [F.col(f"`{text}`").alias("text")], BAND, of, k)
-
-
-def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    def of(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
+        own = part.text[begin]
+        key = _keys(part, begin, end)
+        first = np.unique(key, return_index=True)[1]
+        first = np.sort(first[(end - begin)[first] - k + 1 >= percent / (100 - percent)])
+        n, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        values = np.zeros(0, np.int64)
+        if len(first):
+            whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
+            n[first] = _distinct(part, whole, begin[first], at, starts)
+            bands = np.empty((len(first), BANDS), np.uint64)
+            for b in range(BANDS):
+                value = np.full(len(first), np.uint64(b + 1))
+                for r in range(ROWS):
+                    value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r])[at], starts))
+                bands[:, b] = value
+            some = n[first] * (100 - percent) >= percent
+            size[first[some]] = BANDS
+            values = bands[some].reshape(-1).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(values))
+        return batch.column(0).take(pa.array(own + part.first)), begin - (np.cumsum(part.count) - part.count)[own], end - begin, key, n, lists
+
+    return _scan(docs, ["row", "text"], UNITS, of, k)
+
+
+def candidates(units: DataFrame, percent: int) -> DataFrame:
     """(key, root, n): paragraphs joined by bands they share, the least one of their component, and their distinct shingles.
 
     Whether a band has two different paragraphs is told by the least and greatest
@@ -190,8 +202,8 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     Tables of what bands share are written, so that Spark can split a band that
     is very common.
     """
-    spark = docs.sparkSession
-    found = materialize(band_rows(docs, text, k, percent), "paragraph-bands")
+    spark = units.sparkSession
+    found = units.where("size(bands) > 0")
     part = F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")
     often = []
     for low in range(0, BANDS, BANDS // 2):
@@ -209,7 +221,7 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     near = materialize(near, "paragraph-parts", few=True)
     sizes = found.select("key", "n").join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("n").alias("n"))
     near = materialize(near.join(sizes, "key"), "paragraph-sizes", few=True)
-    discard(found, rows, hubs)
+    discard(rows, hubs)
     tidy(spark)
     return near
 
@@ -222,7 +234,9 @@ def exact_spans(docs: DataFrame) -> DataFrame:
     anchors cover it.  A side is a span.  Where an anchor that repeats has
     different sides, each run of GRAM words in them is one too, at the first
     place of each different side and no other: later places repeat that side.
-    Anchors are counted by key alone first; only those that repeat are written.
+    Anchors are counted by key alone first, and only those that repeat are
+    written.  Those with the same sides at all their places give one span, to the
+    right, which holds them.
     """
 
     def bounds(part: Words, _: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,10 +257,12 @@ def exact_spans(docs: DataFrame) -> DataFrame:
     often = _scan(docs, ["text"], ANCHOR_KEYS, keys, 0, bounds).groupBy("key").count().where("count > 1").select("key")
     often = bounded(materialize(often, "anchors-often", few=True), 1_000_000)
     table = materialize(_scan(docs, ["row", "text"], ANCHORS, of, 0, bounds).join(often, "key", "left_semi").select(*ANCHORS.names), "anchors")
+    tidy(docs.sparkSession)
     # Most anchors have the same sides everywhere; only the others are told apart further.
-    differ = table.groupBy("key").agg(F.min("left").alias("a"), F.max("left").alias("b"), F.min("right").alias("c"), F.max("right").alias("d")).where("a <> b or c <> d").select("key")
-    differ = bounded(materialize(differ, "anchors-differ", few=True), 500_000)
-    sides = table.join(differ, "key", "left_semi").select("key", F.expr("""inline(array(
+    sign = F.xxhash64("left", "right").bitwiseAND(0x7FFFFFFF).cast("int")
+    differ = table.select("key", sign.alias("p")).groupBy("key").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("key", F.lit(True).alias("differ"))
+    table = table.join(bounded(materialize(differ, "anchors-differ", few=True), 500_000), "key", "left").withColumn("differ", F.coalesce("differ", F.lit(False)))
+    sides = table.where("differ").select("key", F.expr("""inline(array(
         struct(0 as side, left as next, struct(row, at, begin as low, at - 1 as high) as place),
         struct(1 as side, right as next, struct(row, at, at + 1 as low, end as high) as place)))"""))
     ends = sides.groupBy("key", "side", "next").agg(F.min("place").alias("place")).select("place.*")
@@ -267,7 +283,7 @@ def exact_spans(docs: DataFrame) -> DataFrame:
     inner = docs.join(bounded(ends), "row").select("row", "ranges", "text")
     inner = map_arrow(inner, grams, PARAGRAPHS)
     # A left side is needed at the start of a text only: else the right side of an anchor before covers what is equal.
-    spans = table.select("*", F.expr("inline(array(struct(0 as side), struct(1 as side), struct(2 as side)))")).where("side < 2 or begin = 0 and at > 0")
+    spans = table.select("*", F.expr("inline(array(struct(0 as side), struct(1 as side), struct(2 as side)))")).where("side = 1 or side = 0 and differ or side = 2 and begin = 0 and at > 0")
     spans = spans.select("row", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
     return spans.toDF(*PARAGRAPHS.fieldNames()).unionAll(inner)
 
@@ -290,7 +306,7 @@ def identified(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFram
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, min_words: int = 16) -> DataFrame:
     """Passages of texts that repeat, whole or nearly, elsewhere: one row for each.
 
-    Texts are cut into units (``units``; A-Z lower-cased, of k words at least):
+    Texts are cut into units (``spans_of``; A-Z lower-cased, of k words at least):
     content-defined paragraphs, lines, and paragraphs between blank lines.  They
     are one class if they have
     the same words, or are joined by pairs whose sets of k-word shingles have a
@@ -316,34 +332,42 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     spark = docs.sparkSession
     some, odd = identified(docs, id, text)
 
-    def places(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
-        own = part.text[begin]
-        first = begin - (np.cumsum(part.count) - part.count)[own]
-        return batch.column(0).take(pa.array(own + part.first)), first, end - begin, _keys(part, begin, end)
-
-    found = materialize(_scan(some, ["row", "text"], PARAGRAPHS, places, k), "paragraphs")
-    near = candidates(some, "text", k, percent)
+    units = materialize(unit_rows(some, k, percent), "paragraphs")
+    found = units.select(*PARAGRAPHS.names)
+    near = candidates(units, percent)
     # Each paragraph's set is read from one text that has it.
     source = found.join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     members = blocks.in_blocks(near.join(source, "key").select("root", "key", "n", "row", F.lit(1).cast("bigint").alias("copies")))
+    members = members.groupBy("row").agg(F.collect_list(F.struct(*MEMBERS)).alias("need"))
     members = materialize(members, "paragraph-members", few=True)
-    wanted = materialize(members.select("row").distinct(), "paragraph-texts", few=True)
-    chosen = some.join(bounded(wanted, 500_000), "row", "left_semi")
+    chosen = some.join(bounded(members), "row")
     if some.groupBy("row").count().where("count > 1").limit(1).count():  # rows that repeat id and text are read once
         chosen = chosen.dropDuplicates(["row"])
 
-    def sets(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
-        key = _keys(part, begin, end)
-        own = np.unique(np.stack([part.text[begin], key], 1), axis=0, return_index=True)[1]
-        whole, at, starts = _shingle_runs(part, begin[own], end[own], k)
-        binary = pa.array([np.unique(x).tobytes() for x in np.split(whole[at], starts[1:])], pa.binary())
-        return batch.column(0).take(pa.array(part.text[begin[own]] + part.first)), key[own], binary
-
-    tokens = _scan(chosen, ["row", "text"], TOKENS, sets, k)
-    linked = blocks.links(tokens.join(bounded(members, 500_000), ["row", "key"]).drop("row"), percent)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces(b)):
+            need = batch.column(0)
+            ends, flat = need.offsets.to_numpy().astype(np.int64), need.values
+            for part in words(batch.column(1), lower=True):
+                begin, end = spans_of(part, k)
+                low, high = ends[part.first], ends[part.first + len(part)]
+                wanted = flat.slice(low, high - low)
+                text = np.repeat(np.arange(len(part)), np.diff(ends[part.first : part.first + len(part) + 1]))
+                told = lambda key, of: mix(key.view(np.uint64) ^ mix(of.astype(np.uint64)))
+                have = told(_keys(part, begin, end), part.text[begin])
+                order = np.argsort(have, kind="stable")
+                own = order[np.searchsorted(have[order], told(wanted.field("key").to_numpy(), text))]
+                whole, at, starts = _shingle_runs(part, begin[own], end[own], k)
+                for x in range(0, len(own), 4000):
+                    y = min(x + 4000, len(own))
+                    ranges = np.append(starts, len(at))
+                    binary = pa.array([np.unique(whole[at[ranges[z] : ranges[z + 1]]]).tobytes() for z in range(x, y)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(wanted.field(c).slice(x, y - x) for c in MEMBERS), binary], names=GROUPS.fieldNames())
+
+    linked = blocks.links(map_arrow(chosen.select("need", "text"), sets, GROUPS), percent)
     linked = materialize(linked.select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links", few=True)
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
-    discard(near, linked, wanted, members)
+    discard(near, linked, members)
     tidy(spark)
     exact = materialize(exact_spans(some), "exact-spans")
     tidy(spark)
@@ -357,24 +381,45 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     discard(counts)
     tidy(spark)
     hit = found.join(table, "key").select("row", "first_word", "n_words", "class", F.expr("row <> r").alias("other"), F.expr("r <> s").alias("many"))
-    hit = hit.repartition("row").dropDuplicates(["row", "first_word", "n_words", "class"])
-    # In the text that has a class first, its first place stays, and so does what overlaps it.
-    same = Window.partitionBy("row", "class").orderBy("first_word", F.col("n_words").desc())
-    hit = hit.withColumn("end", F.first(F.col("first_word") + F.col("n_words")).over(same)).withColumn("removed", F.expr("other or first_word >= end"))
-    hit = hit.withColumn("some", F.max("removed").over(Window.partitionBy("row", "class"))).where("many or some").select("row", "first_word", "n_words", "class", "removed")
-    text_order = Window.partitionBy("row", "removed").orderBy("first_word", "n_words")
-    apart = F.col("first_word") - F.max(F.col("first_word") + F.col("n_words")).over(text_order.rowsBetween(Window.unboundedPreceding, -1)) >= k
-    hit = hit.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = hit.groupBy("row", "removed", "run").agg(
-        F.min("first_word").alias("first_word"),
-        (F.max(F.col("first_word") + F.col("n_words")) - F.min("first_word")).alias("n_words"),
-        F.count(F.lit(1)).alias("n_paragraphs"),
-        F.min("class").alias("component_id"),
-    )
-    out = out.where(F.col("n_words") >= min_words).join(bounded(odd.withColumn("odd", F.lit(True))), "row", "left").withColumn("id", F.when(F.col("odd"), F.col("id")).otherwise(F.col("row")))
+
+    def make() -> Callable[[pa.Table], list[pa.RecordBatch]]:
+        return lambda table: _passages(table, k, min_words)
+
+    out = sorted_groups(hit, ["row"], make, PASSAGES)
+    out = out.join(bounded(odd.withColumn("odd", F.lit(True))), "row", "left").withColumn("id", F.when(F.col("odd"), F.col("id")).otherwise(F.col("row")))
     return out.select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed", "row")
 
 
+def _passages(table: pa.Table, k: int, min_words: int) -> list[pa.RecordBatch]:
+    """The passages of whole texts from their spans (row, first_word, n_words, class, other, many).
+
+    In the text that has a class first, its first place stays, and so does what
+    overlaps it; a class that no text has a second time is dropped.
+    """
+    row, first, n, group, other, many = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("row", "first_word", "n_words", "class", "other", "many"))
+    order = np.lexsort((-n, first, group, row))
+    row, first, n, group, other, many = (x[order] for x in (row, first, n, group, other, many))
+    begins = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))
+    which = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(row))))
+    removed = other | (first >= (first + n)[begins][which])
+    kept = many | np.logical_or.reduceat(removed, begins)[which]
+    row, first, end, group, removed = (x[kept] for x in (row, first, first + n, group, removed))
+    if not len(row):
+        return []
+    order = np.lexsort((first, removed, row))
+    row, first, end, group, removed = (x[order] for x in (row, first, end, group, removed))
+    side = np.append(True, (row[1:] != row[:-1]) | (removed[1:] != removed[:-1]))
+    base = np.cumsum(side) << np.int64(40)  # sides are kept apart, so one running maximum does for all
+    reached = np.maximum.accumulate(base + end)
+    new = side.copy()
+    new[1:] |= base[1:] + first[1:] - reached[:-1] >= k
+    begins = np.flatnonzero(new)
+    start, stop = np.minimum.reduceat(first, begins), np.maximum.reduceat(end, begins)
+    columns = (row[begins], start, stop - start, np.diff(np.append(begins, len(row))), np.minimum.reduceat(group, begins), removed[begins])
+    long = stop - start >= min_words
+    return [pa.RecordBatch.from_arrays([pa.array(x[long]) for x in columns], names=PASSAGES.fieldNames())]
+
+
 def remove_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the words of removed passages cut out of their texts; other white space stays as it is.
 
