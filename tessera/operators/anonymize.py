@@ -18,6 +18,10 @@ from tessera.operators.sample import _free, _key
 
 #: Distinct values up to which a mapping is broadcast; larger ones are joined by shuffle.
 BROADCAST_VALUES = 200_000
+#: Distinct values that one task numbers, and ranges at most that more of them are dealt into.
+NUMBERED, RANGES = 1_000_000, 256
+#: Distinct values of a column that a mapping may be suggested for.
+SUGGESTED = 10_000
 
 # Values of gender columns (fixed values).
 MALE = ("m", "male", "man", "men", "boy", "1", "männlich", "mannlich", "homme", "hombre", "masculino", "maschio", "erkek", "мужской", "男", "남")
@@ -100,6 +104,33 @@ def ranked(values: DataFrame, order: Column, by: list[str] | None = None, into:
     return joined.select(*[F.col(f"a.{c}") for c in values.columns], (F.col("b.__before") + F.col("a.__n") - 1).cast("bigint").alias(into))
 
 
+def numbered(values: DataFrame, order: list[str], into: str = "i", most: int = NUMBERED) -> DataFrame:
+    """values with ``into``, 0 and on in the order of some columns.
+
+    More than ``most`` rows are dealt into ranges of the first of them, whose ends come
+    from a sample of their values; ranges are counted, numbered apart and
+    moved by how many come before.  What the driver holds is some ends and counts.
+    """
+    rows = values.count()
+    if rows <= most:
+        return values.withColumn(into, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    ranges = min(RANGES, 1 + rows // most)
+    drawn = sorted(r[0] for r in values.select(order[0]).sample(min(1.0, 50 * ranges / rows), seed=1).where(F.col(order[0]).isNotNull()).collect())
+    ends = sorted(set(drawn[len(drawn) * i // ranges] for i in range(1, ranges))) if drawn else []
+    kind = values.schema[order[0]].dataType
+    literal = lambda v: F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(v, kind.fields, strict=True)]) if isinstance(kind, T.StructType) else F.lit(v).cast(kind)
+    which = F.lit(0)
+    for e in ends:
+        which = which + F.coalesce((F.col(order[0]) >= literal(e)).cast("int"), F.lit(0))
+    dealt = values.withColumn("__range", which)
+    before, at = {}, 0
+    for r in sorted(dealt.groupBy("__range").count().collect()):  # a row a range
+        before[r["__range"]], at = at, at + r["count"]
+    moved = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__range"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn(into, (inside + moved).cast("bigint")).drop("__range")
+
+
 def distinct_names(mapping: DataFrame) -> DataFrame:
     """(value, replacement) with repeated replacements numbered: the k-th by value gets " k" from the second on."""
     k = F.row_number().over(Window.partitionBy("replacement").orderBy(F.col("value").asc()))
@@ -110,8 +141,7 @@ def distinct_names(mapping: DataFrame) -> DataFrame:
 class SequentialId(MappingAnonymizer):
     """start, start + interval, ... by first appearance; a prefix or width makes strings.
 
-    First appearance is the least row key.  The numbering sorts one row for each distinct
-    value in one task; ``numeric_jitter`` or ``hex`` need no order.
+    First appearance is the least row key; very many values are numbered over ranges of it.
     """
 
     start: int = 1
@@ -125,8 +155,8 @@ class SequentialId(MappingAnonymizer):
             raise ValueError("interval can't be 0")
 
     def replacements(self, values, name, seed):
-        i = F.row_number().over(Window.orderBy("first", _text(F.col("value")))) - 1
-        n = (F.lit(self.start) + F.lit(self.interval) * i).cast("bigint")
+        values = numbered(values.select("value", "first", _text(F.col("value")).alias("text")), ["first", "text"])
+        n = (F.lit(self.start) + F.lit(self.interval) * F.col("i")).cast("bigint")
         if self.prefix or self.width:
             digits = F.abs(n).cast("string")
             sign = F.when(n < 0, "-").otherwise("")
@@ -259,13 +289,23 @@ def ethnicity_of(value) -> str | None:
     return s if s and any(g == s or g.startswith(s + "_") for g in library().groups) else None
 
 
+def _few(df: DataFrame, name: str) -> list:
+    """A column's distinct values; ValueError if there are more than ``SUGGESTED``: those are no categories."""
+    values = df.select(column(name).alias("v")).distinct()
+    found = values.select("v", gender_of(F.col("v")).alias("g")).limit(SUGGESTED + 1).collect()
+    if len(found) > SUGGESTED:
+        raise ValueError(f"{name} has more than {SUGGESTED:,} distinct values; a mapping is for categories")
+    return found
+
+
 def suggest_gender_mapping(df: DataFrame, name: str) -> dict:
-    """Raw value -> gender (None: to be chosen) for the distinct values of a column."""
-    return {r.v: r.g for r in df.select(column(name).alias("v")).distinct().select("v", gender_of(F.col("v")).alias("g")).collect()}
+    """Raw value -> gender (None: to be chosen) for the distinct values of a column of categories."""
+    return {r.v: r.g for r in _few(df, name)}
 
 
 def suggest_ethnicity_mapping(df: DataFrame, name: str) -> dict:
-    return {r.v: ethnicity_of(r.v) for r in df.select(column(name).alias("v")).distinct().collect()}
+    """Raw value -> group of names (None: to be chosen) for the distinct values of a column of categories."""
+    return {r.v: ethnicity_of(r.v) for r in _few(df, name)}
 
 
 def _step(capacity: int, seed: int) -> tuple[int, int]:

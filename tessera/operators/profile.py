@@ -15,6 +15,10 @@ from tessera.functions.textbars import number
 #: Numbers count as categories up to this many, and this share of the rows.
 NUMERIC_LIMIT, NUMERIC_SHARE = 20, 0.3
 CATEGORY_LIMIT, CATEGORY_SHARE = 100, 0.5
+#: Values that one task may hold for an exact median, and bins of a step towards it.
+HELD, STEPS = 1_000_000, 256
+#: Characters beyond which values are grouped by a digest instead.
+LONG = 64
 
 
 @dataclass
@@ -58,14 +62,35 @@ def as_text(c: Column, data_type: T.DataType) -> Column:
     return F.to_json(c) if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
 
 
+def _grouped(value: Column) -> Column:
+    """What stands for a value when values are counted: itself, or a marked digest of a long one."""
+    return F.when(F.length(value) <= LONG, value).otherwise(F.concat(F.lit("\0"), F.sha2(value, 256)))
+
+
+def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_text(column(c), types[c]).alias("value")) for c in columns])).alias("p")
+    return df.select(pairs).select("p.*").where("value is not null")
+
+
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) of the values, as strings, of several columns; nulls are left out.
 
-    Rows are counted map-side before the one shuffle, whatever the number of columns.
+    Rows are counted map-side before the one shuffle, whatever the number of
+    columns.  Values of more than ``LONG`` characters stand as digests
+    (``whole_values`` has them again).
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_text(column(c), types[c]).alias("value")) for c in columns])).alias("p")
-    return df.select(pairs).select("p.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _pairs(df, columns).withColumn("value", _grouped(F.col("value"))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def whole_values(df: DataFrame, rows: list) -> dict[tuple[str, str], str]:
+    """(column, digest) -> value for the rows of ``frequencies`` that are digests; few rows, one pass."""
+    wanted = sorted({(r.column, r.value) for r in rows if r.value.startswith("\0")})
+    if not wanted:
+        return {}
+    table = df.sparkSession.createDataFrame(wanted, "column string, key string")
+    found = _pairs(df, sorted({c for c, _ in wanted})).where(F.length("value") > LONG).withColumn("key", _grouped(F.col("value")))
+    return {(r.column, r.key): r.value for r in found.join(F.broadcast(table), ["column", "key"], "left_semi").groupBy("column", "key").agg(F.min("value").alias("value")).collect()}
 
 
 def top_values(counted: DataFrame, top: int) -> DataFrame:
@@ -74,6 +99,49 @@ def top_values(counted: DataFrame, top: int) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def medians(df: DataFrame, ends: dict[str, tuple[float, float, int]], held: int = HELD) -> dict[str, float]:
+    """The median of the finite values of numeric columns, from least, greatest and number of each.
+
+    Columns of up to ``held`` values are sorted by an aggregation.  Others are
+    narrowed first: counts in bins tell in which the middle lies, all columns in a pass,
+    until that bin has few values or is a single one.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    x = {c: finite_double(column(c), types[c]) for c in ends}
+    # Of each column: the bounds that hold both middle values, and how many values are below them.
+    state = {c: (low, high, n, 0) for c, (low, high, n) in ends.items() if n}
+    while wide := {c: s for c, s in state.items() if s[2] > held and s[0] < s[1]}:
+        which = {c: F.when((x[c] >= low) & (x[c] <= high), F.floor((x[c] - low) / ((high - low) / STEPS))) for c, (low, high, _, _) in wide.items()}
+        parts = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), which[c].alias("b"), x[c].alias("x")) for c in wide])).alias("p")
+        bins: dict = {}
+        for r in df.select(parts).select("p.*").where("b is not null").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect():  # STEPS + 1 rows a column
+            bins.setdefault(r.c, []).append((r.b, r.n, r.low, r.high))
+        for c, (_, _, _, below) in wide.items():
+            total, at, new = ends[c][2], below, None
+            first, last = (total - 1) // 2, total // 2  # ranks of the middle values
+            for _, n, low, high in sorted(bins[c]):
+                if at + n > first and new is None:
+                    new = [low, high, n, at]
+                elif new is not None and new[3] + new[2] <= last:
+                    new[1], new[2] = high, new[2] + n
+                at += n
+            state[c] = state[c][:2] + (held, below) if tuple(new) == state[c] else tuple(new)
+    if not state:
+        return {}
+    inside = {c: F.when((x[c] >= low) & (x[c] <= high), x[c]) for c, (low, high, _, _) in state.items()}
+    asked = []
+    for i, (c, (low, high, n, below)) in enumerate(state.items()):
+        total = ends[c][2]
+        if low == high:
+            asked.append(F.lit(low).alias(str(i)))
+            continue
+        # The middle of all values, as a place among those inside.
+        place = [((total - 1) // 2 - below) / max(n - 1, 1), (total // 2 - below) / max(n - 1, 1)]
+        asked.append((F.aggregate(F.percentile(inside[c], place), F.lit(0.0), lambda a, v: a + v) / 2).alias(str(i)))
+    row = df.agg(*asked).first()
+    return {c: row[str(i)] for i, c in enumerate(state)}
+
+
 def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
     """0 to bins - 1; values on the last edge are in the last bin."""
     return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - F.lit(low)) / F.lit((high - low) / bins)).cast("int")))
@@ -110,7 +178,7 @@ def scalar_aggregates(df: DataFrame, columns: list[str], approximate: bool) -> l
         if kind_of(t) == "numeric":
             x = finite_double(c, t)
             out += [F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std_{i}")]
-            out.append((F.percentile_approx(x, 0.5) if approximate else F.percentile(x, 0.5)).alias(f"median_{i}"))
+            out.append((F.percentile_approx(x, 0.5) if approximate else F.count(x)).alias(f"median_{i}" if approximate else f"finite_{i}"))
             if may_be_fractional(t):
                 out.append(F.coalesce(F.bool_or(F.when(finite(c, t), c != F.rint(c))), F.lit(False)).alias(f"fractional_{i}"))
         elif kind_of(t) in ("categorical", "text"):
@@ -129,7 +197,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, *, approximate: boo
     """Statistics of df's columns (all, or those named).
 
     Exact by default: distinct counts, modes and top values come from one
-    grouped count of all columns' values.  ``approximate`` takes distinct
+    grouped count of all columns' values, which is kept meanwhile; medians from
+    passes that no task has to hold a whole column for.  ``approximate`` takes distinct
     counts and medians from sketches in the scalar pass; ``distributions=False``
     skips modes, top values and histograms, so that an approximate profile is a
     single pass without a shuffle of values.
@@ -150,19 +219,24 @@ def profile(df: DataFrame, columns: list[str] | None = None, *, approximate: boo
         s.missing = rows - s.count
         s.missing_pct = s.missing / rows * 100 if rows else 0.0
         s.unique = min(get(f"distinct_{i}") or 0, s.count)
-        s.min, s.max, s.mean, s.median = (get(f"{x}_{i}") for x in ("min", "max", "mean", "median"))
+        s.min, s.max, s.mean, s.median = (get(f"{x}_{i}") for x in ("min", "max", "mean", "median"))  # the exact median comes later
         s.std = get(f"std_{i}") if s.mean is not None else None
         stats.append(s)
     by_name = {s.name: s for s in stats}
+    if not approximate:
+        for c, x in medians(df, {s.name: (s.min, s.max, get(f"finite_{i}")) for i, s in enumerate(stats) if s.min is not None}).items():
+            by_name[c].median = x
     if not approximate or distributions:
-        counted = frequencies(df, names)
+        counted = frequencies(df, names).persist()
         order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
         if not approximate:
             for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect():
                 by_name[r.column].unique = r.n
         if distributions:
-            for r in top_values(counted, top).orderBy("column", "rank").collect():
-                by_name[r.column].top_values.append((r.value, r.n))
+            best = top_values(counted, top).orderBy("column", "rank").collect()
+            whole = whole_values(df, best)
+            for r in best:
+                by_name[r.column].top_values.append((whole.get((r.column, r.value), r.value), r.n))
             for s in stats:
                 if s.kind == "numeric":
                     s.top_values = []
@@ -174,6 +248,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, *, approximate: boo
                 order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("x").asc_nulls_last())
                 for r in best.withColumn("rank", F.row_number().over(order)).where("rank = 1").collect():
                     by_name[r.column].mode = r.value
+        counted.unpersist()
     for s in stats:
         s.unique_pct = s.unique / s.count * 100 if s.count else 0.0
         s.stratifiable = is_stratifiable(s, rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass, field
 
@@ -57,24 +58,33 @@ def _key(df: DataFrame, key: list[str] | None) -> list[Column]:
     return [column(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(column(f.name)) for f in df.schema.fields if not isinstance(f.dataType, T.NullType)]
 
 
-def random_sample(df: DataFrame, n: int, *, seed: int, key: list[str] | None = None) -> DataFrame:
+def random_sample(df: DataFrame, n: int, *, seed: int, key: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """n rows: those with the least digest of seed and key.
 
-    A count by the digest's first three digits tells how far the n least
-    reach, so only about n rows are sorted at all.
+    Digests are uniform, so the n least of a known number of rows reach hardly
+    further than their share: one pass keeps what is below that and eight
+    deviations more, about n rows, and only those are sorted.  They are kept
+    (``persist``) once drawn, and counted: should they be too few, which has less than one
+    chance in 10^14, a count by the digest's first digits tells how far the n least reach.
     """
     h, k = _free(df, "__h", "__k")
     keys = _key(df, key)
     if n == 0:
         return df.limit(0)
     hexes = digest(seed, "random", *keys)
-    counts, at, bound = df.select(F.substring(hexes, 1, 3).alias("b")).groupBy("b").count().collect(), 0, "fff"  # 4096 rows at most
-    for r in sorted(counts):
-        at += r["count"]
-        if at >= n:
-            bound = r.b
-            break
-    few = df.withColumn(h, hexes).withColumn(k, F.struct(*keys)).where(F.substring(h, 1, 3) <= bound)
+    rows = row_count(df) if rows is None else rows
+    base = df.withColumns({h: hexes, k: F.struct(*keys)})
+    bound = min(1.0, (n + 8 * math.sqrt(n) + 40) / max(rows, 1))
+    few = base.where(F.substring(h, 1, 12) <= f"{min((1 << 48) - 1, int(bound * (1 << 48))):012x}").persist()
+    if few.count() < min(n, rows):
+        few.unpersist()
+        counts, at, upto = df.select(F.substring(hexes, 1, 3).alias("b")).groupBy("b").count().collect(), 0, "fff"  # 4096 rows at most
+        for r in sorted(counts):
+            at += r["count"]
+            if at >= n:
+                upto = r.b
+                break
+        few = base.where(F.substring(h, 1, 3) <= upto)
     return few.orderBy(h, k).limit(n).drop(h, k)
 
 
@@ -99,7 +109,7 @@ def stratified_sample(df: DataFrame, n: int, strata: list[str], *, seed: int, ke
     tables.
     """
     names = [f"s{i}" for i in range(len(strata))]
-    h, k = _free(df, "__h", "__k")
+    h, k, alloc, bound, rank, won_h, won_k, *own = _free(df, "__h", "__k", "__alloc", "__bound", "__rn", "__wh", "__wk", *(f"__{x}" for x in names))
     keys, hexes = _key(df, key), digest(seed, "stratified", *_key(df, key))
     typed = [c.alias(x) for c, x in zip(_strata(df, strata), names, strict=True)]
     counts = df.select(*typed, F.substring(hexes, 1, 2).alias("b")).groupBy(*names, "b").agg(F.count(F.lit(1)).alias("c"))
@@ -110,22 +120,22 @@ def stratified_sample(df: DataFrame, n: int, strata: list[str], *, seed: int, ke
     spark = df.sparkSession
     if (rows := table.limit(BROADCAST_STRATA + 1).collect()) and len(rows) <= BROADCAST_STRATA:
         table = F.broadcast(spark.createDataFrame(rows, table.schema))
-    quota = table.where("alloc > 0").select(*[F.col(x).alias(f"__{x}") for x in names], F.col("alloc").alias("__alloc"), F.col("bound").alias("__bound"))
+    quota = table.where("alloc > 0").select(*[F.col(x).alias(y) for x, y in zip(names, own, strict=True)], F.col("alloc").alias(alloc), F.col("bound").alias(bound))
     base = df.withColumns({h: hexes, k: F.struct(*keys)})
     match = None
-    for c, x in zip(_strata(df, strata), names, strict=True):
-        same = c.eqNullSafe(F.col(f"__{x}"))
+    for c, x in zip(_strata(df, strata), own, strict=True):
+        same = c.eqNullSafe(F.col(x))
         match = same if match is None else match & same
     ranked_from = base.select(h, k, *[column(c) for c in strata]) if narrow else base
-    few = ranked_from.join(quota, match).where(F.substring(h, 1, 2) <= F.col("__bound"))
-    order = Window.partitionBy(*[F.col(f"__{x}") for x in names]).orderBy(h, k)
-    winners = few.withColumn("__rn", F.row_number().over(order)).where("__rn <= __alloc")
+    few = ranked_from.join(quota, match).where(F.substring(h, 1, 2) <= F.col(bound))
+    order = Window.partitionBy(*[F.col(x) for x in own]).orderBy(h, k)
+    winners = few.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= F.col(alloc))
     allocation = table.select(*[F.col(x).alias(c) for x, c in zip(names, strata, strict=True)], "size", "alloc")
     if narrow:
         # n rows of the sample: the caller's own bound.
-        won = winners.select(F.col(h).alias("__wh"), F.col(k).alias("__wk"))
+        won = winners.select(F.col(h).alias(won_h), F.col(k).alias(won_k))
         won = F.broadcast(won) if n <= BROADCAST_STRATA else won
-        return base.join(won, (F.col(h) == F.col("__wh")) & F.col(k).eqNullSafe(F.col("__wk")), "left_semi").drop(h, k), allocation
+        return base.join(won, (F.col(h) == F.col(won_h)) & F.col(k).eqNullSafe(F.col(won_k)), "left_semi").drop(h, k), allocation
     return winners.select(*[column(c) for c in df.columns]), allocation
 
 
@@ -135,7 +145,8 @@ def sample(
     """n rows of df: all if it has no more, at random if asked or without strata, else proportionally.
 
     Strata are ``strat_cols``, or found (``find_stratification_columns``).  The
-    same seed gives the same rows under any partitioning.
+    same seed gives the same rows under any partitioning.  A drawn sample is
+    marked to be kept (``persist``); ``unpersist`` it, or the session, when done.
     """
     if n < 0:
         raise ValueError("the number of rows can't be negative")
@@ -150,13 +161,14 @@ def sample(
         return SampleResult(df, "all", n, notes=notes)
     seed, notes = pick_seed(seed)
     if use_random:
-        return SampleResult(random_sample(df, n, seed=seed, key=key), "random", n, seed=seed, notes=[*notes, f"Random sample of {n:,} of {rows:,} rows."])
+        return SampleResult(random_sample(df, n, seed=seed, key=key, rows=rows), "random", n, seed=seed, notes=[*notes, f"Random sample of {n:,} of {rows:,} rows."])
     strata = list(strat_cols) if strat_cols else [c for c, _ in find_stratification_columns(df, n, rows, exclude)]
     if not strata:
-        return SampleResult(random_sample(df, n, seed=seed, key=key), "random", n, seed=seed, notes=[*notes, "No column makes strata; sampled at random."])
+        return SampleResult(random_sample(df, n, seed=seed, key=key, rows=rows), "random", n, seed=seed, notes=[*notes, "No column makes strata; sampled at random."])
     wide = len(df.columns) > 50 if narrow is None else narrow
     data, allocation = stratified_sample(df, n, strata, seed=seed, key=key, narrow=wide)
-    return SampleResult(data, "stratified", n, strata, allocation, seed, [*notes, f"Stratified by {', '.join(strata)}."])
+    # Reports, mappings and reductions read the sample again and again: it is kept once drawn.
+    return SampleResult(data.persist(), "stratified", n, strata, allocation, seed, [*notes, f"Stratified by {', '.join(strata)}."])
 
 
 def to_pandas(df: DataFrame):

@@ -17,7 +17,8 @@ def candidate_columns(df: DataFrame, rows: int, exclude: tuple[str, ...] = ()) -
     """(column, distinct values) that could make strata, fewest values first, ties in column order.
 
     One pass screens all columns by sketch; the few that pass are counted
-    exactly, each in a pass over that column alone.  Nulls are not counted.
+    exactly in another, whose shuffle has a row for each of their few values
+    and task.  Nulls are not counted.
     """
     fields = [f for f in df.schema.fields if f.name not in exclude and kind_of(f.dataType) != "other"]
     if not fields or not rows:
@@ -31,16 +32,19 @@ def candidate_columns(df: DataFrame, rows: int, exclude: tuple[str, ...] = ()) -
         if may_be_fractional(f.dataType):
             screen.append(F.bool_or(F.when(finite(c, f.dataType), c != F.rint(c))).alias(f"f{i}"))
     got = df.agg(*screen).first().asDict()
-    out = []
+    limits = {}
     for i, f in enumerate(fields):
         limit = min(CATEGORY_LIMIT, CATEGORY_SHARE * rows)
         if kind_of(f.dataType) == "numeric":
             limit = min(limit, NUMERIC_LIMIT, NUMERIC_SHARE * rows)
-        if got[f"d{i}"] > SLACK * limit + 1 or got.get(f"f{i}") or (got.get(f"l{i}") or 0) > TEXT_LENGTH:
-            continue
-        exact = df.agg(F.count_distinct(nan_to_null(column(f.name), f.dataType))).first()[0]
-        if 2 <= exact <= limit:
-            out.append((f.name, exact))
+        if got[f"d{i}"] <= SLACK * limit + 1 and not got.get(f"f{i}") and (got.get(f"l{i}") or 0) <= TEXT_LENGTH:
+            limits[i] = limit
+    if not limits:
+        return []
+    values = F.array(*[F.struct(F.lit(i).alias("i"), nan_to_null(column(fields[i].name), fields[i].dataType).cast("string").alias("v")) for i in limits])
+    counted = df.select(F.explode(values).alias("p")).select("p.*").where("v is not null").distinct().groupBy("i").count().collect()
+    exact = {r.i: r["count"] for r in counted}
+    out = [(fields[i].name, exact.get(i, 0)) for i, limit in limits.items() if 2 <= exact.get(i, 0) <= limit]
     return sorted(out, key=lambda x: x[1])
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import json
 import urllib.parse
+import urllib.request
 import weakref
 from pathlib import PurePosixPath
 
@@ -12,14 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SUPPORTED_EXTENSIONS = (".csv", ".tsv", ".json", ".xlsx", ".xls", ".parquet")
-#: Schemes that Spark's file systems open, with the connector in place.
-REMOTE = ("s3://", "s3a://", "gs://", "gcs://", "az://", "abfs://", "abfss://", "hdfs://", "http://", "https://", "ftp://")
+#: Schemes that the driver downloads from, and those that Spark's file systems open, with the connector in place.
+DOWNLOADED = ("http://", "https://", "ftp://")
+REMOTE = (*DOWNLOADED, "s3://", "s3a://", "gs://", "gcs://", "az://", "abfs://", "abfss://", "hdfs://", "viewfs://", "dbfs://")
 
 
 def is_remote(path: str) -> bool:
     return path.lower().startswith(REMOTE)
 
 
+def is_download(path: str) -> bool:
+    return path.lower().startswith(DOWNLOADED)
+
+
 def extension(path: str) -> str:
     """The lower-case extension; of a remote path without its query."""
     name = urllib.parse.urlsplit(path).path if is_remote(path) else path
@@ -39,8 +47,11 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     CSV and TSV have a header and their types are inferred; JSON is an array of
     records or a record a line.  JSON by columns (one record, all of whose
     fields are objects) is refused, since it would read as a single row.
+    Files at http, https and ftp addresses are downloaded to the driver.
     """
     path, kind = str(path), extension(str(path))
+    if is_download(path) and kind in SUPPORTED_EXTENSIONS:
+        return _downloaded(spark, path, kind, sheet)
     where = _located(path)
     if kind in (".csv", ".tsv"):
         return spark.read.csv(where, header=True, inferSchema=True, multiLine=True, escape='"', sep="\t" if kind == ".tsv" else ",")
@@ -54,6 +65,30 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     raise ValueError(f"Unsupported file type {kind or path!r}; supported: {', '.join(SUPPORTED_EXTENSIONS)}")
 
 
+def _downloaded(spark: SparkSession, url: str, kind: str, sheet: str | None) -> DataFrame:
+    """A table from a web address: fetched and parsed on the driver, so it is one that fits there."""
+    import pandas
+
+    with urllib.request.urlopen(url) as answer:
+        data = io.BytesIO(answer.read())
+    if kind in (".csv", ".tsv"):
+        return spark.createDataFrame(pandas.read_csv(data, sep="\t" if kind == ".tsv" else ","))
+    if kind == ".parquet":
+        import pyarrow.parquet
+
+        return spark.createDataFrame(pyarrow.parquet.read_table(data))
+    if kind == ".json":
+        text = data.read().decode()
+        try:
+            records = json.loads(text)
+        except ValueError:
+            records = [json.loads(x) for x in text.splitlines() if x.strip()]
+        if isinstance(records, dict):
+            raise ValueError(f"{url} looks like JSON by columns; write records instead")
+        return spark.createDataFrame(pandas.DataFrame(records))
+    return spark.createDataFrame(_excel().read_excel(data, sheet_name=sheet or 0))
+
+
 def _read_json(spark: SparkSession, where: str, path: str) -> DataFrame:
     lines = spark.read.json(where)
     df = lines if lines.columns != ["_corrupt_record"] and "_corrupt_record" not in lines.columns else spark.read.json(where, multiLine=True)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 import tessera as ts
 from tessera import cli
+from tessera.operators.anonymize import numbered
+from tessera.operators.profile import medians
 from tessera.functions.kinds import kind_of
 from tessera.functions.textbars import number
 from tessera.operators import anonymize as an
@@ -323,3 +325,90 @@ def test_entry_works_without_the_corpus_part():
 
     code = "import sys; sys.modules['tessera.llm'] = None; sys.modules.pop('corpus_pipeline', None)\ntry:\n    import __spark_entry__\nexcept ModuleNotFoundError as e:\n    assert e.name.startswith('tessera.llm')\nelse:\n    assert not any(k.startswith('op') for k in __spark_entry__.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
+
+
+def test_numbering_over_ranges(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.struct((F.col("id") * 7919 % 1000).alias("a"), F.lit("x").alias("b")).alias("first"), F.col("id").cast("string").alias("text"))
+    got = numbered(df, ["first", "text"], most=60).collect()
+    assert sorted((r.first.a, r.text) for r in got) == [(r.first.a, r.text) for r in sorted(got, key=lambda r: r.i)] and sorted(r.i for r in got) == list(range(1000))
+    same = numbered(df, ["first", "text"]).collect()
+    assert {(r.text, r.i) for r in got} == {(r.text, r.i) for r in same}
+
+
+def test_medians_of_many_values(spark):
+    rng = np.random.default_rng(3)
+    cols = {"normal": rng.normal(size=5000), "skewed": np.exp(8 * rng.normal(size=5000)), "few": rng.integers(0, 3, 5000).astype(float), "same": np.ones(5000), "odd": rng.normal(size=5000)}
+    rows = [tuple(float(c[i]) if not (k == "odd" and i == 0) else None for k, c in cols.items()) for i in range(5000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    stats = {s.name: s for s in ts.profile(df, distributions=False)}
+    ends = {c: (s.min, s.max, s.count) for c, s in stats.items()}
+    for held in (10, 300, 10**6):
+        got = medians(df, ends, held)
+        for c, v in cols.items():
+            want = np.median(v[1:] if c == "odd" else v)
+            assert np.isclose(got[c], want, rtol=1e-12), (held, c)
+
+
+def test_long_values_are_told_apart(spark):
+    a, b = "x" * 70 + "a", "x" * 70 + "b"
+    s = ts.profile(spark.createDataFrame([(a,)] * 3 + [(b,)] * 2 + [("short",)], "v string"))[0]
+    assert s.unique == 3 and s.top_values == [(a, 3), (b, 2), ("short", 1)] and s.mode == a
+
+
+def test_helper_names_and_exact_sizes(spark):
+    names = ["__s0", "__alloc", "__bound", "__rn", "__wh", "__wk", "__h", "__k"]
+    df = spark.range(3000).select("id", (F.col("id") % 4).cast("string").alias("g"), *[F.lit(n).alias(n) for n in names])
+    for narrow in (False, True):
+        got = ts.sample(df, 100, strat_cols=["g"], seed=5, key=["id"], narrow=narrow).data
+        assert got.columns == df.columns and got.count() == 100 and all(r[n] == n for r in got.collect() for n in names)
+    for n in (1, 7, 100, 2999):
+        assert ts.sample(df, n, use_random=True, seed=n, key=["id"]).data.count() == n
+    assert {r.id for r in ts.random_sample(df, 50, seed=2, key=["id"]).collect()} == {r.id for r in ts.random_sample(df, 50, seed=2, key=["id"], rows=10**7).collect()}
+
+
+def test_mappings_are_for_categories(spark):
+    with pytest.raises(ValueError):
+        ts.suggest_gender_mapping(spark.range(20_000).select(F.col("id").cast("string").alias("v")), "v")
+
+
+def test_downloads_and_single_files(spark, tmp_path, people):
+    import threading
+    from functools import partial
+    from http.server import HTTPServer, SimpleHTTPRequestHandler
+
+    few = people.select("id", "name", "region").limit(5)
+    web = tmp_path / "web"
+    web.mkdir()
+    few.toPandas().to_csv(web / "p.csv", index=False)
+    few.toPandas().to_json(web / "p.json", orient="records")
+    few.toPandas().to_parquet(web / "p.parquet")
+    server = HTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(web)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        for kind in ("csv", "json", "parquet"):
+            url = f"http://127.0.0.1:{server.server_port}/p.{kind}?v=1"
+            got = ts.read_table(spark, url)
+            assert got.columns == few.columns and sorted(r.id for r in got.collect()) == sorted(r.id for r in few.collect())
+            path = ts.save_output(got, url, "again", str(tmp_path / "out"))
+            assert path.name == f"p_again.{kind}" and ts.read_table(spark, str(path)).count() == 5
+    finally:
+        server.shutdown()
+    many = ts.read_table(spark, f"{web}/*.parquet")
+    assert many.count() == 5 and [x.name for x in (tmp_path / "out").iterdir() if x.name.startswith(".") and not x.name.endswith(".crc")] == []
+
+
+def test_excel_through_a_stand_in(spark, tmp_path, monkeypatch, people):
+    import pandas
+
+    saved = {}
+    stand_in = type("Pandas", (), {
+        "read_excel": staticmethod(lambda path, sheet_name=0: pandas.DataFrame({"sheet": [str(sheet_name)], "v": [1]})),
+        "ExcelFile": staticmethod(lambda path: type("Book", (), {"sheet_names": ["one", "two"]})()),
+    })
+    monkeypatch.setattr("tessera.sources.readers._excel", lambda: stand_in)
+    monkeypatch.setattr("tessera.sources.writers._excel", lambda: stand_in)
+    monkeypatch.setattr(pandas.DataFrame, "to_excel", lambda self, path, index: saved.update({str(path): (len(self), index)}))
+    assert ts.read_table(spark, "book.xlsx").first().sheet == "0" and ts.read_table(spark, "book.xlsx", "two").first().sheet == "two"
+    assert ts.list_sheets("book.xlsx") == ["one", "two"] and ts.list_sheets("book.csv") == []
+    path = ts.save_output(people.limit(3), str(tmp_path / "book.xlsx"), "sample_3")
+    assert saved == {str(path): (3, False)}
