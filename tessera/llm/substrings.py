@@ -18,8 +18,8 @@ from tessera.llm.shared import bounded, components, discard, map_arrow, material
 BANDS, ROWS = 6, 3
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
 REACH = 24
-#: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 16 words share one.
-GRAM, WINDOW = 9, 8
+#: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 40 words share one.
+GRAM, WINDOW = 9, 32
 #: Keys of exact spans are kept apart from those of paragraphs, which may stand at the same words.
 EXACT = 0x2545F4914F6CDD1D
 
@@ -315,7 +315,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     and pairs are verified there on whole sets (``blocks.links``).  Of each
     class the first place, by id and word, is kept and all others are removed.
     Spans that repeat exactly (``exact_spans``) are classes too, so a passage of
-    16 words or more is found whole wherever it stands and lines end in it.  A
+    40 words or more is found whole wherever it stands and lines end in it; a
+    shorter one inside other lines is found if an anchor is in it.  A
     place that overlaps the first one isn't removed.  Neighbouring or
     overlapping spans of one text with the same fate, fewer than k words apart,
     make a passage; those of ``min_words`` or more are returned.  Words of a
