@@ -35,6 +35,15 @@ GROUPS = {
     "yoruba": ("Ade Ayo Ba Fo Olu Tun", "bayo dele tunde", "bisi nike sola", "Ade Afo Oye Ogun", "bayo labi wale"),
     "igbo": ("Chi Eme Ike Ngo Obi Uche", "chukwu nna kenna", "ma oma nne", "Eze Nwa Oka Ugo", "chukwu for ndu"),
     "ethiopian": ("Abe Deb Get Ha Mek Tes", "be achew onnen", "bech est rit", "Alem Bek Gir Tad", "ayehu ele ese"),
+    "algerian": ("Aba Kad Mou Nou Sli Tah", "dir rad nir", "dia ria nia", "Ben Bou Had Zer", "ali diaf kacem"),
+    "ghanaian_akan": ("Kwa Ko Ya Fi Kwe Agye", "bena fi me", "sia wa baa", "Asa Boa Men Owu", "nte teng sah"),
+    "indian_bengali_hindu": ("Am Bi Deb Pro Su Tap", "it ash endu", "ita oshi ali", "Bha Cha Mukh Sen", "ttacharya kraborty gupta"),
+    "indian_bengali_muslim": ("Ab Has Mah Raf Sha Tan", "ul ir mud", "ina ima ida", "Cho Khan Mia Sar", "wdhury dakar ker"),
+    "indian_gujarati": ("Bha Dha Hit Jay Man Nil", "vesh esh ubhai", "vna ika ben", "Des Me Pa Vya", "ai hta tel"),
+    "indonesian": ("Bud Dar Har Sur Tri Wid", "iman to yono", "ianti ningsih yani", "Har Kus Pra Wi", "tono uma jaya"),
+    "moroccan": ("Ay Hic Jam Mou Ras Yas", "oub ham sine", "ouba hama sina", "El Ben Bou Tah", "amrani jelloun iri"),
+    "rwandan": ("Ga Ha Ka Mu Nda Uwi", "bo rera gabo", "mana teta mariya", "Ha Ka Mu Ni", "bimana yonga yizigiro"),
+    "sudanese": ("Ab Ham Has Mub Om Sid", "delrah id arak", "dela ida araka", "El Kha Os Sul", "hassan tim man"),
     "filipino": ("An Ben Dan Jo Ro Vir", "gelo ilo gilio", "gela ilda ginia", "Baut Del Mag San", "ista osario tos"),
 }
 
@@ -89,7 +98,14 @@ class NameLibrary:
 
     @classmethod
     def load(cls, source: str | dict) -> NameLibrary:
-        """From a dict, JSON text or a JSON file; nothing in it is run."""
+        """From a dict, JSON text, a JSON file or a Parquet file of (part, key, name); nothing in it is run."""
+        if isinstance(source, str) and source.endswith(".parquet"):
+            import pyarrow.parquet
+
+            table: dict = {"first": {}, "last": {}, "middle": []}
+            for r in pyarrow.parquet.read_table(source, columns=["part", "key", "name"]).to_pylist():
+                table["middle"].append(r["name"]) if r["part"] == "middle" else table[r["part"]].setdefault(r["key"], []).append(r["name"])
+            source = table
         if isinstance(source, str):
             if not source.lstrip().startswith("{"):
                 with open(source, encoding="utf-8") as f:

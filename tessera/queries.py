@@ -6,6 +6,7 @@ returns invariants (counts of violations) instead, which SQL states as literals.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -343,6 +344,55 @@ def text_reports(spark, d):
     return spark.createDataFrame(checks, "report string, ok boolean")
 
 
+def text_rows(text: str, head: str, cells: int) -> list[tuple]:
+    """Cells of the lines of the section of a report that begins with ``head``, without rules and bars."""
+    section = next(x for x in text.split("\n\n") if x.startswith(head))
+    split = [[c for c in re.split(r"\s{2,}", line.strip()) if not re.fullmatch("[█░-]+", c)] for line in section.split("\n")[2:]]
+    return [tuple(x) for x in split if len(x) == cells]
+
+
+@query(f"""with drawn as ({ORDER_SAMPLE}), s as (select o_orderpriority as value, count(*) as a from orders group by 1), m as (select o_orderpriority as value, count(*) as b from drawn group by 1),
+p as (select value, a, b, 100.0 * a / sum(a) over () as x, 100.0 * b / sum(b) over () as y from s join m using (value))
+select value, format('{{:,}}', a) as in_source, format('{{:,}}', b) as drawn, format('{{:.1f}}%', x) as of_rows, format('{{:.1f}}%', y) as of_drawn from p""")
+def strat_report_text(spark, d):
+    """The text of the stratification report, line by line."""
+    df = read(spark, d, "orders")
+    r = ts.sample(df, 500, strat_cols=["o_orderpriority"], seed=SEED, key=["o_orderkey"])
+    return spark.createDataFrame([x[:5] for x in text_rows(ts.format_stratification_report(df, r), "o_orderpriority", 6)], "value string, in_source string, drawn string, of_rows string, of_drawn string")
+
+
+@query("select o_orderstatus as value, format('{:,}', count(*)) as n, format('{:.1f}%', 100.0 * count(*) / (select count(*) from orders)) as share from orders group by 1")
+def distribution_text(spark, d):
+    return spark.createDataFrame(text_rows("x\n\n" + ts.format_distribution(read(spark, d, "orders"), "o_orderstatus").split("\n\n", 1)[1], "o_orderstatus", 3), "value string, n string, share string")
+
+
+@query(f"""with drawn as ({ORDER_SAMPLE}), c as (select o_orderstatus as value, count(*) as a from orders group by 1), m as (select o_orderstatus as value, count(*) as b from drawn group by 1)
+select value, format('{{:.1f}}%', 100.0 * a / sum(a) over ()) as in_source, format('{{:.1f}}%', 100.0 * coalesce(b, 0) / sum(b) over ()) as in_sample from c left join m using (value)""")
+def histogram_text(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    drawn = ts.stratified_sample(df, 500, ["o_orderpriority"], seed=SEED, key=["o_orderkey"])[0]
+    return spark.createDataFrame(text_rows(ts.format_histograms(df, drawn), "o_orderstatus", 3), "value string, in_source string, in_sample string")
+
+
+@query("""with r as (select abs(corr(l_quantity, 2 * l_quantity + 50 * l_tax)) as r from lineitem)
+select 'PC1' as component, format('{:.1f}%', 50 * (1 + r)) as variance, '100.0%' as held, 'l_quantity, other' as together, format('{:.2f}', r) as mean_r from r""")
+def reduction_text(spark, d):
+    """Of two standardised columns the first component has half of 1 + |r|."""
+    r = ts.reduce_columns(read(spark, d, "lineitem").select("l_quantity", (2 * F.col("l_quantity") + 50 * F.col("l_tax")).alias("other")), n_components=2)
+    text = ts.format_reduction_report(r)
+    first, group = text_rows(text, "component", 4)[0], text_rows(text, "move together", 2)[0]
+    return spark.createDataFrame([(first[0], first[2], text_rows(text, "component", 4)[-1][3], *group)], "component string, variance string, held string, together string, mean_r string")
+
+
+@query("select 'a.csv' as source, 'import tessera' as first_line, 5::bigint as n, true as runs")
+def snippet_text(spark, d):
+    """The snippet is Python, and names what it was given."""
+    text = ts.snippet("a.csv", 5, seed=1, anon={"x": ("hex", {"length": 4})}, reduce={"n_components": 1})
+    compile(text, "snippet", "exec")
+    runs = all(x in text for x in ("'a.csv'", "seed=1", "('hex', {'length': 4})", "'n_components': 1"))
+    return spark.createDataFrame([("a.csv", text.split("\n")[0], 5, runs)], "source string, first_line string, n bigint, runs boolean")
+
+
 # Anonymisation
 
 
@@ -540,3 +590,133 @@ def sample_anonymize_reduce(spark, d):
     out = ts.AnonymizationPlan.suggest(df).assign("c_custkey", "hex", length=16).apply(r.data, SEED, ["c_custkey"])
     red = ts.reduce_columns(out, n_components=1)
     return red.data.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("ids"), (F.count("c_name") == 500).alias("jittered"), F.lit("PC1" in red.data.columns).alias("reduced"))
+
+
+@query("select o_orderstatus, count(*)::bigint as n from orders group by 1")
+def glob_scan(spark, d):
+    """Several files through one pattern."""
+    where, df = _scratch(spark), read(spark, d, "orders")
+    for s in ("F", "O", "P"):
+        ts.write_table(df.where(F.col("o_orderstatus") == s), f"{where}/part_{s}.parquet")
+    ts.write_table(df.limit(5), f"{where}/other.csv", "csv")
+    return ts.read_table(spark, f"{where}/part_*.parquet").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 'lines' as layout, (select count(*) from region)::varchar as outcome union all select 'columns', 'refused' union all select 'array', (select count(*) from region)::varchar")
+def json_layouts(spark, d):
+    """Records in lines, or in an array, are read; a table by columns is refused."""
+    df, where, out = read(spark, d, "region").select("r_regionkey", "r_name"), _scratch(spark), []
+    lines = df.toJSON().collect()  # five regions
+    for layout, text in (("lines", "\n".join(lines)), ("array", "[" + ",\n".join(lines) + "]"), ("columns", '{"r_regionkey": {"0": 0, "1": 1}, "r_name": {"0": "a", "1": "b"}}')):
+        path = f"{where}/{layout}.json"
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+        try:
+            out.append((layout, str(ts.read_table(spark, path).count())))
+        except ValueError:
+            out.append((layout, "refused"))
+    return spark.createDataFrame(out, "layout string, outcome string")
+
+
+@query("select 'select' as column_name, count(distinct n_regionkey)::bigint as n_unique, count(*)::bigint as ids from nation union all select 'a.b c', count(distinct n_name), count(*) from nation union all select 'x`y', count(distinct n_nationkey), count(*) from nation")
+def hostile_names(spark, d):
+    """Keywords, dots, blanks and backticks as names, through profile, sample and an anonymiser."""
+    df = read(spark, d, "nation").select(F.col("n_regionkey").alias("select"), F.col("n_name").alias("a.b c"), F.col("n_nationkey").alias("x`y"))
+    unique = {s.name: s.unique for s in ts.profile(df)}
+    drawn = ts.sample(df, 10, strat_cols=["select"], seed=SEED, key=["x`y"]).data.count()
+    ids = ts.anonymize(df, {c: ("sequential_id", {}) for c in df.columns if c != "select"}, SEED, ["x`y"]).select("`a.b c`").distinct().count() if drawn == 10 else -1
+    return spark.createDataFrame([(c, n, ids) for c, n in unique.items()], "column_name string, n_unique bigint, ids bigint")
+
+
+@query("select count(*)::bigint as n, 0::bigint as outside, true as refused from orders where o_orderkey % 50 = 0")
+def date_strings(spark, d):
+    """Dates as strings are read as dates and moved by a day at most; a string that is none is refused."""
+    df = read(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderdate").cast("timestamp").alias("was"))
+    out = ts.anonymize(df, {"day": ("datetime_jitter", {"max_delta": "1D"})}, SEED, ["o_orderkey"])
+    try:
+        ts.anonymize(df.select("o_orderkey", F.lit("no day").alias("day")), {"day": ("datetime_jitter", {})}, SEED, ["o_orderkey"]).count()
+        refused = False
+    except (TypeError, ValueError):
+        refused = True
+    moved = F.abs(F.col("day").cast("timestamp").cast("bigint") - F.col("was").cast("bigint"))
+    return out.agg(F.count("day").alias("n"), F.count_if(moved > 86400).alias("outside"), F.lit(refused).alias("refused"))
+
+
+@query("select * from (values ('sample', 'ValueError'), ('profile', 'ValueError'), ('anonymize', 'ValueError'), ('reduce', 'ValueError'), ('components', 'ValueError'), ('kind', 'ValueError')) t(operation, raised)")
+def unknown_columns(spark, d):
+    df, out = read(spark, d, "nation"), []
+    for name, call in (
+        ("sample", lambda: ts.sample(df, 5, strat_cols=["nope"])), ("profile", lambda: ts.profile(df, ["nope"])), ("anonymize", lambda: ts.anonymize(df, {"nope": ("hex", {})}, 1)),
+        ("reduce", lambda: ts.reduce_columns(df, n_components=1, exclude=["nope"])), ("components", lambda: ts.reduce_columns(df, n_components=1, variance_ratio=0.5)), ("kind", lambda: ts.AnonymizationPlan().assign("n_name", "nope")),
+    ):
+        try:
+            call()
+            out.append((name, "nothing"))
+        except (ValueError, KeyError) as wrong:
+            out.append((name, "ValueError" if isinstance(wrong, (ValueError, KeyError)) else "other"))
+    return spark.createDataFrame(out, "operation string, raised string")
+
+
+@query("select * from (values ('too few', 0::bigint, true), ('constant', 0, true), ('identifier', 1, true), ('text numbers', 1, false)) t(what, k, noted)")
+def reduction_notes(spark, d):
+    """Nothing to reduce is a note; identifiers are warned of; strings are numbers where asked for."""
+    df = read(spark, d, "part")
+    cases = {
+        "too few": ts.reduce_columns(df.select("p_name", "p_size"), n_components=1),
+        "constant": ts.reduce_columns(df.select(F.lit(1.0).alias("a"), F.lit(2.0).alias("b")), n_components=1),
+        "identifier": ts.reduce_columns(df.select(F.col("p_partkey").alias("customer_id"), "p_size"), n_components=1),
+        "text numbers": ts.reduce_columns(df.select(F.col("p_size").cast("string").alias("a"), F.col("p_retailprice").cast("string").alias("b")), n_components=1, columns=["a", "b"]),
+    }
+    return spark.createDataFrame([(k, r.n_components, bool(r.notes)) for k, r in cases.items()], "what string, k bigint, noted boolean")
+
+
+@query("select 'all in pool' as what, count(distinct c_custkey)::bigint as n from customer where c_custkey <= 40 union all select 'groups', 33")
+def names_fixed_pool(spark, d):
+    """Names of a fixed gender and group all come from its pool, also those with middle names."""
+    df = read(spark, d, "customer").where("c_custkey <= 40").select("c_custkey", F.col("c_custkey").cast("string").alias("who"))
+    out = ts.anonymize(df, {"who": ts.Names(gender="female", ethnicity="french")}, SEED, ["c_custkey"])
+    pool = set(library().first_names("female", "french"))
+    inside = sum(r.who.split()[0] in pool for r in out.collect())  # 40 rows
+    return spark.createDataFrame([("all in pool", inside), ("groups", len(library().groups))], "what string, n bigint")
+
+
+@query("select * from (values ('french', 'french'), ('Indian Tamil', 'indian_tamil'), ('arab', 'arab'), ('nowhere', null)) t(raw, mapped)")
+def ethnicity_mapping(spark, d):
+    values = spark.createDataFrame([("french",), ("Indian Tamil",), ("arab",), ("nowhere",), (None,)], "v string")
+    found = ts.suggest_ethnicity_mapping(values, "v")
+    fits = lambda raw, got: None if got is None else raw.strip().lower().replace(" ", "_") if library().first_names("male", raw.strip().lower().replace(" ", "_")) else "no pool"
+    return spark.createDataFrame([(k, fits(k, v)) for k, v in found.items() if k is not None], "raw string, mapped string")
+
+
+@query("select 'json' as kind, 33::bigint as n_groups, true as same union all select 'custom', 1, true")
+def name_library_roundtrip(spark, d):
+    """The library exported and loaded again, and one of one's own."""
+    own = library()
+    back = ts.NameLibrary.load(own.export())
+    custom = ts.NameLibrary.load({"first": {"elvish_male": ["Ar"], "elvish_female": ["Ga"]}, "last": {"elvish": ["Oak"]}})
+    return spark.createDataFrame([("json", len(back.groups), back == own), ("custom", len(custom.groups), custom.first_names("female") == ["Ga"])], "kind string, n_groups bigint, same boolean")
+
+
+@query("select * from (values ('c_custkey', 'hex'), ('c_name', 'names'), ('c_acctbal', 'numeric_jitter'), ('c_mktsegment', 'none')) t(column_name, kind)")
+def plan_dialogue(spark, d):
+    """Answers by place, by the start of a word, by kind, and none at all."""
+    df = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    answers = iter(["hex", "", "noi", "1"])
+    plan = ts.AnonymizationPlan.for_columns(df.columns).choose_interactively(df, prompt=lambda _: next(answers), echo=lambda _: None)
+    return spark.createDataFrame([(c, plan.type_of(c)) for c in df.columns], "column_name string, kind string")
+
+
+@query("select 'sample_100_anon_pca1' as label, 100::bigint as n, count(*)::bigint as same_status, 0::bigint as code from (select distinct o_orderstatus from orders)")
+def command_line_run(spark, d):
+    """One run of the command line over a file: saved under its tag, with all rows and strata."""
+    import contextlib
+    import io
+
+    from tessera import cli
+
+    where = tempfile.mkdtemp()
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        code = cli.main([f"{d}/orders.parquet", "100", "--seed", "7", "--anon", "o_orderkey=sequential_id:start=5", "--reduce-components", "1", "--reduce-exclude", "o_orderkey", "--outdir", where], spark)
+    path = re.search("Saved (.*)", said.getvalue())[1]
+    got = __import__("pandas").read_parquet(path)
+    return spark.createDataFrame([(path.rsplit("orders_", 1)[1].removesuffix(".parquet"), len(got), got.o_orderstatus.nunique(), code)], "label string, n bigint, same_status bigint, code bigint")
