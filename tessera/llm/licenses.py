@@ -120,9 +120,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, l
     """
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = [c for c in docs.columns if c not in added or c == text]
-    vocabulary = _literal(_vocabulary(templates))
-    found = F.expr(f"""transform(array(w), w -> named_struct('n', size(w), 'hits', if(arrays_overlap(w, {vocabulary}),
-        filter(transform(w, (x, i) -> named_struct('w', x, 'i', i)), x -> array_contains({vocabulary}, x.w)), cast(array() as array<struct<w: string, i: int>>))))[0]""")
+    vocabulary = _vocabulary(templates)
+    one_of = ", ".join(map(_literal, vocabulary))  # a list of literals is looked up by hash
+    found = F.expr(f"""transform(array(w), w -> named_struct('n', size(w), 'hits', if(arrays_overlap(w, {_literal(vocabulary)}),
+        filter(transform(w, (x, i) -> if(x in ({one_of}), named_struct('w', x, 'i', i), null)), x -> x is not null), cast(array() as array<struct<w: string, i: int>>))))[0]""")
     kept = [c for c in kept if texts or c != text]
     slim = docs.select(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in kept]).alias("doc"), _words(text).alias("w"))
     worded = slim.select("doc", F.explode(F.array(found)).alias("x")).select("doc", "x.n", "x.hits")
@@ -138,8 +139,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, l
         f"struct({_literal(w)}, array({', '.join(e for e in entries if e.startswith(f"named_struct('word', {_literal(w)},"))}))" for w in sorted({w for f in filed for w, _ in f})
     ) + "))"
     names = _literal(sorted({w for f in filed for w, _ in f}))
+    filed_one = ", ".join(map(_literal, sorted({w for f in filed for w, _ in f})))
     # Postings, then places that every filed word of a template gives, each once.
-    postings = f"""flatten(transform(filter(hits, h -> array_contains({names}, h.w)), h -> transform(element_at({by_word}, h.w), e -> named_struct('t', e.t, 's', h.i - e.at, 'of', e.of))))"""
+    postings = f"""flatten(transform(filter(hits, h -> h.w in ({filed_one})), h -> transform(element_at({by_word}, h.w), e -> named_struct('t', e.t, 's', h.i - e.at, 'of', e.of))))"""
     scored = worded.withColumn("rows", F.expr(f"if(arrays_overlap(hits.w, {names}), array_sort({postings}), cast(array() as array<struct<t: int, s: int, of: int>>))"))
     same = "x.t = get(rows, i + x.of - 1).t and x.s = get(rows, i + x.of - 1).s"
     scored = scored.withColumn("places", F.expr(f"filter(rows, (x, i) -> x.s >= 0 and coalesce({same}, false))"))
