@@ -16,6 +16,8 @@ from tessera.llm.shared import bounded, components, discard, map_arrow, material
 
 #: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
 BANDS, ROWS = 6, 3
+#: Bits, as a power of two, of the bitmap of bands that several paragraphs have.
+FILTER_BITS = 26
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
 REACH = 24
 #: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 40 words share one.
@@ -191,12 +193,13 @@ def unit_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def candidates(units: DataFrame, percent: int) -> DataFrame:
-    """(key, root, n): paragraphs joined by bands they share, the least one of their component, and their distinct shingles.
+    """(key, root, n, row): paragraphs joined by bands they share, the least one of their component, their distinct shingles, and a text that has them.
 
     Whether a band has two different paragraphs is told by the least and greatest
     31 bits of their keys, aggregated before anything is dealt out, so copies and
     paragraphs that very many texts have cost a row a task; half of the bands at a
-    time.  Only such bands are joined back.  Paragraphs that link have sizes
+    time.  A bitmap of fixed size tells which rows may have such a band; others it
+    lets through have a band of their own and join nothing.  Paragraphs that link have sizes
     within ``percent`` of each other, so a band joins those of one class of
     sizes, and classes that are neighbours: a line and a half of it stay apart.
     Tables of what bands share are written, so that Spark can split a band that
@@ -205,22 +208,27 @@ def candidates(units: DataFrame, percent: int) -> DataFrame:
     spark = units.sparkSession
     found = units.where("size(bands) > 0")
     part = F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")
-    often = []
+    often = None
+    place = F.pmod(F.xxhash64("band"), 1 << FILTER_BITS)
     for low in range(0, BANDS, BANDS // 2):
         rows = found.select(part.alias("p"), F.explode(F.slice("bands", low + 1, BANDS // 2)).alias("band"))
-        often.append(materialize(rows.groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("band"), "paragraph-often", few=True))
+        rows = rows.groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select(place.alias("at"))
+        rows = rows.select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
+        rows = materialize(rows.groupBy("word").agg(F.bit_or("bits").alias("bits")), "paragraph-often", few=True)
+        often = rows if often is None else often.unionAll(rows)
         tidy(spark)
+    often = F.broadcast(often.groupBy("word").agg(F.bit_or("bits").alias("bits")))  # 2 ** FILTER_BITS / 64 rows at most
     size = F.floor(F.log(100.01 / percent, F.col("n"))).cast("int")
-    rows = found.select("key", size.alias("size"), F.explode("bands").alias("band")).join(bounded(often[0].unionAll(often[1]), 1_000_000), "band", "left_semi")
+    rows = found.select("key", "n", "row", size.alias("size"), F.explode("bands").alias("band")).withColumn("at", place).withColumn("word", F.expr("at div 64"))
+    rows = rows.join(often, "word").where("(shiftrightunsigned(bits, cast(at % 64 as int)) & 1) = 1").select("band", "key", "size", "n", "row")
     rows = materialize(rows, "paragraph-shared", few=True)
     hubs = materialize(rows.groupBy("band", "size").agg(F.min("key").alias("least")), "paragraph-hubs", few=True)
     edges = rows.join(bounded(hubs, 500_000), ["band", "size"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     near = hubs.select("band", (F.col("size") + 1).alias("size"), F.col("least").alias("below"))
     across = hubs.join(near, ["band", "size"]).where("least <> below").select(F.col("least").alias("a"), F.col("below").alias("b"))
     near = components(edges.unionAll(across), "paragraph-candidates").withColumnRenamed("node", "key")
-    near = materialize(near, "paragraph-parts", few=True)
-    sizes = found.select("key", "n").join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("n").alias("n"))
-    near = materialize(near.join(sizes, "key"), "paragraph-sizes", few=True)
+    # Each paragraph's set is read from one text that has it.
+    near = materialize(near.join(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("row").alias("row")), "key"), "paragraph-parts", few=True)
     discard(rows, hubs)
     tidy(spark)
     return near
@@ -336,9 +344,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     units = materialize(unit_rows(some, k, percent), "paragraphs")
     found = units.select(*PARAGRAPHS.names)
     near = candidates(units, percent)
-    # Each paragraph's set is read from one text that has it.
-    source = found.join(bounded(near.select("key"), 500_000), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    members = blocks.in_blocks(near.join(source, "key").select("root", "key", "n", "row", F.lit(1).cast("bigint").alias("copies")))
+    members = blocks.in_blocks(near.withColumn("copies", F.lit(1).cast("bigint")))
     members = members.groupBy("row").agg(F.collect_list(F.struct(*MEMBERS)).alias("need"))
     members = materialize(members, "paragraph-members", few=True)
     chosen = some.join(bounded(members), "row")
