@@ -12,12 +12,11 @@ from pyspark.sql import types as T
 
 from tessera.llm import blocks
 from tessera.llm.arrowtext import Words, mix, pieces, words
-from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, sorted_groups, tidy
+from tessera.llm.packed import DEALT, HELD, buckets_of, deal, pack, together, trim, unpack
+from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, tidy
 
 #: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
 BANDS, ROWS = 6, 3
-#: Bits, as a power of two, of the bitmap of bands that several paragraphs have.
-FILTER_BITS = 26
 #: A word pair starts a paragraph if its hash is the least among so many on either side in its line.
 REACH = 24
 #: Words of an anchor; of every WINDOW (a power of two) runs of GRAM words one is an anchor, so texts that share GRAM + WINDOW - 1 = 40 words share one.
@@ -27,9 +26,19 @@ EXACT = 0x2545F4914F6CDD1D
 
 _LONGS = lambda *names: T.StructType([T.StructField(c, T.LongType()) for c in names])
 PARAGRAPHS = _LONGS("row", "first_word", "n_words", "key")
-UNITS = T.StructType([*PARAGRAPHS.fields, T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-ANCHOR_KEYS = _LONGS("key")
+#: Packed by slice of texts: row, first_word, n_words, key and n of paragraphs; which of them have bands, and those.
+UNITS = T.StructType([T.StructField(c, T.BinaryType()) for c in ("units", "bands")])
+EDGES = _LONGS("a", "b", "n", "row")
 ANCHORS = _LONGS("row", "at", "key", "begin", "left", "end", "right")
+#: A class that one task can't tell alone: its places, and what each task knows of it.
+PLACES, KNOWN = _LONGS("row", "place", "key"), _LONGS("key", "class", "r", "s")
+#: Kinds of packed values: places, hot keys, places of hot keys, and classes; then hits, places of other classes, and those.
+PLACE, HOT_KEY, HOT_PLACE, CLASS = range(4)
+HIT, OPEN, TOLD = range(3)
+#: Places of a key, of those that a task holds, beyond which they aren't dealt out by key.
+HOT = 256
+#: A place is the first word, two flags (the text isn't the class's first; the class is in several texts) and the number of words.
+OTHER, MANY, N_WORDS = 1 << 31, 1 << 30, (1 << 30) - 1
 PASSAGES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("row", "first_word", "n_words", "n_paragraphs", "component_id")), T.StructField("removed", T.BooleanType())])
 MEMBERS = ("key", "root", "n", "copies", "i", "j", "side")
 GROUPS = T.StructType([*(T.StructField(c, T.IntegerType() if c in ("i", "j", "side") else T.LongType()) for c in MEMBERS), T.StructField("tokens", T.BinaryType())])
@@ -38,12 +47,12 @@ GROUPS = T.StructType([*(T.StructField(c, T.IntegerType() if c in ("i", "j", "si
 def _least_around(h: np.ndarray, reach: int) -> np.ndarray:
     """True where a value is less than the ``reach`` before it and at most the ``reach`` after it; ends of h don't count as such."""
     n, top = len(h), np.uint64(0xFFFFFFFFFFFFFFFF)
-    padded = np.concatenate([np.full(reach, top), h, np.full(reach, top)])
-    out = np.ones(n, bool)
-    for j in range(1, reach + 1):
-        out &= h < padded[reach - j : reach - j + n]
-        out &= h <= padded[reach + j : reach + j + n]
-    return out
+    least, width = np.concatenate([np.full(reach, top), h, np.full(reach, top)]), 1
+    while width < reach:  # the least of so many from each place on
+        step = min(width, reach - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (h < least[:n]) & (h <= least[reach + 1 : reach + 1 + n])
 
 
 def paragraphs(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +143,19 @@ def _shingle_runs(part: Words, begin: np.ndarray, end: np.ndarray, k: int) -> tu
     return whole, np.repeat(begin - starts, size) + np.arange(int(size.sum())), starts
 
 
-def _distinct(part: Words, whole: np.ndarray, begin: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Distinct runs in each paragraph, by where each run stood last."""
+def _distinct(part: Words, whole: np.ndarray, begin: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs stand first in their paragraph, by where each run stood last, and how many do."""
     key = whole ^ mix(part.text.astype(np.uint64))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    twice = np.append(False, key[order[1:]] == key[order[:-1]])
+    order = np.sort(order[twice | np.append(twice[1:], False)])  # most runs stand once
+    order = order[np.argsort(key[order], kind="stable")]
     before = np.full(len(key), -1, np.int64)
     same = key[order[1:]] == key[order[:-1]]
     before[order[1:][same]] = order[:-1][same]
     size = np.diff(np.append(starts, len(at)))
-    return np.add.reduceat(before[at] < np.repeat(begin, size), starts, dtype=np.int64)
+    first = before[at] < np.repeat(begin, size)
+    return first, np.add.reduceat(first, starts, dtype=np.int64)
 
 
 def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, least: int, bounds: Callable = spans_of) -> DataFrame:
@@ -154,12 +167,13 @@ def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, le
                 begin, end = bounds(part, least)
                 if len(begin):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in of(part, begin, end, batch)], names=schema.fieldNames())
+        trim()
 
     return map_arrow(docs.select(*columns), run, schema)
 
 
 def unit_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(row, first_word, n_words, key, n, bands): each paragraph's place, distinct shingles, and hashes of its MinHash bands.
+    """(units, bands): each paragraph's place, key and distinct shingles, and hashes of its MinHash bands, packed.
 
     Bands are left out where a slice of texts has the paragraph a second time,
     and of sets so small that one shingle more is too much a difference: those
@@ -172,88 +186,170 @@ def unit_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
         key = _keys(part, begin, end)
         first = np.unique(key, return_index=True)[1]
         first = np.sort(first[(end - begin)[first] - k + 1 >= percent / (100 - percent)])
-        n, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        values = np.zeros(0, np.int64)
+        n = np.zeros(len(key), np.int64)
+        banded = np.zeros((1 + BANDS, 0), np.int64)
         if len(first):
             whole, at, starts = _shingle_runs(part, begin[first], end[first], k)
-            n[first] = _distinct(part, whole, begin[first], at, starts)
+            n[first] = _distinct(part, whole, begin[first], at, starts)[1]
             bands = np.empty((len(first), BANDS), np.uint64)
+            ranges = np.stack([begin[first], end[first] - k + 1], 1).reshape(-1)  # every other range is a paragraph's
+            whole = np.append(whole, np.uint64(0))
             for b in range(BANDS):
                 value = np.full(len(first), np.uint64(b + 1))
                 for r in range(ROWS):
-                    value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r])[at], starts))
+                    value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r]), ranges)[::2])
                 bands[:, b] = value
             some = n[first] * (100 - percent) >= percent
-            size[first[some]] = BANDS
-            values = bands[some].reshape(-1).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(values))
-        return batch.column(0).take(pa.array(own + part.first)), begin - (np.cumsum(part.count) - part.count)[own], end - begin, key, n, lists
+            banded = np.concatenate([first[some][None, :], bands[some].T.view(np.int64)])
+        row = batch.column(0).to_numpy(zero_copy_only=False)[own + part.first]
+        places = pack([row, begin - (np.cumsum(part.count) - part.count)[own], end - begin, key, n])
+        return pa.array([places], pa.binary()), pa.array([banded.tobytes()], pa.binary())
 
     return _scan(docs, ["row", "text"], UNITS, of, k)
 
 
+def deal_places(parts: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places (row, first_word, n_words, key), dealt out by key; of keys with many places here, one row by key, and the places elsewhere."""
+
+    def flush(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, first, n, key = values
+        place = (first << 32) | n
+        bin = (key.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+        hot = (np.bincount(bin, minlength=1 << 20) > HOT)[bin]
+        if hot.any():
+            found, count = np.unique(key[hot], return_counts=True)
+            hot &= np.isin(key, found[count > HOT])
+        if hot.any():
+            order = np.flatnonzero(hot)[np.argsort(key[hot], kind="stable")]
+            r, p, k = row[order], place[order], key[order]
+            begins = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            ends = [f.reduceat(x, begins) for x in (r, p) for f in (np.minimum, np.maximum)]
+            yield from deal(k[begins], [k[begins], *ends], buckets, HOT_KEY)
+            yield from deal(mix(p.view(np.uint64) + mix(r.view(np.uint64))), [r, p, k], buckets, HOT_PLACE)
+            row, place, key = row[~hot], place[~hot], key[~hot]
+        yield from deal(key, [row, place, key], buckets, PLACE)
+
+    held, many = [], 0
+    for values in parts:
+        held.append(values)
+        many += values.shape[1]
+        if many >= HELD:
+            yield from flush(np.concatenate(held, axis=1))
+            held, many = [], 0
+    if many:
+        yield from flush(np.concatenate(held, axis=1))
+    trim()
+
+
+def unit_places(units: DataFrame) -> DataFrame:
+    """The places of what ``unit_rows`` packs, dealt out by key."""
+    buckets = buckets_of(units.sparkSession)
+    return map_arrow(units.select("units"), lambda batches: deal_places((x[:4] for b in batches for x in unpack(b.column(0), 5)), buckets), DEALT)
+
+
+def _columns(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns]) if batch.num_rows else np.zeros((batch.num_columns, 0), np.int64)
+
+
+def joined(values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (band, key, n, row): edges (a, b, n and row of a) from paragraphs to the least of their band and class of sizes, those least ones and their classes, and which rows have a band of their own.
+
+    The least of several is an edge to itself, which tells its n and row.
+    """
+    order = np.argsort(values[0])
+    band = values[0][order]
+    twice = np.zeros(len(band) + 1, bool)
+    twice[1:-1] = band[1:] == band[:-1]
+    order = order[twice[1:] | twice[:-1]]
+    alone = np.ones(len(band), bool)
+    alone[order] = False
+    some = values[:, order]
+    size = np.floor(np.log(np.maximum(some[2], 1)) / np.log(100.01 / percent)).astype(np.int64)
+    order = np.lexsort((some[3], some[1], size, some[0]))
+    some, size = some[:, order], size[order]
+    new = np.append(True, (some[0, 1:] != some[0, :-1]) | (size[1:] != size[:-1]))[: len(size)]
+    least = some[:, new]
+    root = least[1][np.cumsum(new) - 1]
+    different = new | np.append(True, some[1, 1:] != some[1, :-1])[: len(new)]  # copies of a paragraph are one
+    many = (np.add.reduceat(different, np.flatnonzero(new), dtype=np.int64) > 1)[np.cumsum(new) - 1] if len(new) else new
+    edge = different & many
+    return np.stack([some[1], root, some[2], some[3]])[:, edge], least, size[new], alone
+
+
+def _once(edges: np.ndarray) -> np.ndarray:
+    return edges[:, np.unique(mix(edges[0].view(np.uint64)) + edges[1].view(np.uint64), return_index=True)[1]]
+
+
 def candidates(units: DataFrame, percent: int) -> DataFrame:
     """(key, root, n, row): paragraphs joined by bands they share, the least one of their component, their distinct shingles, and a text that has them.
 
-    Whether a band has two different paragraphs is told by the least and greatest
-    31 bits of their keys, aggregated before anything is dealt out, so copies and
-    paragraphs that very many texts have cost a row a task; half of the bands at a
-    time.  A bitmap of fixed size tells which rows may have such a band; others it
-    lets through have a band of their own and join nothing.  Paragraphs that link have sizes
-    within ``percent`` of each other, so a band joins those of one class of
-    sizes, and classes that are neighbours: a line and a half of it stay apart.
-    Tables of what bands share are written, so that Spark can split a band that
-    is very common.
+    Paragraphs that link have sizes within ``percent`` of each other, so a band
+    joins those of one class of sizes, and classes that are neighbours: a line
+    and a half of it stay apart.  Each task joins what it holds to the least
+    paragraph of a band and class and deals out that alone, so copies and
+    bands that very many paragraphs have cost a row a task.
     """
     spark = units.sparkSession
-    found = units.where("size(bands) > 0")
-    part = F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")
-    often = None
-    place = F.pmod(F.xxhash64("band"), 1 << FILTER_BITS)
-    for low in range(0, BANDS, BANDS // 2):
-        rows = found.select(part.alias("p"), F.explode(F.slice("bands", low + 1, BANDS // 2)).alias("band"))
-        rows = rows.groupBy("band").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select(place.alias("at"))
-        rows = rows.select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
-        rows = materialize(rows.groupBy("word").agg(F.bit_or("bits").alias("bits")), "paragraph-often", few=True)
-        often = rows if often is None else often.unionAll(rows)
-        tidy(spark)
-    often = F.broadcast(often.groupBy("word").agg(F.bit_or("bits").alias("bits")))  # 2 ** FILTER_BITS / 64 rows at most
-    size = F.floor(F.log(100.01 / percent, F.col("n"))).cast("int")
-    rows = found.select("key", "n", "row", size.alias("size"), F.explode("bands").alias("band")).withColumn("at", place).withColumn("word", F.expr("at div 64"))
-    rows = rows.join(often, "word").where("(shiftrightunsigned(bits, cast(at % 64 as int)) & 1) = 1").select("band", "key", "size", "n", "row")
-    rows = materialize(rows, "paragraph-shared", few=True)
-    hubs = materialize(rows.groupBy("band", "size").agg(F.min("key").alias("least")), "paragraph-hubs", few=True)
-    edges = rows.join(bounded(hubs, 500_000), ["band", "size"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    near = hubs.select("band", (F.col("size") + 1).alias("size"), F.col("least").alias("below"))
-    across = hubs.join(near, ["band", "size"]).where("least <> below").select(F.col("least").alias("a"), F.col("below").alias("b"))
-    near = components(edges.unionAll(across), "paragraph-candidates").withColumnRenamed("node", "key")
+    buckets = buckets_of(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            some = np.concatenate(held, axis=1)
+            held.clear()
+            values = np.stack([some[3:].reshape(-1), *(np.tile(x, BANDS) for x in some[:3])])
+            edges, least, _, alone = joined(values, percent)
+            edges, least = _once(edges), np.concatenate([values[:, alone], least], axis=1)
+            yield from deal(mix(edges[0].view(np.uint64)), list(edges), buckets, 1)
+            yield from deal(least[0], list(least), buckets)
+
+        for batch in batches:
+            for places, bands in zip(unpack(batch.column(0), 5), unpack(batch.column(1), 1 + BANDS), strict=True):
+                at = bands[0]
+                held.append(np.concatenate([places[3:5, at], places[:1, at], bands[1:]]))
+                many += len(at) * BANDS
+                if many >= HELD:
+                    yield from flush()
+                    many = 0
+        if many:
+            yield from flush()
+        trim()
+
+    def work(values: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        edges, least, size, _ = joined(values[0], percent)
+        near = np.flatnonzero((least[0, 1:] == least[0, :-1]) & (size[1:] == size[:-1] + 1) & (least[1, 1:] != least[1, :-1]))
+        across = [np.stack([least[1][x], least[1][y], least[2][x], least[3][x]]) for x, y in ((near, near + 1), (near + 1, near))]
+        edges = _once(np.concatenate([values[1], edges, *across], axis=1))
+        if edges.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges], names=EDGES.fieldNames())
+
+    edges = materialize(together(map_arrow(units, run, DEALT), work, {0: 4, 1: 4}, EDGES), "paragraph-edges", few=True)
+    tidy(spark)
+    near = components(edges.select("a", "b"), "paragraph-candidates").withColumnRenamed("node", "key")
     # Each paragraph's set is read from one text that has it.
-    near = materialize(near.join(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("row").alias("row")), "key"), "paragraph-parts", few=True)
-    discard(rows, hubs)
+    near = materialize(near.join(edges.groupBy(F.col("a").alias("key")).agg(F.min("n").alias("n"), F.min("row").alias("row")), "key"), "paragraph-parts", few=True)
+    discard(edges)
     tidy(spark)
     return near
 
 
 def exact_spans(docs: DataFrame) -> DataFrame:
-    """(row, first_word, n_words, key): spans of docs (row, text) that cover all that repeats exactly in GRAM + WINDOW - 1 words or more.
+    """Places, dealt out by key: spans of docs (row, text) that cover all that repeats exactly in GRAM + WINDOW - 1 words or more.
 
     Of WINDOW neighbouring runs of GRAM words in such a passage, one is an
     anchor (``anchors``) at all its places, so WINDOW words to both sides of the
     anchors cover it.  A side is a span.  Where an anchor that repeats has
     different sides, each run of GRAM words in them is one too, at the first
     place of each different side and no other: later places repeat that side.
-    Anchors are counted by key alone first, and only those that repeat are
-    written.  Those with the same sides at all their places give one span, to the
-    right, which holds them.
+    Anchors with the same sides at all their places give one span, to the right,
+    which holds them; so do those with one place, whose spans repeat nowhere.
     """
 
     def bounds(part: Words, _: int) -> tuple[np.ndarray, np.ndarray]:
         at = anchors(part)
         return at, at + GRAM
 
-    def keys(part: Words, begin: np.ndarray, end: np.ndarray, _: pa.RecordBatch):
-        return (_keys(part, begin, end) ^ np.int64(EXACT),)
-
     def of(part: Words, begin: np.ndarray, end: np.ndarray, batch: pa.RecordBatch):
         own, salt = part.text[begin], np.int64(EXACT)  # sides have salts of their own: two may be the same words
         last = np.cumsum(part.count)[own]
@@ -262,9 +358,8 @@ def exact_spans(docs: DataFrame) -> DataFrame:
         at = pa.array(own + part.first)
         return batch.column(0).take(at), begin - zero, _keys(part, begin, end) ^ salt, low - zero, _keys(part, low, end) ^ ~salt, high - zero, _keys(part, begin, high) ^ (salt >> 1)
 
-    often = _scan(docs, ["text"], ANCHOR_KEYS, keys, 0, bounds).groupBy("key").count().where("count > 1").select("key")
-    often = bounded(materialize(often, "anchors-often", few=True), 1_000_000)
-    table = materialize(_scan(docs, ["row", "text"], ANCHORS, of, 0, bounds).join(often, "key", "left_semi").select(*ANCHORS.names), "anchors")
+    buckets = buckets_of(docs.sparkSession)
+    table = materialize(_scan(docs, ["row", "text"], ANCHORS, of, 0, bounds), "anchors")
     tidy(docs.sparkSession)
     # Most anchors have the same sides everywhere; only the others are told apart further.
     sign = F.xxhash64("left", "right").bitwiseAND(0x7FFFFFFF).cast("int")
@@ -276,24 +371,84 @@ def exact_spans(docs: DataFrame) -> DataFrame:
     ends = sides.groupBy("key", "side", "next").agg(F.min("place").alias("place")).select("place.*")
     ends = materialize(ends.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "anchor-ends", few=True)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in (x for b in batches for x in pieces(b)):
+            need = batch.column(1)
+            ends, low, high = need.offsets.to_numpy().astype(np.int64), *(need.values.field(c).to_numpy() for c in ("low", "high"))
             for part in words(batch.column(2), lower=True):
-                begin, zero = [], np.cumsum(part.count) - part.count
-                for i in range(len(part)):
-                    runs = [np.arange(r["low"], min(r["high"], int(part.count[i]) - GRAM) + 1) for r in batch.column(1)[part.first + i].as_py()]
-                    begin.append(np.unique(np.concatenate(runs)) + zero[i])
-                begin = np.concatenate(begin).astype(np.int64)
+                x, y = ends[part.first], ends[part.first + len(part)]
+                text = np.repeat(np.arange(len(part)), np.diff(ends[part.first : part.first + len(part) + 1]))
+                zero = np.cumsum(part.count) - part.count
+                begin, last = low[x:y], np.minimum(high[x:y], part.count[text] - GRAM)
+                size = np.maximum(last + 1 - begin, 0)
+                begin = np.unique(np.repeat(begin + zero[text] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
                 own = part.text[begin]
-                at = pa.array(own + part.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *map(pa.array, (begin - zero[own], np.full(len(begin), GRAM), _keys(part, begin, begin + GRAM) ^ np.int64(EXACT)))], names=PARAGRAPHS.fieldNames())
+                row = batch.column(0).to_numpy(zero_copy_only=False)[own + part.first]
+                yield np.stack([row, begin - zero[own], np.full(len(begin), GRAM), _keys(part, begin, begin + GRAM) ^ np.int64(EXACT)])
 
     inner = docs.join(bounded(ends), "row").select("row", "ranges", "text")
-    inner = map_arrow(inner, grams, PARAGRAPHS)
+    inner = map_arrow(inner, lambda batches: deal_places(grams(batches), buckets), DEALT)
     # A left side is needed at the start of a text only: else the right side of an anchor before covers what is equal.
     spans = table.select("*", F.expr("inline(array(struct(0 as side), struct(1 as side), struct(2 as side)))")).where("side = 1 or side = 0 and differ or side = 2 and begin = 0 and at > 0")
     spans = spans.select("row", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
-    return spans.toDF(*PARAGRAPHS.fieldNames()).unionAll(inner)
+    return map_arrow(spans, lambda batches: deal_places(map(_columns, batches), buckets), DEALT).unionAll(inner)
+
+
+def repeats(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(row, place, class) of all places whose class is found again, dealt out by row.
+
+    found: dealt places; classes: (key, class) of keys that are linked.  A key's
+    places come together in one task, except those of hot keys; theirs, and
+    those of linked keys, are told apart by a join when all is known of them.
+    """
+    buckets = buckets_of(found.sparkSession)
+
+    def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values in map(_columns, batches):
+            yield from deal(values[0], list(values), buckets, CLASS)
+
+    def work(values: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        row, place, key = values[PLACE][:, np.argsort(values[PLACE][2])]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        begins, which = np.flatnonzero(new), np.cumsum(new) - 1
+        r, s, a, b = (f.reduceat(x, begins) for x in (row, place) for f in (np.minimum, np.maximum))
+        keys, hot = key[begins], values[HOT_KEY]
+        linked = values[CLASS][:, np.argsort(values[CLASS][0])]
+        special = np.isin(keys, linked[0]) | np.isin(keys, hot[0])
+        plain = (~special & ((r != s) | (a != b)))[which]
+        own = which[plain]
+        hits = place[plain] | np.where(row[plain] != r[own], OTHER, 0) | np.where(r[own] != s[own], MANY, 0)
+        yield from deal(mix(row[plain].view(np.uint64)), [row[plain], hits, key[plain]], buckets, HIT)
+        rest = np.concatenate([np.stack([row, place, key])[:, special[which]], values[HOT_PLACE]], axis=1)
+        yield from deal(rest[2], list(rest), buckets, OPEN)
+        told = np.concatenate([np.stack([keys, r, s])[:, special], hot[:3]], axis=1)
+        group = told[0].copy()
+        if linked.shape[1]:
+            at = np.minimum(np.searchsorted(linked[0], group), linked.shape[1] - 1)
+            group = np.where(linked[0][at] == group, linked[1][at], group)
+        yield from deal(told[0], [told[0], group, *told[1:]], buckets, TOLD)
+
+    def rows(kind: int, schema: T.StructType) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for values in unpack(batch.column(0), len(schema)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=schema.fieldNames())
+
+        return map_arrow(table.where(F.col("kind") == kind).select("packed"), run, schema)
+
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values in map(_columns, batches):
+            yield from deal(mix(values[0].view(np.uint64)), list(values), buckets, HIT)
+
+    table = found.unionAll(map_arrow(classes, of_class, DEALT))
+    table = materialize(together(table, work, {PLACE: 3, HOT_KEY: 5, HOT_PLACE: 3, CLASS: 2}, DEALT), "passage-hits", large_rows=True)
+    tidy(found.sparkSession)
+    told = materialize(rows(TOLD, KNOWN).groupBy("key", "class").agg(F.min("r").alias("r"), F.max("s").alias("s")), "passage-told", few=True)
+    firsts = told.groupBy("class").agg(F.min("r").alias("r"), F.max("s").alias("s"))
+    told = bounded(materialize(told.select("key", "class").join(firsts, "class"), "passage-firsts", few=True), 500_000)
+    flags = F.when(F.expr("row <> r"), F.lit(OTHER)).otherwise(F.lit(0)).bitwiseOR(F.when(F.expr("r <> s"), F.lit(MANY)).otherwise(F.lit(0)))
+    others = rows(OPEN, PLACES).join(told, "key").select("row", F.col("place").bitwiseOR(flags.cast("bigint")), "class")
+    return table.where(F.col("kind") == HIT).unionAll(map_arrow(others, by_row, DEALT))
 
 
 def identified(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -341,8 +496,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     spark = docs.sparkSession
     some, odd = identified(docs, id, text)
 
-    units = materialize(unit_rows(some, k, percent), "paragraphs")
-    found = units.select(*PARAGRAPHS.names)
+    units = materialize(unit_rows(some, k, percent), "paragraphs", large_rows=True)
     near = candidates(units, percent)
     members = blocks.in_blocks(near.withColumn("copies", F.lit(1).cast("bigint")))
     members = members.groupBy("row").agg(F.collect_list(F.struct(*MEMBERS)).alias("need"))
@@ -365,45 +519,37 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
                 order = np.argsort(have, kind="stable")
                 own = order[np.searchsorted(have[order], told(wanted.field("key").to_numpy(), text))]
                 whole, at, starts = _shingle_runs(part, begin[own], end[own], k)
+                first, size = _distinct(part, whole, begin[own], at, starts)
+                tokens, bounds = whole[at[first]], np.append(0, np.cumsum(size))
                 for x in range(0, len(own), 4000):
                     y = min(x + 4000, len(own))
-                    ranges = np.append(starts, len(at))
-                    binary = pa.array([np.unique(whole[at[ranges[z] : ranges[z + 1]]]).tobytes() for z in range(x, y)], pa.binary())
+                    some = tokens[bounds[x] : bounds[y]]
+                    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), y - x, [None, pa.py_buffer(8 * (bounds[x : y + 1] - bounds[x])), pa.py_buffer(some)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([*(wanted.field(c).slice(x, y - x) for c in MEMBERS), binary], names=GROUPS.fieldNames())
+        trim()
 
     linked = blocks.links(map_arrow(chosen.select("need", "text"), sets, GROUPS), percent)
     linked = materialize(linked.select(F.col("key").alias("a"), F.col("to").alias("b")), "paragraph-links", few=True)
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
     discard(near, linked, members)
     tidy(spark)
-    exact = materialize(exact_spans(some), "exact-spans")
-    tidy(spark)
-    found = found.unionAll(exact)
-    # Keys with one place and no link are done with: what follows is what repeats.
-    counts = found.groupBy("key").agg(F.min("row").alias("r"), F.max("row").alias("s"), F.min("first_word").alias("a"), F.max("first_word").alias("b"))
-    counts = counts.join(classes, "key", "left").where("r <> s or a <> b or class is not null").withColumn("class", F.coalesce("class", "key"))
-    counts = materialize(counts, "paragraph-counts", few=True)
-    firsts = counts.groupBy("class").agg(F.min("r").alias("r"), F.max("s").alias("s"))
-    table = materialize(counts.select("key", "class").join(firsts, "class"), "paragraph-repeats", few=True)
-    discard(counts)
-    tidy(spark)
-    hit = found.join(table, "key").select("row", "first_word", "n_words", "class", F.expr("row <> r").alias("other"), F.expr("r <> s").alias("many"))
+    found = repeats(unit_places(units).unionAll(exact_spans(some)), classes)
 
-    def make() -> Callable[[pa.Table], list[pa.RecordBatch]]:
-        return lambda table: _passages(table, k, min_words)
+    def work(values: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        row, place, group = values[HIT]
+        yield from _passages(row, place >> 32, place & N_WORDS, group, (place & OTHER) > 0, (place & MANY) > 0, k, min_words)
 
-    out = sorted_groups(hit, ["row"], make, PASSAGES)
+    out = together(found, work, {HIT: 3}, PASSAGES)
     out = out.join(bounded(odd.withColumn("odd", F.lit(True))), "row", "left").withColumn("id", F.when(F.col("odd"), F.col("id")).otherwise(F.col("row")))
     return out.select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed", "row")
 
 
-def _passages(table: pa.Table, k: int, min_words: int) -> list[pa.RecordBatch]:
-    """The passages of whole texts from their spans (row, first_word, n_words, class, other, many).
+def _passages(row: np.ndarray, first: np.ndarray, n: np.ndarray, group: np.ndarray, other: np.ndarray, many: np.ndarray, k: int, min_words: int) -> list[pa.RecordBatch]:
+    """The passages of whole texts from their spans: row, first word, number of words, class, ``other`` and ``many``.
 
     In the text that has a class first, its first place stays, and so does what
     overlaps it; a class that no text has a second time is dropped.
     """
-    row, first, n, group, other, many = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("row", "first_word", "n_words", "class", "other", "many"))
     order = np.lexsort((-n, first, group, row))
     row, first, n, group, other, many = (x[order] for x in (row, first, n, group, other, many))
     begins = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fixity, jaccard, licenses, mixing, pii, quality, quotes, substrings, urlfilter
+from tessera.llm import decontaminate, fixity, jaccard, licenses, mixing, packed, pii, quality, quotes, substrings, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 
@@ -281,6 +281,32 @@ def test_substrings_near_paragraphs_of_all_pairs(spark):
     assert len(want) > 30 and len(whole & want) >= 0.95 * len(want)
 
 
+def test_substrings_values_are_dealt_packed(spark, monkeypatch):
+    """Bands and places cost Spark a row for many values, and very common ones a row a task; what is found is the same."""
+    rng = random.Random(24)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    common, line, base = fresh(60), fresh(12), fresh(50)
+    texts = []
+    for i in range(60):
+        near = list(base)
+        near[rng.randrange(50)] = f"edit{i}"
+        texts.append("\n".join(" ".join(x) for x in (fresh(30) + common + fresh(9), line, near, line, fresh(40))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    some, _ = substrings.identified(df, "doc_id", "text")
+    dealt = substrings.unit_places(substrings.unit_rows(some, 5, 80)).collect()
+    values = sum(len(r.packed) // 24 for r in dealt)
+    assert values > 300 and len(dealt) <= 5 * packed.buckets_of(spark)
+    found = lambda: sorted(tuple(r) for r in substrings.repeated_passages(df).collect())
+    plain = found()
+    assert len({r[0] for r in plain if r[5]}) == 59
+    monkeypatch.setattr(substrings, "HOT", 2)
+    hot = substrings.unit_places(substrings.unit_rows(some, 5, 80)).groupBy("kind").count().collect()
+    assert {r.kind for r in hot} == {substrings.PLACE, substrings.HOT_KEY, substrings.HOT_PLACE}
+    assert found() == plain
+    monkeypatch.setattr(substrings, "HELD", 50)
+    assert found() == plain
+
+
 def test_substrings_odd_rows(spark):
     rng = random.Random(23)
     fresh = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
