@@ -309,7 +309,9 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k:
     shuffled is a quarter of the tokens, once, and the sets in candidate
     components.
     """
-    sets = materialize(document_sets(docs, id, text, k), "jaccard-sets")
+    # By few tasks: processes that set the modes of new files share the executor's memory until they run.
+    files = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    sets = materialize(document_sets(docs, id, text, k), "jaccard-sets", files)
     rows = sets.where("n is not null").select("id", "n", "key")
     # Tokens in over a fiftieth of all documents: at most fifty times the mean set size of them.
     total = rows.where("n > 0").count()

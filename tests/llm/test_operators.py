@@ -138,6 +138,21 @@ def test_jaccard_short_texts_at_any_threshold(spark, percent):
     assert [r.component_id for r in got] == component and [r.n_links for r in got] == count
 
 
+def test_jaccard_sets_are_few_files(spark, monkeypatch):
+    """Each file of a table starts processes beside the executor: many small splits don't make many files."""
+    written, plain = {}, jaccard.materialize
+
+    def noted(df, name, *args, **kwargs):
+        out = plain(df, name, *args, **kwargs)
+        written[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    df = spark.createDataFrame([(i, f"a b c d{i // 2} e f") for i in range(40)], "doc_id long, text string").repartition(20)
+    assert jaccard.jaccard_join(df, k=3, percent=90).where("component_id <> doc_id and n_links = 1").count() == 20
+    assert written["jaccard-sets"] <= 8
+
+
 def test_jaccard_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(map(str, jaccard.jaccard_join(df).collect()))
