@@ -29,6 +29,14 @@ def unpack(column: pa.Array, width: int) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.int64).reshape(width, -1) if x.is_valid and x.as_buffer().size else np.zeros((width, 0), np.int64) for x in column]
 
 
+def steady() -> None:
+    """Let a worker keep up to 16 MB that arrays free, until ``trim``: else their pages are mapped, cleared and unmapped each time."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+
+
 def trim() -> None:
     """Give back what a task held and freed: workers stay idle behind it."""
     pa.default_memory_pool().release_unused()
@@ -36,9 +44,9 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def buckets_of(spark: SparkSession) -> int:
-    """Three buckets, each a task, for each shuffle partition: a task holds all of its own in arrays."""
-    return 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets_of(spark: SparkSession, each: int = 3) -> int:
+    """Three buckets, or ``each``, and as many tasks for each shuffle partition: a task holds all of its own in arrays."""
+    return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def deal(by: np.ndarray, columns: list[np.ndarray], buckets: int, kind: int = 0) -> Iterator[pa.RecordBatch]:
@@ -54,10 +62,11 @@ def deal(by: np.ndarray, columns: list[np.ndarray], buckets: int, kind: int = 0)
     yield pa.RecordBatch.from_arrays([pa.array(own[ends[:-1]].astype(np.int32)), pa.array(np.full(len(packed), kind, np.int32)), packed], names=DEALT.fieldNames())
 
 
-def together(rows: DataFrame, work: Callable[[dict[int, np.ndarray]], Iterator[pa.RecordBatch]], widths: dict[int, int], schema: T.StructType) -> DataFrame:
-    """work over all values of a bucket together, (width, n) by kind; rows: what ``deal`` gives."""
+def together(rows: DataFrame, work: Callable[[dict[int, np.ndarray]], Iterator[pa.RecordBatch]], widths: dict[int, int], schema: T.StructType, buckets: int | None = None) -> DataFrame:
+    """work over all values of a bucket together, (width, n) by kind; rows: what ``deal`` gives, by ``buckets_of`` buckets unless told otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         held = {kind: [np.zeros((width, 0), np.int64)] for kind, width in widths.items()}
         for batch in batches:
             kinds = batch.column(1).to_numpy()
@@ -69,4 +78,4 @@ def together(rows: DataFrame, work: Callable[[dict[int, np.ndarray]], Iterator[p
             yield from work({kind: np.concatenate(held.pop(kind), axis=1) for kind in widths})
         trim()
 
-    return map_arrow(rows.repartitionById(buckets_of(rows.sparkSession), F.col("bucket")), run, schema)
+    return map_arrow(rows.repartitionById(buckets or buckets_of(rows.sparkSession), F.col("bucket")), run, schema)

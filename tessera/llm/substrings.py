@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from tessera.llm import blocks
 from tessera.llm.arrowtext import Words, mix, pieces, words
-from tessera.llm.packed import DEALT, HELD, buckets_of, deal, pack, together, trim, unpack
-from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, tidy
+from tessera.llm.arrowtext import _power as power
+from tessera.llm.packed import DEALT, HELD, buckets_of, deal, pack, steady, together, trim, unpack
+from tessera.llm.shared import bounded, components, discard, map_arrow, materialize, small_batches, tidy
 
 #: Bands and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 6 = 0.986 of pairs meet; a passage has several paragraphs.
 BANDS, ROWS = 6, 3
@@ -92,13 +93,13 @@ def spans_of(part: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return begin, end
     breaks = np.cumsum(part.data == 10)[part.start]
-    found = [np.stack([begin, end], 1)]
+    found = [begin << 32 | end]
     for apart in (1, 2):
         first = np.flatnonzero(np.append(True, (part.text[1:] != part.text[:-1]) | (np.diff(breaks) >= apart)))
         last = np.append(first[1:], n)
-        found.append(np.stack([first, last], 1)[last - first >= least])
-    both = np.unique(np.concatenate(found), axis=0)
-    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+        found.append((first << 32 | last)[last - first >= least])
+    both = np.unique(np.concatenate(found))
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def anchors(part: Words) -> np.ndarray:
@@ -126,10 +127,8 @@ def anchors(part: Words) -> np.ndarray:
 def _keys(part: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit key of each paragraph's words in order."""
     n = len(part.hash)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(0x5851F42D4C957F2D), np.uint64)]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(part.hash * power[:n], dtype=np.uint64)])
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64)), np.uint64)]), dtype=np.uint64)
-    return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(part.hash * power("up", n), dtype=np.uint64)])
+    return mix((total[end] - total[begin]) * power("down", n + 1)[begin] + (end - begin).astype(np.uint64)).view(np.int64)
 
 
 def _shingle_runs(part: Words, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,6 +161,7 @@ def _scan(docs: DataFrame, columns: list, schema: T.StructType, of: Callable, le
     """of(part, begin, end, batch) gives arrays of the schema's columns, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         for batch in (x for b in batches for x in pieces(b)):
             for part in words(batch.column(batch.num_columns - 1), lower=True):
                 begin, end = bounds(part, least)
@@ -177,7 +177,8 @@ def unit_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Bands are left out where a slice of texts has the paragraph a second time,
     and of sets so small that one shingle more is too much a difference: those
-    link with none that has other shingles.
+    link with none that has other shingles.  Runs are hashed well already, so
+    odd factors tell the orders apart in which a MinHash is the least.
     """
     salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -197,7 +198,7 @@ def unit_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for b in range(BANDS):
                 value = np.full(len(first), np.uint64(b + 1))
                 for r in range(ROWS):
-                    value = mix(value + np.minimum.reduceat(mix(whole ^ salts[b * ROWS + r]), ranges)[::2])
+                    value = mix(value + np.minimum.reduceat(whole * salts[b * ROWS + r], ranges)[::2])
                 bands[:, b] = value
             some = n[first] * (100 - percent) >= percent
             banded = np.concatenate([first[some][None, :], bands[some].T.view(np.int64)])
@@ -229,6 +230,7 @@ def deal_places(parts: Iterator[np.ndarray], buckets: int) -> Iterator[pa.Record
             row, place, key = row[~hot], place[~hot], key[~hot]
         yield from deal(key, [row, place, key], buckets, PLACE)
 
+    steady()
     held, many = [], 0
     for values in parts:
         held.append(values)
@@ -293,6 +295,7 @@ def candidates(units: DataFrame, percent: int) -> DataFrame:
     buckets = buckets_of(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         held, many = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -388,20 +391,29 @@ def exact_spans(docs: DataFrame) -> DataFrame:
 
     inner = docs.join(bounded(ends), "row").select("row", "ranges", "text")
     inner = map_arrow(inner, lambda batches: deal_places(grams(batches), buckets), DEALT)
-    # A left side is needed at the start of a text only: else the right side of an anchor before covers what is equal.
-    spans = table.select("*", F.expr("inline(array(struct(0 as side), struct(1 as side), struct(2 as side)))")).where("side = 1 or side = 0 and differ or side = 2 and begin = 0 and at > 0")
-    spans = spans.select("row", F.expr("if(side = 2, begin, at)"), F.expr(f"case side when 0 then {GRAM}L when 1 then end - at else at + {GRAM}L - begin end"), F.expr("case side when 0 then key when 1 then right else left end"))
-    return map_arrow(spans, lambda batches: deal_places(map(_columns, batches), buckets), DEALT).unionAll(inner)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            row, at, key, begin, left, end, right = _columns(batch.select(ANCHORS.fieldNames()))
+            yield np.stack([row, at, end - at, right])
+            both = batch.column("differ").to_numpy(zero_copy_only=False)
+            yield np.stack([row, at, np.full(len(row), GRAM), key])[:, both]
+            # A left side is needed at the start of a text only: else the right side of an anchor before covers what is equal.
+            yield np.stack([row, begin, at + GRAM - begin, left])[:, (begin == 0) & (at > 0)]
+
+    return map_arrow(table.select(*ANCHORS.fieldNames(), "differ"), lambda batches: deal_places(spans(batches), buckets), DEALT).unionAll(inner)
 
 
 def repeats(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """(row, place, class) of all places whose class is found again, dealt out by row.
+    """(row, place, class) of all places whose class is found again, dealt out by row to a bucket a shuffle partition.
 
     found: dealt places; classes: (key, class) of keys that are linked.  A key's
     places come together in one task, except those of hot keys; theirs, and
     those of linked keys, are told apart by a join when all is known of them.
+    Each task packs rows for all texts, so what it finds goes to fewer buckets
+    than there are tasks: their number squared would be that of the packed rows.
     """
-    buckets = buckets_of(found.sparkSession)
+    buckets, fewer = buckets_of(found.sparkSession), buckets_of(found.sparkSession, 1)
 
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values in map(_columns, batches):
@@ -418,15 +430,15 @@ def repeats(found: DataFrame, classes: DataFrame) -> DataFrame:
         plain = (~special & ((r != s) | (a != b)))[which]
         own = which[plain]
         hits = place[plain] | np.where(row[plain] != r[own], OTHER, 0) | np.where(r[own] != s[own], MANY, 0)
-        yield from deal(mix(row[plain].view(np.uint64)), [row[plain], hits, key[plain]], buckets, HIT)
+        yield from deal(mix(row[plain].view(np.uint64)), [row[plain], hits, key[plain]], fewer, HIT)
         rest = np.concatenate([np.stack([row, place, key])[:, special[which]], values[HOT_PLACE]], axis=1)
-        yield from deal(rest[2], list(rest), buckets, OPEN)
+        yield from deal(rest[2], list(rest), 1, OPEN)
         told = np.concatenate([np.stack([keys, r, s])[:, special], hot[:3]], axis=1)
         group = told[0].copy()
         if linked.shape[1]:
             at = np.minimum(np.searchsorted(linked[0], group), linked.shape[1] - 1)
             group = np.where(linked[0][at] == group, linked[1][at], group)
-        yield from deal(told[0], [told[0], group, *told[1:]], buckets, TOLD)
+        yield from deal(told[0], [told[0], group, *told[1:]], 1, TOLD)
 
     def rows(kind: int, schema: T.StructType) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +450,7 @@ def repeats(found: DataFrame, classes: DataFrame) -> DataFrame:
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values in map(_columns, batches):
-            yield from deal(mix(values[0].view(np.uint64)), list(values), buckets, HIT)
+            yield from deal(mix(values[0].view(np.uint64)), list(values), fewer, HIT)
 
     table = found.unionAll(map_arrow(classes, of_class, DEALT))
     table = materialize(together(table, work, {PLACE: 3, HOT_KEY: 5, HOT_PLACE: 3, CLASS: 2}, DEALT), "passage-hits", large_rows=True)
@@ -466,36 +478,9 @@ def identified(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFram
     return some.select("row", "text"), odd
 
 
-def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, min_words: int = 16) -> DataFrame:
-    """Passages of texts that repeat, whole or nearly, elsewhere: one row for each.
-
-    Texts are cut into units (``spans_of``; A-Z lower-cased, of k words at least):
-    content-defined paragraphs, lines, and paragraphs between blank lines.  They
-    are one class if they have
-    the same words, or are joined by pairs whose sets of k-word shingles have a
-    Jaccard similarity of ``percent`` or more: bands of MinHashes collide
-    (``candidates``), components of colliding paragraphs are dealt into blocks,
-    and pairs are verified there on whole sets (``blocks.links``).  Of each
-    class the first place, by id and word, is kept and all others are removed.
-    Spans that repeat exactly (``exact_spans``) are classes too, so a passage of
-    40 words or more is found whole wherever it stands and lines end in it; a
-    shorter one inside other lines is found if an anchor is in it.  A
-    place that overlaps the first one isn't removed.  Neighbouring or
-    overlapping spans of one text with the same fate, fewer than k words apart,
-    make a passage; those of ``min_words`` or more are returned.  Words of a
-    kept passage that a removed one holds as well are removed.
-
-    Columns: id, first_word and n_words (words counted from 0), n_paragraphs
-    (spans of all kinds), component_id (least class of the passage), removed,
-    and row, by which ``remove_passages`` knows the text.  Null and empty texts
-    have no passages.  Rows that repeat an id with other texts, or have none, are
-    told apart by their texts (and come first); rows that repeat both are one,
-    and its passages are returned once.  Other columns of docs are not read.
-    An empty table gives an empty one.
-    """
-    spark = docs.sparkSession
-    some, odd = identified(docs, id, text)
-
+def _found(some: DataFrame, k: int, percent: int) -> DataFrame:
+    """What ``repeats`` gives for the spans of all kinds of some (row, text)."""
+    spark = some.sparkSession
     units = materialize(unit_rows(some, k, percent), "paragraphs", large_rows=True)
     near = candidates(units, percent)
     members = blocks.in_blocks(near.withColumn("copies", F.lit(1).cast("bigint")))
@@ -506,6 +491,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
         chosen = chosen.dropDuplicates(["row"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         for batch in (x for b in batches for x in pieces(b)):
             need = batch.column(0)
             ends, flat = need.offsets.to_numpy().astype(np.int64), need.values
@@ -533,13 +519,45 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *
     classes = components(linked, "paragraph-classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
     discard(near, linked, members)
     tidy(spark)
-    found = repeats(unit_places(units).unionAll(exact_spans(some)), classes)
+    return repeats(unit_places(units).unionAll(exact_spans(some)), classes)
+
+
+def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, min_words: int = 16) -> DataFrame:
+    """Passages of texts that repeat, whole or nearly, elsewhere: one row for each.
+
+    Texts are cut into units (``spans_of``; A-Z lower-cased, of k words at least):
+    content-defined paragraphs, lines, and paragraphs between blank lines.  They
+    are one class if they have
+    the same words, or are joined by pairs whose sets of k-word shingles have a
+    Jaccard similarity of ``percent`` or more: bands of MinHashes collide
+    (``candidates``), components of colliding paragraphs are dealt into blocks,
+    and pairs are verified there on whole sets (``blocks.links``).  Of each
+    class the first place, by id and word, is kept and all others are removed.
+    Spans that repeat exactly (``exact_spans``) are classes too, so a passage of
+    40 words or more is found whole wherever it stands and lines end in it; a
+    shorter one inside other lines is found if an anchor is in it.  A
+    place that overlaps the first one isn't removed.  Neighbouring or
+    overlapping spans of one text with the same fate, fewer than k words apart,
+    make a passage; those of ``min_words`` or more are returned.  Words of a
+    kept passage that a removed one holds as well are removed.
+
+    Columns: id, first_word and n_words (words counted from 0), n_paragraphs
+    (spans of all kinds), component_id (least class of the passage), removed,
+    and row, by which ``remove_passages`` knows the text.  Null and empty texts
+    have no passages.  Rows that repeat an id with other texts, or have none, are
+    told apart by their texts (and come first); rows that repeat both are one,
+    and its passages are returned once.  Other columns of docs are not read.
+    An empty table gives an empty one.
+    """
+    with small_batches(docs.sparkSession):
+        some, odd = identified(docs, id, text)
+        found = _found(some, k, percent)
 
     def work(values: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         row, place, group = values[HIT]
         yield from _passages(row, place >> 32, place & N_WORDS, group, (place & OTHER) > 0, (place & MANY) > 0, k, min_words)
 
-    out = together(found, work, {HIT: 3}, PASSAGES)
+    out = together(found, work, {HIT: 3}, PASSAGES, buckets_of(docs.sparkSession, 1))
     out = out.join(bounded(odd.withColumn("odd", F.lit(True))), "row", "left").withColumn("id", F.when(F.col("odd"), F.col("id")).otherwise(F.col("row")))
     return out.select(F.col("id").alias(id), "first_word", "n_words", "n_paragraphs", "component_id", "removed", "row")
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fixity, jaccard, licenses, mixing, packed, pii, quality, quotes, substrings, urlfilter
+from tessera.llm import decontaminate, fixity, jaccard, licenses, mixing, packed, pii, quality, quotes, shared, substrings, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 
@@ -322,6 +322,43 @@ def test_substrings_values_are_dealt_packed(spark, monkeypatch):
     assert found() == plain
 
 
+def test_substrings_finds_are_dealt_to_few_buckets(spark):
+    """A task of what is found again packs a row at most for each shuffle partition, and one each of what is told apart later."""
+    rng = random.Random(26)
+    texts = [" ".join(f"f{rng.randrange(10**9)}" for _ in range(200)) for _ in range(40)] * 2
+    some, _ = substrings.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    places = substrings.unit_places(substrings.unit_rows(some, 5, 80)).unionAll(substrings.exact_spans(some))
+    found = substrings.repeats(places, spark.createDataFrame([], "key long, class long")).select("bucket", F.length("packed").alias("n")).collect()
+    parts = packed.buckets_of(spark, 1)
+    assert sum(r.n for r in found) // 24 > 500 and {r.bucket for r in found} == set(range(parts)) and len(found) <= parts * packed.buckets_of(spark)
+
+
+def test_substrings_batches_to_python_are_bounded(spark, monkeypatch, tmp_path):
+    """A task's texts and packed values go to Python in batches of bounded bytes, not all at once; the session keeps its own setting."""
+    rng = random.Random(25)
+    texts = [" ".join(f"f{rng.randrange(10**9)}" for _ in range(2000)) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (60, texts[7])], "doc_id long, text string").repartition(1)
+    sizes, plain = str(tmp_path / "sizes"), substrings.map_arrow
+
+    def noted(rows, run, schema):
+        def seen(batches):
+            for batch in batches:
+                with open(sizes, "a") as f:
+                    f.write(f"{batch.nbytes}\n")
+                yield batch
+
+        return plain(rows, lambda batches: run(seen(batches)), schema)
+
+    monkeypatch.setattr(substrings, "map_arrow", noted)
+    monkeypatch.setattr(shared, "BATCH_BYTES", 200_000, raising=False)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    assert [(r.doc_id, r.n_words, r.removed) for r in substrings.repeated_passages(df).orderBy("doc_id").collect()] == [(7, 2000, False), (60, 2000, True)]
+    seen = [int(x) for x in open(sizes)]
+    assert sum(seen) > 1_500_000 and max(seen) < 300_000
+    assert spark.conf.get(key) == before
+
+
 def test_substrings_odd_rows(spark):
     rng = random.Random(23)
     fresh = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
