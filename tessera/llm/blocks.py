@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.arrowtext import hashes_of
+from tessera.llm.arrowtext import hashes_of, mix
 from tessera.llm.shared import bounded, sorted_groups
 
 #: Sets and tokens of a block, and columns of the dense slices that are multiplied.
 BLOCK = 256
 BLOCK_TOKENS = 1 << 19
 COLUMNS = 2048
+#: Groups of so many sets at most have their pairs compared all together, and tokens that are sorted at once for that.
+SMALL = 6
+SMALL_TOKENS = 1 << 16
 
 LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("to", T.LongType()), T.StructField("links", T.LongType())])
 
@@ -53,6 +56,24 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shared_tokens(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a and b, pair by pair: what stands twice among a pair's tokens."""
+    out, size = np.zeros(len(a), np.int64), np.array([len(x) for x in sets], np.int64)
+    before = np.cumsum(size[a] + size[b])
+    low = 0
+    while low < len(a):
+        high = max(low + 1, int(np.searchsorted(before, (before[low - 1] if low else 0) + SMALL_TOKENS, "right")))
+        x, y = a[low:high], b[low:high]
+        values = np.concatenate([sets[i] for i in np.concatenate([x, y])]).view(np.uint64)
+        pair = np.repeat(np.tile(np.arange(high - low), 2), size[np.concatenate([x, y])])
+        key = values ^ mix(pair.astype(np.uint64))
+        order = np.argsort(key)
+        key, pair = key[order], pair[order]
+        out[low:high] = np.bincount(pair[1:][(key[1:] == key[:-1]) & (pair[1:] == pair[:-1])], minlength=high - low)
+        low = high
+    return out
+
+
 def roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member of each one's component under the links a-b."""
     up = list(range(m))
@@ -115,7 +136,23 @@ def _links(table: pa.Table, percent: int, prefixes: bool, sets: bool) -> list[pa
     same[1:] = (root[row[1:]] != root[row[:-1]]) | (i[row[1:]] != i[row[:-1]]) | (j[row[1:]] != j[row[:-1]])
     starts = np.append(np.flatnonzero(same), len(row))
     out_key, out_to, out_links = [], [], []
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
+    begins, ends = starts[:-1], starts[1:]
+    if sets and not prefixes and SMALL > 1:
+        many = ends - begins
+        small = [(begins[many == m], *np.triu_indices(m, 1)) for m in range(2, SMALL + 1)]
+        x, y = (np.concatenate([(at[:, None] + pair[side_]).reshape(-1) for at, *pair in small]) for side_ in (0, 1))
+        u, v = row[x], row[y]
+        ok = (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & ((i[u] == j[u]) | (side[u] != side[v]))
+        x, y, u, v = x[ok], y[ok], u[ok], v[ok]
+        ok = (100 + percent) * shared_tokens(tokens, u, v) >= percent * (n[u] + n[v])
+        x, y, u, v = x[ok], y[ok], u[ok], v[ok]
+        if len(x):
+            linked = (np.bincount(x, copies[v], minlength=len(row)) + np.bincount(y, copies[u], minlength=len(row))).astype(np.int64)
+            to = key[row][roots(len(row), x, y)]
+            some = linked > 0
+            out_key.append(key[row][some]), out_to.append(to[some]), out_links.append(linked[some])
+        begins, ends = begins[many > SMALL], ends[many > SMALL]
+    for a, b in zip(begins, ends, strict=True):
         r = row[a:b]
         if len(r) < 2:
             continue

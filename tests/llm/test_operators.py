@@ -5,11 +5,13 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fixity, jaccard, licenses, mixing, packed, pii, quality, quotes, shared, substrings, urlfilter
+from tessera.llm import blocks, decontaminate, fixity, jaccard, licenses, mixing, packed, pii, quality, quotes, shared, substrings, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 
@@ -333,6 +335,35 @@ def test_substrings_finds_are_dealt_to_few_buckets(spark):
     assert sum(r.n for r in found) // 24 > 500 and {r.bucket for r in found} == set(range(parts)) and len(found) <= parts * packed.buckets_of(spark)
 
 
+def test_links_of_small_groups_are_found_together(monkeypatch):
+    """Groups of few sets are compared all at once, with the links that each of them has alone and no matrix of its own."""
+    rng, members = random.Random(27), []
+    for root in range(400):
+        base = [rng.getrandbits(62) for _ in range(rng.randint(1, 60))]
+        halves = root % 3 == 0
+        for at in range(rng.randint(1, 9)):
+            tokens = base[rng.randint(0, 3) :] + [rng.getrandbits(62) for _ in range(rng.randint(0, 6))]
+            members.append((root, 0, int(halves), at % 2 if halves else 0, 10 * root + at, rng.randint(1, 3), len(tokens), np.array(tokens, np.int64).tobytes()))
+    names = ["root", "i", "j", "side", "key", "copies", "n", "tokens"]
+    table = pa.table({c: list(x) for c, x in zip(names, zip(*members, strict=True), strict=True)})
+    found = lambda: sorted(tuple(r.values()) for b in blocks._links(table, 80, False, True) for r in b.to_pylist())
+    monkeypatch.setattr(blocks, "SMALL", 1, raising=False)
+    alone = found()
+    matrices, plain = [], blocks.overlaps
+    monkeypatch.setattr(blocks, "overlaps", lambda sets: matrices.append(len(sets)) or plain(sets))
+    monkeypatch.setattr(blocks, "SMALL", 6, raising=False)
+    monkeypatch.setattr(blocks, "SMALL_TOKENS", 500, raising=False)
+    assert found() == alone and len(alone) > 500
+    sets = {m[4]: (m, set(np.frombuffer(m[7], np.int64).tolist())) for m in members}
+    want = {}
+    for k, (m, s) in sets.items():
+        near = [o for o, t in (sets[q] for q in range(10 * m[0], 10 * m[0] + 9) if q in sets) if o[4] != k and (not m[2] or o[3] != m[3]) and 100 * len(s & t) >= 80 * len(s | t)]
+        if near:
+            want[k] = sum(o[5] for o in near)
+    assert {k: links for k, _, links in alone} == want
+    assert len(matrices) < 150
+
+
 def test_substrings_batches_to_python_are_bounded(spark, monkeypatch, tmp_path):
     """A task's texts and packed values go to Python in batches of bounded bytes, not all at once; the session keeps its own setting."""
     rng = random.Random(25)
